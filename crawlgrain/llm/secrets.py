@@ -1,0 +1,134 @@
+"""Secret scans in DataFrame functions only: fixed patterns, and sliding-window entropy for the rest.
+
+A regular expression's matches are found twice, as pieces between them and as the matches, and the
+lengths of both give every match's place in code points. Candidate strings that no pattern
+covers are judged by the highest Shannon entropy of their windows: counts per character go up for
+the character that enters and down for the one that leaves, and so does the sum of c*log2(c).
+The threshold depends on the candidate's character class, and an allow-list suppresses candidates.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from crawlgrain.llm.common import only
+
+ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = "AKIA[A-Z0-9]+"
+HEX = "[0-9a-f]{24,}"  # maximal runs, so the same as dropping shorter runs afterwards
+CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+KINDS = ["assign", "access", "hex", "entropy"]
+WINDOW = 20
+#: Least bits per character in some window, by class: hexadecimal digits; letters of one case and digits; any.
+HEX_BITS, PLAIN_BITS, MIXED_BITS = 3.0, 3.5, 3.7
+#: Candidates that are no secrets: identifiers in UUID form, paths and addresses, letters only, digits only.
+ALLOWED = "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[A-Za-z_=/+-]+$|^[0-9_=/+-]+$|/{2}|EXAMPLE"
+
+
+def _places(text: Column, pattern: str, keep) -> Column:
+    """array<struct(start, end)> of pattern's leftmost non-overlapping matches for which keep(match, group 2 or match) holds."""
+    group = 2 if pattern == ASSIGN else 0
+    found = F.arrays_zip(
+        F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g")
+    )
+    nothing = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        one = F.array(F.struct(start.alias("start"), end.alias("end")))
+        return F.struct(
+            F.coalesce(end, start).alias("at"),
+            F.when(x["m"].isNotNull() & keep(x["m"], x["g"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
+        )
+
+    spans = F.aggregate(found, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step, lambda acc: acc["out"])
+    return F.when(text.rlike(pattern), spans).otherwise(nothing)
+
+
+def _weight(c: Column) -> Column:
+    """c * log2(c) of a count up to WINDOW."""
+    return F.element_at(F.array(*(F.lit(float(i * math.log2(i)) if i else 0.0) for i in range(WINDOW + 2))), c + 1)
+
+
+def window_entropy(s: Column) -> Column:
+    """Bits per character of the most varied window of WINDOW characters of an ASCII string (one window if shorter)."""
+
+    def step(acc: Column, i: Column) -> Column:
+        comes = F.ascii(F.substring(s, i, F.lit(1))) - 32
+        goes = F.when(i > WINDOW, F.ascii(F.substring(s, i - WINDOW, F.lit(1))) - 32).otherwise(F.lit(-1))
+        c_in = F.element_at(acc["counts"], comes + 1)
+        c_out = F.when(goes >= 0, F.element_at(acc["counts"], F.greatest(goes + 1, F.lit(1)))).otherwise(F.lit(0))
+        total = (
+            F.when(comes == goes, acc["sum"])
+            .when(goes >= 0, acc["sum"] + _weight(c_in + 1) - _weight(c_in) + _weight(F.greatest(c_out - 1, F.lit(0))) - _weight(c_out))
+            .otherwise(acc["sum"] + _weight(c_in + 1) - _weight(c_in))
+        )
+        counts = F.transform(acc["counts"], lambda v, k: v + (k == comes).cast("int") - (k == goes).cast("int"))
+        n = F.least(i, F.lit(WINDOW))
+        bits = F.log2(n.cast("double")) - total / n
+        best = F.when((i >= WINDOW) | (i == F.length(s)), F.greatest(acc["best"], bits)).otherwise(acc["best"])
+        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+
+    zero = F.struct(F.array_repeat(F.lit(0), 96).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), zero, step, lambda acc: acc["best"])
+
+
+def _random(s: Column) -> Column:
+    """Whether a candidate looks random for its character class and isn't on the allow-list."""
+    bits = F.when(s.rlike("^[0-9a-fA-F]+$"), F.lit(HEX_BITS)).when(s.rlike("^([0-9a-z]+|[0-9A-Z]+)$"), F.lit(PLAIN_BITS)).otherwise(F.lit(MIXED_BITS))
+    return s.rlike("[0-9]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= bits)
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """docs with found: array<struct(start, end, kind)>, sorted by start and kind (0-3 as in KINDS); base: without kind 3.
+
+    Places are code points, end exclusive; a null text counts as empty and has none. Entropy spans
+    that touch a span of a pattern are left out. docs needs text; a column found or base is replaced.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = [
+        _places(text, ASSIGN, lambda m, g: F.length(g) >= 6),
+        _places(text, ACCESS, lambda m, g: F.length(m) >= 20),
+        _places(text, HEX, lambda m, g: F.lit(True)),
+    ]
+    tagged = [F.transform(spans, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, spans in enumerate(kept)]
+    base = docs.withColumn("base", F.array_sort(F.concat(*tagged)))
+    more = F.transform(
+        F.filter(_places(text, CANDIDATE, lambda m, g: _random(m)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
+        lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
+    )
+    return base.withColumn("found", F.array_sort(F.concat("base", more)))
+
+
+def _said(spans: str) -> Column:
+    names = F.array(*map(F.lit, KINDS))
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs."""
+    found = scan(only(docs, doc_id="long", text="string"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(_said("base").cast("binary"), 256).alias("base_sha256"), _said("found").alias("spans"))
+
+
+def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
+    """docs with every secret in text replaced by mark and n_chars (if there) counted anew; other columns and rows stay."""
+    found = scan(docs.drop("found", "base"))
+    text = F.col("text")
+
+    def step(acc: Column, x: Column) -> Column:
+        # spans may overlap: what is already replaced is not taken again
+        kept = F.when(x["start"] > acc["at"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
+        said = F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, said).alias("out"))
+
+    end = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    out = found.withColumn("text", F.when(F.size("found") == 0, text).otherwise(end)).drop("found", "base")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
