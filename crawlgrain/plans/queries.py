@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import commands, content, ids, net, signals, urls
-from crawlgrain.operators import audit, egress, policy, windows
+from crawlgrain.operators import audit, egress, pacing, policy, windows
 from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
 from crawlgrain.sources import fixtures
+from crawlgrain.streaming import commands as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHALLENGES, BOTS = signals.parse_patterns("challenge:verify you are human"), signals.parse_patterns("bot:bot filter")
@@ -500,3 +501,21 @@ def pause_flags(spark: SparkSession, d: str) -> DataFrame:
 def gzip_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     packed = _pages(spark, d).select("page_id", F.col("html").cast("binary").alias("raw")).withColumn("body", content.gzip_bytes(F.col("raw")))
     return packed.select("page_id", (F.sha2(content.gunzip_bytes(F.col("body")), 256) == F.sha2("raw", 256)).alias("ok"), F.octet_length("raw").cast("long").alias("size"))
+
+
+@query
+def pacer_multi(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.signals(spark, d).select("event_id", "host", F.floor(F.col("ts_us") / 1000).cast("long").alias("arrive_ms"))
+    return pacing.pace(rows, ["10.0.0.2", "10.0.0.3", "10.0.0.4"], 3_600_000)
+
+
+@query
+def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream.table_stream(spark, d, "events").select((F.col("user_id") % 50).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return stream.drain(stream.dedupe(rows, "key", "ts", "60 days")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+@query
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    rows = stream.table_stream(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 7).alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("weight"))
+    return stream.drain(stream.session_counts(rows, ["host"], "ts", "6 hours", "1 minute")).drop("weight_sum")

@@ -25,3 +25,20 @@ def ship(spark: SparkSession) -> None:
                         z.write(full, os.path.join("crawlgrain", os.path.relpath(full, top)))
         context.addPyFile(path)
     context._crawlgrain_shipped = True
+
+
+_LOCAL_DIR = None
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only where it is unset (tests, one machine) is a folder made.
+    """
+    global _LOCAL_DIR
+    set_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if set_dir:
+        return set_dir
+    if _LOCAL_DIR is None:
+        _LOCAL_DIR = tempfile.mkdtemp(prefix="crawlgrain-")
+    return "file://" + _LOCAL_DIR
