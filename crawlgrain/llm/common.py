@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,22 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_DIR = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where it is unset (tests, one machine) is a folder made and set.
-    """
-    global _LOCAL_DIR
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if set_dir:
-        return set_dir
-    if _LOCAL_DIR is None:
-        _LOCAL_DIR = tempfile.mkdtemp(prefix="crawlgrain-")
-    return "file://" + _LOCAL_DIR
-
+from crawlgrain.session import shared_dir, ship
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at replicated files.
@@ -61,6 +45,7 @@ def drop_table(df: DataFrame) -> None:
 
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns with their types; other columns, clashing names or not, stay out."""
+    ship(df.sparkSession)
     return df.select(*(F.col(c).cast(t).alias(c) for c, t in types.items()))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm.common import as_bytes, only, slices
+from crawlgrain.session import ship
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
 SAMPLE = 8192
@@ -225,4 +226,5 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFram
             good = (words >= LEAST_WORDS) & (100 * repeats <= MOST_REPEATED * words) & (model.score(features(stats)) >= threshold)
             yield batch.filter(pa.array(good))
 
+    ship(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
