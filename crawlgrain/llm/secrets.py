@@ -83,11 +83,19 @@ def _random(s: Column) -> Column:
     return s.rlike("[0-9]") & ~s.rlike(ALLOWED) & (window_entropy(s) >= bits)
 
 
+def _tagged(spans: Column, kind: int) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+
+
+def _count(kind: int) -> Column:
+    return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """docs with found: array<struct(start, end, kind)>, sorted by start and kind (0-3 as in KINDS); base: without kind 3.
+    """docs with _found: array<struct(start, kind, end)>, sorted by start and kind (0-3 as in KINDS); _base: without kind 3.
 
     Places are code points, end exclusive; a null text counts as empty and has none. Entropy spans
-    that touch a span of a pattern are left out. docs needs text; a column found or base is replaced.
+    that touch a span of a pattern are left out. docs needs text.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [
@@ -95,13 +103,11 @@ def scan(docs: DataFrame) -> DataFrame:
         _places(text, ACCESS, lambda m, g: F.length(m) >= 20),
         _places(text, HEX, lambda m, g: F.lit(True)),
     ]
-    tagged = [F.transform(spans, lambda x, k=k: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"))) for k, spans in enumerate(kept)]
-    base = docs.withColumn("base", F.array_sort(F.concat(*tagged)))
-    more = F.transform(
-        F.filter(_places(text, CANDIDATE, lambda m, g: _random(m)), lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))),
-        lambda x: F.struct(x["start"].alias("start"), F.lit(3).alias("kind"), x["end"].alias("end")),
-    )
-    return base.withColumn("found", F.array_sort(F.concat("base", more)))
+    tagged = [_tagged(spans, k) for k, spans in enumerate(kept)]
+    base = docs.withColumn("_base", F.array_sort(F.concat(*tagged)))
+    random = _places(text, CANDIDATE, lambda m, g: _random(m))
+    more = _tagged(F.filter(random, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))), 3)
+    return base.withColumn("_found", F.array_sort(F.concat("_base", more)))
 
 
 def _said(spans: str) -> Column:
@@ -112,13 +118,13 @@ def _said(spans: str) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs."""
     found = scan(only(docs, doc_id="long", text="string"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(_said("base").cast("binary"), 256).alias("base_sha256"), _said("found").alias("spans"))
+    counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    return found.select("doc_id", *counts, F.sha2(_said("_base").cast("binary"), 256).alias("base_sha256"), _said("_found").alias("spans"))
 
 
 def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret in text replaced by mark and n_chars (if there) counted anew; other columns and rows stay."""
-    found = scan(docs.drop("found", "base"))
+    found = scan(docs)
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
@@ -127,8 +133,8 @@ def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         said = F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, said).alias("out"))
 
-    end = F.aggregate("found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    out = found.withColumn("text", F.when(F.size("found") == 0, text).otherwise(end)).drop("found", "base")
+    end = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    out = found.withColumn("text", F.when(F.size("_found") == 0, text).otherwise(end))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
