@@ -2,4 +2,36 @@
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+from crawlgrain.llm.license_scan import RULES, SENTENCES
+
+
+def _license_sql() -> str:
+    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
+    steps, named = [], []
+    for i, (name, ids) in enumerate(RULES):
+        sought = "|" + "||".join(ids) + "|"
+        named.append(f"case when contains(m{i}, '{sought}') then '{name}' end")
+        steps.append(f"s{i + 1} as (select *, replace(m{i}, '{sought}', '~') as m{i + 1} from s{i})")
+    return f"""with known(id, sentence) as (values {known}),
+cut as (select doc_id, string_split(regexp_replace(coalesce(text, ''), '[.;!?]+(\\s|$)', chr(10) || '\\1', 'g'), chr(10)) as parts from documents),
+sentences as (select doc_id, unnest(parts) as part, generate_subscripts(parts, 1) as pos from cut),
+hits as (select s.doc_id, s.pos, k.id from sentences s join known k on k.sentence = trim(regexp_replace(lower(s.part), '[^a-z0-9]+', ' ', 'g'))),
+lists as (select doc_id, count(*) as n, string_agg(id, ',' order by pos) as ids from hits group by doc_id),
+s0 as (select d.doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sentence_ids, '|' || replace(coalesce(ids, ''), ',', '||') || '|' as m0 from documents d left join lists using (doc_id)),
+{", ".join(steps)}
+select doc_id, cast(n_sentences as bigint) as n_sentences, sentence_ids, array_to_string([x for x in [{", ".join(named)}] if x is not null], ',') as licenses from s{len(RULES)}"""
+
+
+_CHAT = r"""with t as (select conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+r as (select *, row_number() over (partition by pair_id, side order by turn nulls first, role, text) as k from t where pair_id in (select pair_id from t group by 1 having count(distinct side) = 2)),
+m as (select a.pair_id, a.k, row_number() over (partition by a.pair_id order by a.k) as rn from r a join r b on a.pair_id = b.pair_id and a.k = b.k and a.side = 'chosen' and b.side = 'rejected' and a.role = b.role and a.text = b.text),
+p as (select pair_id, count(*) filter (k = rn) as n from m group by pair_id),
+x as (select r.*, coalesce(p.n, 0) as n, '<|' || role || '|>' || chr(10) as opening from r left join p using (pair_id)),
+y as (select *, opening || text || '<|end|>' || chr(10) as turn_text, coalesce(sum(case when k > n then length(opening) + length(text) + 8 else 0 end) over (partition by pair_id, side order by k rows between unbounded preceding and 1 preceding), 0) + length(opening) as start_at from x)
+select pair_id, max(n) as n_prompt_turns, coalesce(string_agg(turn_text, '' order by k) filter (side = 'chosen' and k <= n), '') as prompt,
+ coalesce(string_agg(turn_text, '' order by k) filter (side = 'chosen' and k > n), '') as chosen, coalesce(string_agg(turn_text, '' order by k) filter (side = 'rejected' and k > n), '') as rejected,
+ coalesce(string_agg(cast(start_at as bigint) || ':' || cast(start_at + length(text) + 8 as bigint), ',' order by k) filter (side = 'chosen' and k > n and role = 'assistant'), '') as chosen_spans,
+ coalesce(string_agg(cast(start_at as bigint) || ':' || cast(start_at + length(text) + 8 as bigint), ',' order by k) filter (side = 'rejected' and k > n and role = 'assistant'), '') as rejected_spans
+from y group by pair_id"""
+
+ORACLES: dict[str, str] = {"op2_license_scans": _license_sql(), "op10_chat_formatting": _CHAT}
