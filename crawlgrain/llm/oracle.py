@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from crawlgrain.llm.license_scan import RULES, SENTENCES
+from crawlgrain.llm.secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, HEX_BITS, MIXED_BITS, PLAIN_BITS, WINDOW
 
 
 def _license_sql() -> str:
@@ -34,4 +35,27 @@ select pair_id, max(n) as n_prompt_turns, coalesce(string_agg(turn_text, '' orde
  coalesce(string_agg(cast(start_at as bigint) || ':' || cast(start_at + length(text) + 8 as bigint), ',' order by k) filter (side = 'rejected' and k > n and role = 'assistant'), '') as rejected_spans
 from y group by pair_id"""
 
-ORACLES: dict[str, str] = {"op2_license_scans": _license_sql(), "op10_chat_formatting": _CHAT}
+def _secrets_sql() -> str:
+    quote = lambda text: "'" + text.replace("'", "''").replace("\\x20", " ") + "'"
+    patterns = [quote(ASSIGN), quote(ACCESS), quote(HEX), quote(CANDIDATE.partition(")")[2])]
+    found = ", ".join(f"string_split_regex(t, {r}) as p{k}, regexp_extract_all(t, {r}, 0) as m{k}" for k, r in enumerate(patterns))
+
+    def spans(k: int, good: str) -> str:
+        start = f"cast(list_sum([length(x) for x in p{k}[1:i]]) + coalesce(list_sum([length(x) for x in m{k}[1:i-1]]), 0) as bigint)"
+        return f"[{{'s': {start}, 'k': {k}, 'e': {start} + length(m{k}[i])}} for i in range(1, len(m{k}) + 1) if {good}]"
+
+    windows = f"[list_entropy(string_split(substr(m3[i], j, {WINDOW}), '')) for j in range(1, greatest(length(m3[i]) - {WINDOW - 2}, 2))]"
+    least = f"case when regexp_full_match(m3[i], '[0-9a-fA-F]+') then {HEX_BITS} when regexp_full_match(m3[i], '[0-9a-z]+|[0-9A-Z]+') then {PLAIN_BITS} else {MIXED_BITS} end"
+    random = f"regexp_matches(m3[i], '[0-9]') and not regexp_matches(m3[i], {quote(ALLOWED)}) and list_max({windows}) >= {least}"
+    said = "coalesce(array_to_string([['assign', 'access', 'hex', 'entropy'][b.k + 1] || ':' || b.s || ':' || b.e for b in {}], ','), '')"
+    return f"""with d as (select doc_id, coalesce(text, '') as t from documents), m as (select doc_id, regexp_extract_all(t, {patterns[0]}, 2) as g0, {found} from d),
+s as (select doc_id, {spans(0, "length(g0[i]) >= 6")} as a0, {spans(1, "length(m1[i]) >= 20")} as a1, {spans(2, "true")} as a2, {spans(3, random)} as a3 from m),
+b as (select *, list_sort(a0 || a1 || a2) as base from s), f as (select *, list_sort(base || [x for x in a3 if len([y for y in base if y.s < x.e and x.s < y.e]) = 0]) as found from b)
+select doc_id, cast(len(a0) as bigint) as n_assign, cast(len(a1) as bigint) as n_access, cast(len(a2) as bigint) as n_hex, sha256({said.format("base")}) as base_sha256, {said.format("found")} as spans from f"""
+
+
+ORACLES: dict[str, str] = {
+    "op8_secret_scans": _secrets_sql(),
+    "op2_license_scans": _license_sql(),
+    "op10_chat_formatting": _CHAT,
+}
