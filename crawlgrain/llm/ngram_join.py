@@ -8,8 +8,9 @@ Two sketches differ in at most as many bits as the sets differ in shingles. Two
   is set in B (pigeonhole). The bits are taken in one order for all, rare ones first, so both
   sketches of a link have a bit in common among their first n/4 + 1; these are the join keys.
   n/4 is the bound for the size band from 3/4 n to 4/3 n, outside of which there is no link.
-* the narrow one, the wide one folded to 1024 bits, is compared by Hamming distance: a pair that
-  differs in more bits than two linked sets of their sizes may is dropped before its sets are read.
+* narrow ones, the wide one folded to 1024 bits and to at least two bits a shingle, are compared by Hamming
+  distance: a pair that differs in more bits than two linked sets of their sizes may is dropped before
+  its sets are read.
 
 Documents with equal sets are one class. Keys first give stars (every class of a key with the
 smallest one), which are verified; then only keys that still hold several components are searched
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm.common import as_bytes, drop_table, int_list, materialize, mix64, only, shingle_sets, slices
@@ -59,21 +60,35 @@ def common_bits(docs: DataFrame) -> np.ndarray:
     return flags
 
 
-def fold(bits: np.ndarray) -> np.ndarray:
-    """The parity sketch of FOLD bits, as 16 words."""
-    odd = np.bincount((bits & np.uint64(FOLD - 1)).astype(np.int64), minlength=FOLD) & 1
+def fold(bits: np.ndarray, width: int = FOLD) -> np.ndarray:
+    """The parity sketch of width bits (a power of 2, 64 at least), as words."""
+    odd = np.bincount((bits & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def width_for(n: int) -> int:
+    """Bits of the second narrow sketch of n shingles: two a shingle at least."""
+    return max(FOLD, 1 << (2 * n - 1).bit_length()) if n else FOLD
+
+
+def hamming(a: np.ndarray, b: np.ndarray) -> int:
+    """Distance of two sketches; the wider one is folded to the width of the other."""
+    while a.size > b.size:
+        a = a[: a.size // 2] ^ a[a.size // 2 :]
+    while b.size > a.size:
+        b = b[: b.size // 2] ^ b[b.size // 2 :]
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
 def sketches(docs: DataFrame, flags: np.ndarray) -> DataFrame:
-    """(doc_id, n, k1, k2, keys, sketch): set size, a 128-bit digest of the set, join keys, folded sketch."""
+    """(doc_id, n, k1, k2, keys, sketch, wide): set size, a 128-bit digest of the set, join keys, both narrow sketches."""
     context = docs.sparkSession.sparkContext
     shared = context.broadcast(np.packbits(flags))  # BUCKETS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(shared.value).astype(bool)
         for batch, sets in _batches(batches):
-            ns, k1, k2, keys, folded = [], [], [], [], []
+            ns, k1, k2, keys, folded, wide = [], [], [], [], [], []
             for x in sets:
                 ns.append(x.size)
                 k1.append(int(mix64(x).sum(dtype=np.uint64)) - (1 << 63))
@@ -82,14 +97,16 @@ def sketches(docs: DataFrame, flags: np.ndarray) -> DataFrame:
                 ordered = np.concatenate([x[~last], x[last]])
                 keys.append(ordered[: x.size // 4 + 1])
                 folded.append(fold(x))
+                wide.append(fold(x, width_for(x.size)))
             offsets = np.concatenate([[0], np.cumsum([k.size for k in keys])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), int_list(offsets, np.concatenate(keys)),
-                 int_list(np.arange(len(folded) + 1) * 16, np.concatenate(folded))],
-                names=["doc_id", "n", "k1", "k2", "keys", "sketch"],
+                 int_list(np.arange(len(folded) + 1) * 16, np.concatenate(folded)),
+                 int_list(np.concatenate([[0], np.cumsum([w.size for w in wide])]), np.concatenate(wide))],
+                names=["doc_id", "n", "k1", "k2", "keys", "sketch", "wide"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, keys array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, k1 long, k2 long, keys array<long>, sketch array<long>, wide array<long>")
 
 
 def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +167,22 @@ def _group_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from groups(keys, ids)
 
 
-def _may_link(a: Column, b: Column, na: Column, nb: Column) -> Column:
-    """Whether sizes and Hamming distance of the folded sketches allow a link."""
-    apart = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
-    sizes = 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
-    return sizes & ((100 + PERCENT) * apart <= (100 - PERCENT) * (na + nb))
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, n_a, n_b, w_a, w_b): the pairs (a, b) whose sizes and sketches allow a link."""
+    for batch in batches:
+        na, nb = batch.column("n_a").to_numpy().astype(np.int64), batch.column("n_b").to_numpy().astype(np.int64)
+        good = 100 * np.minimum(na, nb) >= PERCENT * np.maximum(na, nb)
+        parts = [(c.offsets.to_numpy(), c.values.to_numpy().view(np.uint64)) for c in (batch.column("w_a"), batch.column("w_b"))]
+        for k in np.flatnonzero(good).tolist():
+            x, y = (v[o[k] : o[k + 1]] for o, v in parts)
+            good[k] = (100 + PERCENT) * hamming(x, y) <= (100 - PERCENT) * int(na[k] + nb[k])
+        yield batch.select(["a", "b"]).filter(pa.array(good))
+
+
+def _may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and Hamming distance allow a link."""
+    of_a, of_b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"w_{x}")) for x in "ab")
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "w_a", "w_b").mapInArrow(_near, "a long, b long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
@@ -244,7 +272,7 @@ def _between_components(groups: DataFrame, comps: DataFrame, info: DataFrame) ->
         .when(F.col("comp") == F.col("main"), alone)
         .otherwise(F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j"))))
     )
-    tasks = rows.join(info, "id").withColumn("to", F.explode(to)).select("gid", "to.i", "to.j", "id", "comp", "n", "sketch")
+    tasks = rows.join(info.select("id", "n", "sketch"), "id").withColumn("to", F.explode(to)).select("gid", "to.i", "to.j", "id", "comp", "n", "sketch")
     tasks = tasks.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
     return tasks.mapInArrow(_across, "a long, b long").distinct()
 
@@ -268,16 +296,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = materialize(
         keys.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_group_rows, "gid long, rep long, ids array<long>"), "ngram-groups"
     )
-    info = made.where("n > 0").select(F.col("doc_id").alias("id"), "n", "sketch").dropDuplicates(["id"])
+    info = made.where("n > 0").select(F.col("doc_id").alias("id"), "n", "sketch", "wide").dropDuplicates(["id"])
     info = materialize(info, "ngram-info")
     drop_table(made)
     stars = groups.select("rep", F.explode("ids").alias("b")).where("rep <> b").distinct().select(F.col("rep").alias("a"), "b")
-    of_a, of_b = (info.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}")) for x in "ab")
-    may = _may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"))
-    stars = materialize(stars.join(of_a, "a").join(of_b, "b").where(may).select("a", "b"), "ngram-stars")
+    stars = materialize(_may_link(stars, info), "ngram-stars")
     links = _verified(docs, stars, "ngram-stars")
     comps = connected_components(links)
     across = materialize(_between_components(groups, comps, info), "ngram-across")
+    across = materialize(_may_link(across, info), "ngram-across")
     if across.limit(1).count():
         comps = connected_components(links.union(_verified(docs, across, "ngram-across")))
     out = members.join(comps.withColumnRenamed("id", "c_id"), F.col("rep") == F.col("c_id"), "left")
@@ -287,6 +314,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are linked, directly or not, to one with a smaller doc_id; columns and other rows stay."""
-    found = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("dropped_id")).distinct()
+    found = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
     found = materialize(found, "ngram-dropped")
-    return docs.join(found, docs.doc_id == F.col("dropped_id"), "left_anti").select(*docs.columns)
+    return docs.join(found, docs.doc_id == F.col("_dropped_id"), "left_anti").select(*docs.columns)
