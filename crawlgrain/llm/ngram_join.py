@@ -8,9 +8,8 @@ Two sketches differ in at most as many bits as the sets differ in shingles. Two
   is set in B (pigeonhole). The bits are taken in one order for all, rare ones first, so both
   sketches of a link have a bit in common among their first n/4 + 1; these are the join keys.
   n/4 is the bound for the size band from 3/4 n to 4/3 n, outside of which there is no link.
-* narrow ones, the wide one folded to 1024 bits and to at least two bits a shingle, are compared by Hamming
-  distance: a pair that differs in more bits than two linked sets of their sizes may is dropped before
-  its sets are read.
+* narrow ones, the wide one folded to at least two bits a shingle, are compared by Hamming distance: a
+  pair that differs in more bits than two linked sets of their sizes may is dropped before its sets are read.
 
 Documents with equal sets are one class. Keys first give stars (every class of a key with the
 smallest one), which are verified; then only keys that still hold several components are searched
@@ -32,6 +31,8 @@ from crawlgrain.llm.components import connected_components
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
 FOLD = 1024
+#: Bits of the sketches that go through the search between components, at most.
+WIDEST = 16384
 #: Frequent bits go last in the order: those whose bucket (of BUCKETS) one task sees in one of COMMON of its documents.
 BUCKETS, COMMON, LEAST_SEEN = 1 << 20, 256, 32
 BLOCK = 1024
@@ -96,12 +97,12 @@ def sketches(docs: DataFrame, flags: np.ndarray) -> DataFrame:
                 last = often[(x >> np.uint64(44)).astype(np.int64)]
                 ordered = np.concatenate([x[~last], x[last]])
                 keys.append(ordered[: x.size // 4 + 1])
-                folded.append(fold(x))
+                folded.append(fold(x, min(width_for(x.size), WIDEST)))
                 wide.append(fold(x, width_for(x.size)))
             offsets = np.concatenate([[0], np.cumsum([k.size for k in keys])])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ns, pa.int32()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), int_list(offsets, np.concatenate(keys)),
-                 int_list(np.arange(len(folded) + 1) * 16, np.concatenate(folded)),
+                 int_list(np.concatenate([[0], np.cumsum([w.size for w in folded])]), np.concatenate(folded)),
                  int_list(np.concatenate([[0], np.cumsum([w.size for w in wide])]), np.concatenate(wide))],
                 names=["doc_id", "n", "k1", "k2", "keys", "sketch", "wide"],
             )
@@ -209,25 +210,40 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         gid, i, j, ids, comp, n = (rows.column(c).to_numpy() for c in ("gid", "i", "j", "id", "comp", "n"))
-        bits = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, FOLD // 64)
+        lists = rows.column("sketch").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at, words = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        widths = np.diff(at)
         change = (np.diff(gid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
         starts = np.append(0, np.flatnonzero(change) + 1)
-        a, b = [], []
+        found: list[np.ndarray] = []
+
+        def bits(of: np.ndarray, width: int) -> np.ndarray:
+            return words[at[of][:, None] + np.arange(width)]
+
+        def compare(x: np.ndarray, bx: np.ndarray, y: np.ndarray, by: np.ndarray) -> None:
+            for k in range(0, x.size, 256):
+                part = x[k : k + 256]
+                apart = np.bitwise_count(bx[k : k + 256, None, :] ^ by[None, :, :]).sum(2, dtype=np.int64)
+                least, most = np.minimum(n[part, None], n[None, y]), np.maximum(n[part, None], n[None, y])
+                good = ((100 + PERCENT) * apart <= (100 - PERCENT) * (least + most)) & (100 * least >= PERCENT * most) & (comp[part, None] != comp[None, y])
+                p, q = np.nonzero(good)
+                p, q = ids[part[p]], ids[y[q]]
+                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), gid.size], strict=True):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
-            for at in range(s, e, 256):
-                part = slice(at, min(at + 256, e))
-                rest = slice(at, e)
-                apart = np.bitwise_count(bits[part, None, :] ^ bits[None, rest, :]).sum(2, dtype=np.int64)
-                least, most = np.minimum(n[part, None], n[None, rest]), np.maximum(n[part, None], n[None, rest])
-                good = ((100 + PERCENT) * apart <= (100 - PERCENT) * (least + most)) & (100 * least >= PERCENT * most) & (comp[part, None] != comp[None, rest])
-                x, y = np.nonzero(good)
-                x, y = ids[at + x], ids[at + y]
-                a.append(np.minimum(x, y))
-                b.append(np.maximum(x, y))
-        if a:
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+            # sizes within 3/4 to 4/3 of each other have widths that are equal or one step apart
+            for width in np.unique(widths[s:e]).tolist():
+                x, y = s + np.flatnonzero(widths[s:e] == width), s + np.flatnonzero(widths[s:e] == 2 * width)
+                bx = bits(x, width)
+                compare(x, bx, x, bx)
+                if y.size:
+                    by = bits(y, 2 * width)
+                    compare(x, bx, y, by[:, :width] ^ by[:, width:])
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
     for batch in batches:
@@ -307,6 +323,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     across = materialize(_may_link(across, info), "ngram-across")
     if across.limit(1).count():
         comps = connected_components(links.union(_verified(docs, across, "ngram-across")))
+    for done in (groups, info, stars, across):
+        drop_table(done)
     out = members.join(comps.withColumnRenamed("id", "c_id"), F.col("rep") == F.col("c_id"), "left")
     # rows of one doc_id are one node
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
