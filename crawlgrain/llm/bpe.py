@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,9 +27,20 @@ from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, sl
 #: A cut after a byte with probability 2^-CUT_BITS: chunks of 512 bytes on average.
 CUT_BITS, WINDOW = 9, 24
 #: Bytes of words and of chunks that a worker keeps at once.
-WORD_BYTES, CHUNK_BYTES = 96 << 20, 16 << 20
+WORD_BYTES, CHUNK_BYTES = 224 << 20, 16 << 20
 MOST_CHUNK = 1 << 16
 
+#: Latin-1 letters with simple case pairs; none of them composes with another.
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_level() -> dict[int, int]:
+    """Byte to character of the byte-level form: printable bytes are themselves, the others follow from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: b for b in own} | {b: 256 + k for k, b in enumerate(x for x in range(256) if x not in own)}
+
+
+BYTE_LEVEL = _byte_level()
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -78,14 +90,15 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.old_words: dict[bytes, bytes] = {}
         self.word_bytes = 0
-        self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
+        self.chunks: dict[bytes, list | None] = {}
         self.chunk_bytes = 0
         self.reused = 0
         self.lowers = self.tokenizer.encode("The QUICK", add_special_tokens=False).ids == self.tokenizer.encode("the quick", add_special_tokens=False).ids
-        # lower-case ASCII letters pass the normaliser and the pre-tokenizer unchanged, as one pre-token
-        probe = [b"a", b"the", b"zyxwvut"]
-        self.ascii_words = all(
-            [t.id for t in self.tokenizer.model.tokenize(w.decode())] == self.tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in probe
+        # letters a-z and those of Latin-1 pass the normaliser, but for their case, and are one pre-token in byte-level form
+        probe = ["a", "the", "zyxwvut", "é", "Ünßÿ", "çaÀ"]
+        self.letters = all(
+            [t.id for t in self.tokenizer.model.tokenize(w.lower().encode().decode("latin-1").translate(BYTE_LEVEL))] == self.tokenizer.encode(w, add_special_tokens=False).ids
+            for w in probe
         )
 
     def name(self, i: int) -> bytes:
@@ -94,76 +107,56 @@ class Encoder:
         return self.names[i]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encode words that are not in store. A letter or digit ends a pre-token before . and , so those are read apart."""
+        """Put words into the store; those that are in use move on from the older half."""
         if self.word_bytes > WORD_BYTES // 2:
             self.old_words, self.words, self.word_bytes = self.words, {}, 0
+        rest, apart = self._read(words)
+        if apart:  # a letter or digit ends a pre-token before . and , so those are read apart
+            more, _ = self._read({x for base, end in apart.values() for x in (base, end)}, split=False)
+            rest += more
+        for at in range(0, len(rest), 10_000):
+            part = rest[at : at + 10_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
+                self._put(w, struct.pack(f"<{len(e.ids)}I", *e.ids))
         store = self.words
-        if old := self.old_words:  # words still in use move on
-            for w in words:
-                if w in old and w not in store:
-                    self._put(w, old[w])
-        new = [w for w in words if w not in store]
-        ends = {w: w.rstrip(b".,") for w in new}
-        apart = {w: base for w, base in ends.items() if len(base) < len(w) and base and base[-1:].isalnum()}
-        whole = {w for w in new if w not in apart}.union(apart.values(), (w[len(base) :] for w, base in apart.items())).difference(store)
-        model, known = self.tokenizer.model, self.ascii_words
-        rest = []
-        for w in whole:
+        for w, (base, end) in apart.items():
+            self._put(w, store[base] + store[end])
+
+    def _read(self, words: set[bytes], split: bool = True) -> tuple[list[bytes], dict[bytes, tuple[bytes, bytes]]]:
+        """Words that the library has to read whole, and those that end in . or , with their parts; the others are put in store."""
+        rest, apart = [], {}
+        old, tokenize, known, put, pack = self.old_words, self.tokenizer.model.tokenize, self.letters, self._put, struct.pack
+        for w in words.difference(self.words):
             if w in old:
-                self._put(w, old[w])
-            elif known and w.isalpha() and w.islower():  # isalpha() holds for ASCII letters only
-                self._keep(w, [t.id for t in model.tokenize(w.decode())])
+                put(w, old[w])
+            elif known and w.isalpha() and w.islower():  # ASCII letters only
+                ids = [t.id for t in tokenize(w.decode())]
+                put(w, pack(f"<{len(ids)}I", *ids))
+            elif split and (base := w.rstrip(b".,")) and len(base) < len(w) and base[-1:].isalnum():
+                apart[w] = base, w[len(base) :]
+            elif known and (m := LATIN.fullmatch(w.decode())):
+                ids = [t.id for t in tokenize(m[0].lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
+                put(w, pack(f"<{len(ids)}I", *ids))
             else:
                 rest.append(w)
-        for at in range(0, len(rest), 10_000):
-            part = rest[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False), strict=True):
-                self._keep(w, e.ids)
-        for w, base in apart.items():
-            self._put(w, store[base] + store[w[len(base) :]])
-
-    def _keep(self, word: bytes, ids: list[int]) -> None:
-        self._put(word, struct.pack(f"<{len(ids)}I", *ids))
+        return rest, apart
 
     def _put(self, word: bytes, packed: bytes) -> None:
         self.words[word] = packed
         self.word_bytes += len(word) + len(packed) + 170
 
-    def chunk(self, piece: bytes) -> tuple[bytes, bytes, bytes] | None:
-        """(open head, ids of the inner words, open tail) of a chunk; None if it has no white space.
+    def _open(self, piece: bytes) -> list | None:
+        """[open head, inner words, open tail] of a chunk; None if it has no white space.
 
         The head ends and the tail begins at white space, so either may be empty.
         """
-        found = self.chunks.get(piece, 0)
-        if found != 0:
-            self.reused += 1
-            return found
         parts = piece.split()
-        if len(parts) <= 1 and not (piece and (IS_SPACE[piece[0]] or IS_SPACE[piece[-1]] or len(parts) == 0)):
-            out = None
-        else:
-            head = b"" if IS_SPACE[piece[0]] else parts.pop(0)
-            tail = b"" if IS_SPACE[piece[-1]] or not parts else parts.pop()
-            get = self.words.get
-            ids = [get(w) for w in parts]
-            if None in ids:
-                self.learn(set(parts))
-                ids = [self.words[w] for w in parts]
-            out = (head, b"".join(ids), tail)
-        if len(piece) <= MOST_CHUNK:
-            if self.chunk_bytes > CHUNK_BYTES:
-                self.chunks.clear()
-                self.chunk_bytes = 0
-            self.chunks[piece] = out
-            self.chunk_bytes += 2 * len(piece) + (len(out[1]) if out else 0) + 400
-        return out
-
-    def word(self, w: bytes) -> bytes:
-        ids = self.words.get(w)
-        if ids is None:
-            self.learn({w})
-            ids = self.words[w]
-        return ids
+        first, last = IS_SPACE[piece[0]], IS_SPACE[piece[-1]]
+        if len(parts) == 1 and not first and not last:
+            return None
+        head = b"" if first else parts.pop(0)
+        tail = b"" if last or not parts else parts.pop()
+        return [head, parts, tail]
 
     def prepare(self, text: bytes) -> bytes:
         """text with A-Z lower-cased where the normaliser would do it with the same result.
@@ -174,34 +167,60 @@ class Encoder:
         return text if b"\xcc" in text or b"<|" in text or not self.lowers else text.lower()
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
-        """encode() of each text; the words of all are looked up first."""
-        ready = [self.prepare(t) for t in texts]
-        self.learn(set(b"\n".join(ready).split()).difference(self.words))
-        return [self._encode(t) for t in ready]
+        """Ids of whole texts as little-endian uint32.
 
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a whole text as little-endian uint32."""
-        return self._encode(self.prepare(text))
-
-    def _encode(self, text: bytes) -> bytes:
-        out: list[bytes] = []
-        open_end: list[bytes] = []
-        at = 0
-        for end in cut_places(text):
-            got = self.chunk(text[at:end])
-            if got is None:
-                open_end.append(text[at:end])
-            else:
-                head, inner, tail = got
-                open_end.append(head)
+        The words of all chunks that aren't in store, and those that joins make, are looked up together.
+        """
+        store, chunks = self.chunks, {}
+        wanted: set[bytes] = set()
+        plans: list[list] = []
+        for text in map(self.prepare, texts):
+            plan: list = []
+            open_end: list[bytes] = []
+            at = 0
+            for end in cut_places(text):
+                piece = text[at:end]
+                at = end
+                got = chunks.get(piece, 0)
+                if got == 0:
+                    got = store.get(piece, 0)
+                    if got == 0:
+                        got = self._open(piece)
+                        if got is not None:
+                            wanted.update(got[1])
+                    else:
+                        self.reused += 1
+                    chunks[piece] = got
+                else:
+                    self.reused += 1
+                if got is None:
+                    open_end.append(piece)
+                    continue
+                open_end.append(got[0])
                 if w := b"".join(open_end):
-                    out.append(self.word(w))
-                out.append(inner)
-                open_end = [tail]
-            at = end
-        if w := b"".join(open_end):
-            out.append(self.word(w))
-        return b"".join(out)
+                    wanted.add(w)
+                    plan.append(w)
+                plan.append(got)
+                open_end = [got[2]]
+            if w := b"".join(open_end):
+                wanted.add(w)
+                plan.append(w)
+            plans.append(plan)
+        self.learn(wanted)
+        ids = self.words.__getitem__
+        for piece, got in chunks.items():
+            if got is not None and type(got[1]) is list:
+                got[1] = b"".join(map(ids, got[1]))
+            if piece not in store and len(piece) <= MOST_CHUNK:
+                store[piece] = got
+                self.chunk_bytes += 2 * len(piece) + (len(got[1]) if got else 0) + 500
+        if self.chunk_bytes > CHUNK_BYTES:
+            store.clear()
+            self.chunk_bytes = 0
+        return [b"".join([ids(x) if type(x) is bytes else x[1] for x in plan]) for plan in plans]
+
+    def encode(self, text: bytes) -> bytes:
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of what the library's decode gives: without a decoder it joins the tokens' names by one space."""
