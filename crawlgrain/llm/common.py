@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from crawlgrain.session import shared_dir, ship
 
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at replicated files.
 
