@@ -7,7 +7,8 @@ task. A task returns counts and a spanning forest of its links, never the links
 
 How close counts: a vector y with cosine t to x differs from t*x by sqrt(1-t*t) in a direction that is
 as good as any of the d orthogonal ones, so along the normal of a border by about sqrt((1-t*t)/d).
-MARGIN_SIGMAS of these are allowed for.
+MARGIN_SIGMAS of these are allowed for; a link is missed only if x, too, is near the border and y is
+farther beyond it.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from crawlgrain.llm.components import connected_components
 COSINE = 0.9
 #: Classes that centroids are fitted on, vectors of a cell on average, most cells, vectors of a block.
 SAMPLE, CELL, MOST_CELLS, BLOCK = 16384, 512, 2048, 2048
-MARGIN_SIGMAS = 3.0
+MARGIN_SIGMAS = 1.0
 
 
 def _finite(column: str):
@@ -99,7 +100,8 @@ def block_links(table: pa.Table, cosine: float) -> pa.Table:
     """Of one pair of blocks: (a, null, links of a) for each home row, and forest edges (a, b, 0)."""
     role = table.column("role").to_numpy()
     rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
-    vec = np.array(table.column("vec").to_pylist(), np.float64)
+    vec = table.column("vec").combine_chunks()
+    vec = (vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec).flatten().to_numpy().reshape(table.num_rows, -1)
     norm = np.linalg.norm(vec, axis=1)
     h, o = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
     counts, rows, columns = [], [], []
@@ -153,14 +155,15 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     cells = fit_cells(classes)
     placed = materialize(_assign(classes, cells, cosine), "embed-cells")
-    sizes = placed.groupBy("d", "cell").agg(F.count("*").alias("n"))  # MOST_CELLS rows for each length at most
-    rows = placed.join(sizes, ["d", "cell"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    as_other = F.transform(every, lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(2).alias("role")))
-    as_home = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(1).alias("role")))
+    sizes = placed.groupBy("d", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))  # MOST_CELLS rows for each length at most
+    rows = placed.join(sizes, ["d", "cell"])
+    # home rows of block i meet all rows of block j; a cell has one home block unless it is large
+    blocks, home_blocks = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("n", "n_home"))
+    own, own_home = (F.pmod(F.xxhash64("rep"), b).cast("int") for b in (blocks, home_blocks))
+    as_other = F.transform(F.sequence(F.lit(0), home_blocks - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(2).alias("role")))
+    as_home = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own_home.alias("i"), j.alias("j"), F.lit(1).alias("role")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("home"), 3).otherwise(2).alias("role")))
-    to = F.when(F.col("blocks") == 1, alone).when(F.col("home"), F.concat(as_other, as_home)).otherwise(as_other)
+    to = F.when(blocks == 1, alone).when(F.col("home"), F.concat(as_other, as_home)).otherwise(as_other)
     tasks = rows.withColumn("to", F.explode(to)).select("d", "cell", "to.i", "to.j", "to.role", "rep", "size", "vec")
     # a plain function of the table: the group's key is in its columns
     found = materialize(
