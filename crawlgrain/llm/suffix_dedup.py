@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.common import BYTE_VALUE, as_bytes, materialize, mix64, only, powers, slices
 from crawlgrain.llm.bpe import _inverse_powers
+from crawlgrain.llm.common import BYTE_VALUE, as_bytes, drop_table, materialize, mix64, only, powers, slices
+from crawlgrain.session import ship
 
 SPAN = 200
 ANCHOR = 64
@@ -85,11 +86,23 @@ def segments(texts: list[bytes], span: int = SPAN, anchor: int = ANCHOR) -> tupl
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments as rows; of equal ones in a slice the first, with the others packed in more."""
     for batch in slices(batches, "text", 1 << 20):
         text, lo, hi, a, h, seg = segments(as_bytes(batch.column("text")))
+        row_id = batch.column("row_id").to_numpy()[text]
+        order = np.lexsort((seg, h))
+        same = np.zeros(order.size, bool)
+        same[1:] = (h[order[1:]] == h[order[:-1]]) & (seg[order[1:]] == seg[order[:-1]])
+        firsts = np.flatnonzero(~same)
+        packed = np.stack([row_id, lo, hi], axis=1).astype("<i8")[order]
+        sizes = np.diff(np.append(firsts, order.size))
+        more: list[bytes | None] = [None] * firsts.size
+        for k in np.flatnonzero(sizes > 1).tolist():
+            more[k] = packed[firsts[k] + 1 : firsts[k] + sizes[k]].tobytes()
+        at = order[firsts]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id").take(pa.array(text)), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(a, pa.int16()), pa.array(h), pa.array(seg)],
-            names=["row_id", "lo", "hi", "a", "h", "seg"],
+            [pa.array(row_id[at]), pa.array(lo[at], pa.int32()), pa.array(hi[at], pa.int32()), pa.array(a[at], pa.int16()), pa.array(h[at]), pa.array(seg[at]), pa.array(more, pa.binary())],
+            names=["row_id", "lo", "hi", "a", "h", "seg", "more"],
         )
 
 
@@ -115,7 +128,8 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         firsts = np.concatenate([[before[2]], run_first[run_start]])
         first_of_h = firsts[runs]
         done = n if not more else n - 1
-        twice = same_seg[:n] | same_seg[1:]
+        others = rows.column("more")
+        twice = same_seg[:n] | same_seg[1:] | others.is_valid().to_numpy()
         ends = same_h[1:] & ~same_seg[1:]  # last row of its run, another run of the anchor follows
         read = np.where(first_of_h, ends, run_start & same_h[:n])
         keep = (twice | read)[:done]
@@ -126,6 +140,12 @@ def _sort_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             columns = [part.column(c).combine_chunks() for c in schema[:5]]
             columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
             out = pa.RecordBatch.from_arrays([*columns, pa.array(twice[index]), pa.array(read[index])], names=schema)
+            packed = b"".join(x for x in part.column("more").to_pylist() if x)
+            if packed:
+                m = np.frombuffer(packed, "<i8").reshape(-1, 3)
+                none, true = np.zeros(len(m)), np.ones(len(m), bool)
+                extra = [pa.array(m[:, 0]), pa.array(m[:, 1], pa.int32()), pa.array(m[:, 2], pa.int32()), pa.array(none, pa.int16()), pa.array(none, pa.int64()), pa.array(true), pa.array(~true)]
+                out = pa.Table.from_batches([out, pa.RecordBatch.from_arrays(extra, names=schema)]).combine_chunks().to_batches()[0]
         after = before
         if more:
             after = (h[n - 2], seg[n - 2], bool(first_of_h[n - 2])) if n > 1 else before
@@ -302,23 +322,25 @@ def _cut(text: bytes, runs: list) -> tuple[bytes, int, int]:
 
 def repeated_runs(rows: DataFrame) -> DataFrame:
     """(row_id, runs: array<struct(lo, hi)>) of the windows of rows (row_id, text) that occur twice or more."""
-    dealt = rows.mapInArrow(_segment_rows, "row_id long, lo int, hi int, a short, h long, seg long").repartition("h").sortWithinPartitions("h", "seg")
+    dealt = rows.mapInArrow(_segment_rows, "row_id long, lo int, hi int, a short, h long, seg long, more binary").repartition("h").sortWithinPartitions("h", "seg")
     hits = materialize(dealt.mapInArrow(_sort_out, "row_id long, lo int, hi int, a short, h long, twice boolean, read boolean"), "suffix-hits")
     reads = hits.where("read").groupBy("row_id").agg(F.collect_list(F.struct("h", "lo", "hi", "a")).alias("reads"))
     texts = rows.join(reads, "row_id").mapInArrow(_read_segments, "key long, row_id long, lo int, text binary")
     partial = materialize(texts.repartition("key").sortWithinPartitions("key").mapInArrow(_compare, "row_id long, lo int, hi int"), "suffix-partial")
     both = hits.where("twice").select("row_id", "lo", "hi").union(partial)
-    return materialize(both.groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-runs")
+    runs = materialize(both.groupBy("row_id").agg(F.collect_list(F.struct("lo", "hi")).alias("runs")), "suffix-runs")
+    for done in (hits, partial):
+        drop_table(done)
+    return runs
 
 
-def _with_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """docs with row_id, one for each row: doc_id itself where no doc_id repeats or is null."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("row_id"))
-    odd = ids.groupBy("row_id").agg(F.count("*").alias("n")).where("n > 1 or row_id is null").limit(1).count()
+def _with_rows(docs: DataFrame) -> DataFrame:
+    """docs with _row_id, one for each row: doc_id itself where no doc_id repeats or is null."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    odd = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("row_id", F.col("doc_id").cast("long")), docs
-    kept = materialize(docs.withColumn("row_id", F.monotonically_increasing_id()), "suffix-rows")
-    return kept, kept
+        return docs.withColumn("_row_id", F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn("_row_id", F.monotonically_increasing_id()), "suffix-rows")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -341,7 +363,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 [batch.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    rows, _ = _with_rows(only(docs, doc_id="long", text="string"))
+    rows = _with_rows(only(docs, doc_id="long", text="string")).withColumnRenamed("_row_id", "row_id")
     runs = repeated_runs(rows.select("row_id", "text"))
     return rows.join(runs, "row_id", "left").select("doc_id", "text", "runs").mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
@@ -358,16 +380,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             texts = [
                 t if not runs or t is None else _cut(t.encode(), runs)[0].decode("utf-8", "ignore")
-                for t, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)
+                for t, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(), strict=True)
             ]
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 old = batch.column("n_chars")
-                columns["n_chars"] = pa.array([o if not r else len(t or "") for o, r, t in zip(old.to_pylist(), batch.column("runs").to_pylist(), texts, strict=True)], old.type)
+                columns["n_chars"] = pa.array([o if not r else len(t or "") for o, r, t in zip(old.to_pylist(), batch.column("_runs").to_pylist(), texts, strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
-    rows, _ = _with_rows(docs)
-    runs = repeated_runs(rows.select("row_id", F.col("text").cast("string").alias("text")))
-    return rows.join(runs, "row_id", "left").select(*names, "runs").mapInArrow(run, docs.schema)
+    ship(docs.sparkSession)
+    rows = _with_rows(docs)
+    runs = repeated_runs(rows.select(F.col("_row_id").alias("row_id"), F.col("text").cast("string").alias("text")))
+    runs = runs.select(F.col("row_id").alias("_row_id"), F.col("runs").alias("_runs"))
+    return rows.join(runs, "_row_id", "left").select(*names, "_runs").mapInArrow(run, docs.schema)
 
 
