@@ -33,6 +33,8 @@ PERCENT = 75
 FOLD = 1024
 #: Bits of the sketches that go through the search between components, at most.
 WIDEST = 16384
+#: Bits of the table that keeps texts which no pair needs out of a shuffle.
+FILTER_BITS = 1 << 22
 #: Frequent bits go last in the order: those whose bucket (of BUCKETS) one task sees in one of COMMON of its documents.
 BUCKETS, COMMON, LEAST_SEEN = 1 << 20, 256, 32
 BLOCK = 1024
@@ -186,6 +188,21 @@ def _may_link(pairs: DataFrame, info: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "n_a", "n_b", "w_a", "w_b").mapInArrow(_near, "a long, b long")
 
 
+def _only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids, without sending most other texts through a shuffle.
+
+    A bit table of FILTER_BITS bits, made on the executors, is broadcast (FILTER_BITS / 8 bytes whatever the number
+    of ids) and drops nearly all others at the scan; a join decides. A full table drops nothing and costs nothing.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    each = 32768  # bits of one of Spark's bitmaps
+    maps = ids.select(F.floor(bit / each).cast("int").alias("_map"), (bit % each).alias("_bit")).groupBy("_map").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    rows = docs.withColumn("_map", F.floor(bit / each).cast("int")).withColumn("_bit", (bit % each).cast("int")).join(F.broadcast(maps), "_map")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = rows.where((byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)"))) != 0).drop("_map", "_bit", "_bits")
+    return rows.join(ids, "doc_id", "left_semi")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     """The pairs (a, b) that link; the sets of their documents are made again from the texts."""
 
@@ -195,7 +212,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), int_list(offsets, np.concatenate(sets))], names=["id", "bits"])
 
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = materialize(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, bits array<long>"), label + "-sets")
+    ids = materialize(ids, label + "-ids")
+    sets = materialize(_only_ids(docs.select("doc_id", "text"), ids).mapInArrow(run, "id long, bits array<long>"), label + "-sets")
     of_a, of_b = (sets.select(F.col("id").alias(x), F.col("bits").alias(f"bits_{x}")) for x in "ab")
     shared = F.size(F.array_intersect("bits_a", "bits_b"))
     linked = 100 * shared >= PERCENT * (F.size("bits_a") + F.size("bits_b") - shared)
