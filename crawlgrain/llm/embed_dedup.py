@@ -26,7 +26,7 @@ from crawlgrain.llm.components import connected_components
 COSINE = 0.9
 #: Classes that centroids are fitted on, vectors of a cell on average, most cells, vectors of a block.
 SAMPLE, CELL, MOST_CELLS, BLOCK = 16384, 512, 2048, 2048
-MARGIN_SIGMAS = 1.0
+MARGIN_SIGMAS = 3.0
 
 
 def _finite(column: str):

@@ -59,6 +59,23 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert found[6005]["component_id"] == found[6006]["component_id"] == 6005
 
 
+def test_large_group_is_whole_across_cells(spark, monkeypatch):
+    """A third of the rows are one group (mean cosine 0.92) that the cells cut into many slices."""
+    monkeypatch.setattr(embed_dedup, "CELL", 64)
+    rng = np.random.default_rng(5)
+    n, d = 3000, 64
+    x = rng.normal(size=(n, d))
+    base = rng.normal(size=d)
+    x[: n // 3] = base / np.linalg.norm(base) + rng.normal(size=(n // 3, d)) * np.sqrt((1 / 0.92 - 1) / d)
+    x = x[rng.permutation(n)]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    there = (unit @ unit.T >= 0.9).sum(1) - 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["n_links"] for r in embed_dedup.near_duplicates(df).collect()}
+    assert all(found[i] <= there[i] for i in range(n))
+    assert sum(found.values()) >= 0.99 * there.sum()
+
+
 def test_embedding_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = vectors(60, 16, rng)
