@@ -65,7 +65,7 @@ def fit_cells(classes: DataFrame) -> dict[int, np.ndarray]:
 
 
 def _assign(classes: DataFrame, cells: dict[int, np.ndarray], cosine: float) -> DataFrame:
-    """(d, cell, rep, size, home, vec): each class in its own cell and in those that it visits."""
+    """(d, cell, rep, size, home, visits, vec): each class in its own cell, home, and in those that it visits, one bit each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,31 +86,39 @@ def _assign(classes: DataFrame, cells: dict[int, np.ndarray], cosine: float) ->
                         visits[np.arange(len(x)), home] = True
                     else:
                         visits, home = np.ones((len(x), 1), bool), np.zeros(len(x), int)
+                    bits = [v.tobytes() for v in np.packbits(visits, axis=1)]
                     row, cell = np.nonzero(visits)
                     taken = part.take(pa.array(row))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), d), pa.int32()), pa.array(cell, pa.int32()), taken.column("rep"), taken.column("size"), pa.array(home[row] == cell), taken.column("vec")],
-                        names=["d", "cell", "rep", "size", "home", "vec"],
+                        [pa.array(np.full(len(row), d), pa.int32()), pa.array(cell, pa.int32()), taken.column("rep"), taken.column("size"), pa.array(home[row], pa.int32()), pa.array([bits[k] for k in row], pa.binary()), taken.column("vec")],
+                        names=["d", "cell", "rep", "size", "home", "visits", "vec"],
                     )
 
-    return classes.select("rep", "size", "vec").mapInArrow(run, "d int, cell int, rep long, size long, home boolean, vec array<double>")
+    return classes.select("rep", "size", "vec").mapInArrow(run, "d int, cell int, rep long, size long, home int, visits binary, vec array<double>")
 
 
 def block_links(table: pa.Table, cosine: float) -> pa.Table:
-    """Of one pair of blocks: (a, null, links of a) for each home row, and forest edges (a, b, 0)."""
+    """Of one pair of blocks: (a, null, links of a) for each home row and each visitor whose own cell the
+    home row doesn't visit, so that both ends of a pair count it once, and forest edges (a, b, 0)."""
     role = table.column("role").to_numpy()
     rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy()
     vec = table.column("vec").combine_chunks()
     vec = (vec.chunk(0) if isinstance(vec, pa.ChunkedArray) else vec).flatten().to_numpy().reshape(table.num_rows, -1)
     norm = np.linalg.norm(vec, axis=1)
     h, o = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-    counts, rows, columns = [], [], []
+    home = table.column("home").to_numpy()
+    visits = np.unpackbits(np.frombuffer(b"".join(table.column("visits").to_pylist()), np.uint8).reshape(table.num_rows, -1), axis=1)
+    visitor = home[o] != table.column("cell")[0].as_py()
+    counts, rows, columns, unseen = [], [], [], np.zeros(o.size, np.int64)
     for at in range(0, h.size, 256):
         part = h[at : at + 256]
         linked = (vec[part] @ vec[o].T) / (norm[part][:, None] * norm[o][None, :]) >= cosine
         linked &= rep[part][:, None] != rep[o][None, :]
         counts.append(linked.astype(np.int64) @ size[o])
         i, j = np.nonzero(linked)
+        far = visitor[j]
+        far[far] = visits[part[i[far]], home[o[j[far]]]] == 0
+        np.add.at(unseen, j[far], size[part[i[far]]])
         rows.append(part[i])
         columns.append(o[j])
     a, b = np.concatenate([*rows, np.zeros(0, int)]), np.concatenate([*columns, np.zeros(0, int)])
@@ -129,11 +137,12 @@ def block_links(table: pa.Table, cosine: float) -> pa.Table:
             break
         label = least
     joined = np.flatnonzero(label != np.arange(names.size))
-    home_counts = np.concatenate([*counts, np.zeros(0, np.int64)])
+    counted = np.flatnonzero(unseen)
+    home_counts = np.concatenate([*counts, unseen[counted]])
     return pa.table(
         {
-            "a": pa.array(np.concatenate([rep[h], names[joined]]), pa.int64()),
-            "b": pa.array([None] * h.size + names[label[joined]].tolist(), pa.int64()),
+            "a": pa.array(np.concatenate([rep[h], rep[o[counted]], names[joined]]), pa.int64()),
+            "b": pa.array([None] * (h.size + counted.size) + names[label[joined]].tolist(), pa.int64()),
             "n": pa.array(np.concatenate([home_counts, np.zeros(joined.size, np.int64)]), pa.int64()),
         }
     )
@@ -155,16 +164,17 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     cells = fit_cells(classes)
     placed = materialize(_assign(classes, cells, cosine), "embed-cells")
-    sizes = placed.groupBy("d", "cell").agg(F.count("*").alias("n"), F.count_if("home").alias("n_home"))  # MOST_CELLS rows for each length at most
+    sizes = placed.groupBy("d", "cell").agg(F.count("*").alias("n"), F.count_if(F.col("home") == F.col("cell")).alias("n_home"))  # MOST_CELLS rows for each length at most
     rows = placed.join(sizes, ["d", "cell"])
     # home rows of block i meet all rows of block j; a cell has one home block unless it is large
     blocks, home_blocks = (F.greatest(F.ceil(F.col(c) / BLOCK), F.lit(1)).cast("int") for c in ("n", "n_home"))
     own, own_home = (F.pmod(F.xxhash64("rep"), b).cast("int") for b in (blocks, home_blocks))
     as_other = F.transform(F.sequence(F.lit(0), home_blocks - 1), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(2).alias("role")))
     as_home = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own_home.alias("i"), j.alias("j"), F.lit(1).alias("role")))
-    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("home"), 3).otherwise(2).alias("role")))
-    to = F.when(blocks == 1, alone).when(F.col("home"), F.concat(as_other, as_home)).otherwise(as_other)
-    tasks = rows.withColumn("to", F.explode(to)).select("d", "cell", "to.i", "to.j", "to.role", "rep", "size", "vec")
+    at_home = F.col("home") == F.col("cell")
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(at_home, 3).otherwise(2).alias("role")))
+    to = F.when(blocks == 1, alone).when(at_home, F.concat(as_other, as_home)).otherwise(as_other)
+    tasks = rows.withColumn("to", F.explode(to)).select("d", "cell", "to.i", "to.j", "to.role", "rep", "size", "home", "visits", "vec")
     # a plain function of the table: the group's key is in its columns
     found = materialize(
         tasks.groupBy("d", "cell", "i", "j").applyInArrow(lambda table: block_links(table, cosine), "a long, b long, n long"), "embed-links"

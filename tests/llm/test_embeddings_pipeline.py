@@ -76,6 +76,16 @@ def test_large_group_is_whole_across_cells(spark, monkeypatch):
     assert sum(found.values()) >= 0.99 * there.sum()
 
 
+def test_link_with_a_visitor_counts_at_both_ends(spark, monkeypatch):
+    """The rows at 40 degrees visit the cell of the row at 60 degrees, which doesn't visit theirs."""
+    monkeypatch.setattr(embed_dedup, "MARGIN_SIGMAS", 0.5)
+    monkeypatch.setattr(embed_dedup, "fit_cells", lambda classes: {2: np.eye(2)})
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    df = spark.createDataFrame([(1, at(40)), (2, at(60)), (3, at(40)), (4, at(-80))], "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert found == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
+
+
 def test_embedding_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = vectors(60, 16, rng)
