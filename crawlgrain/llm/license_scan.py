@@ -1,7 +1,8 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each is normalised and looked up among the known licence sentences,
-and the identifiers found, in order, are matched against ordered rules: a rule is a sequence of
+A text is cut into parts at line ends and at the ends of sentences, and normalised. A known licence sentence
+is found where it is one part, or several that only line ends or semicolons divide, as notices are wrapped.
+The identifiers found, in order, are matched against ordered rules: a rule is a sequence of
 identifiers that must stand next to each other, longer rules come first, and what a rule has
 matched is gone for the later ones.
 """
@@ -29,12 +30,37 @@ SENTENCES = {
     "c2": "licensed under cc by 4 0",
     "c3": "licensed under cc by sa 4 0",
     "p1": "all rights reserved",
+    "g4": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "l1": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "l2": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "n1": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "b1": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "b2": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "b3": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "b4": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "o1": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "i1": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+}
+#: Other wordings of the same, as standard notices have them: normalised sentence (a bar for an end within), identifier.
+WORDINGS = {
+    "you may obtain a copy of the license at https www apache org licenses license 2 0": "a3",
+    "this source code form is subject to the terms of the mozilla public license v|2 0": "o1",
+    "licensed under the mit license": "m1",
+    "this project is licensed under the mit license": "m1",
+    "this work is licensed under a creative commons attribution 4 0 international license": "c2",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "c3",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "c1",
+    "licensed under the apache license version 2 0 the license": "a1",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "m3",
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1": "b1",
 }
 #: (licence, identifiers) in the order of trial.
 RULES = [
     ("apache-2.0-notice", ["a1", "a2", "a3", "a4"]),
     ("gpl-3.0-notice", ["g2", "g3"]),
     ("mit-text", ["m2", "m3"]),
+    ("bsd-3-clause", ["b1", "b2", "b3", "b4"]),
+    ("bsd-2-clause", ["b1", "b2", "b3"]),
     ("apache-2.0", ["a1"]),
     ("gpl-3.0", ["g1"]),
     ("gpl-3.0-or-later", ["g2"]),
@@ -42,17 +68,32 @@ RULES = [
     ("cc-by-nc-4.0", ["c1"]),
     ("cc-by-4.0", ["c2"]),
     ("cc-by-sa-4.0", ["c3"]),
+    ("gpl-2.0-or-later", ["g4"]),
+    ("lgpl-2.1-or-later", ["l1"]),
+    ("lgpl-3.0-or-later", ["l2"]),
+    ("agpl-3.0-or-later", ["n1"]),
+    ("mpl-2.0", ["o1"]),
+    ("isc", ["i1"]),
     ("proprietary", ["p1"]),
 ]
 #: Each known sentence has one of these, so a text without them needs no cutting.
 HINT = "(?i)licen|permission|warrant|redistribut|rights reserved"
-BREAK = "\\n|[.;!?]+(?=\\s|$)"
+KNOWN = {v: k for k, v in SENTENCES.items()} | WORDINGS
+#: After marking, a bar ends a sentence and a slash stands for a line end or a semicolon; a known sentence may go over slashes.
+SOUGHT = "(?<=[|/])(?:" + "|".join(s.replace("|", "\\|").replace(" ", "[ /]") for s in sorted(KNOWN, key=len, reverse=True)) + ")(?=[|/])"
+MARKS = [
+    ("[^a-z0-9\\s.;!?]", "_"), ("(?<![.;!?]);++(?=\\s|$)", "/"), ("(?<![.;!?])[.;!?]++(?=\\s|$)", "|"), ("\n", "/"), ("[^a-z0-9|/]+", " "),
+    ("(?<=[|/]) | (?=[|/])", ""), ("/{2,}", "/"), ("/?\\|[|/]*+", "|"),
+]
 
 
 def _identifiers(text: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for k, v in SENTENCES.items() for x in (v, k)))
-    plain = F.transform(F.split(text, BREAK), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    marked = F.lower(text)
+    for pattern, by in MARKS:
+        marked = F.regexp_replace(marked, pattern, by)
+    found = F.regexp_extract_all(F.concat(F.lit("|"), marked, F.lit("|")), F.lit(SOUGHT), F.lit(0))
+    known = F.create_map(*(F.lit(x) for item in KNOWN.items() for x in item))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "/", " ")))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -78,6 +78,71 @@ def test_licences(spark):
     assert license_scan.scan_licenses(docs_frame(spark, [(1, whole)])).first()["licenses"] == "apache-2.0-notice"
 
 
+APACHE = """Copyright 2024 The Authors
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{end} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{mid} either version {n} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+MIT = """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+
+
+def test_licence_notices_as_they_are_wrapped(spark):
+    commented = "\n".join(" * " + line for line in APACHE.split("\n"))
+    rows = [
+        (1, APACHE), (2, commented), (3, GPL.format(end=":", mid=",", n=3)), (4, GPL.format(end=";", mid=";", n=2)), (5, MIT), (6, BSD), (7, BSD + BSD_NAMES), (8, MPL), (9, LGPL),
+        (10, BSD.replace("\n", "\r\n")), (11, "We are not\nlicensed under the Apache License, Version 2.0 or any other"), (12, "a title\n" * 3 + "Released under\nthe MIT License\nmore words"),
+    ]
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in license_scan.scan_licenses(docs_frame(spark, rows)).collect()}
+    assert got == {
+        1: ("a1,a2,a3,a4", "apache-2.0-notice"), 2: ("a1,a2,a3,a4", "apache-2.0-notice"), 3: ("g2,g3", "gpl-3.0-notice"), 4: ("g4,g3", "gpl-2.0-or-later"), 5: ("m2,m3", "mit-text"),
+        6: ("b1,b2,b3", "bsd-2-clause"), 7: ("b1,b2,b3,b4", "bsd-3-clause"), 8: ("o1", "mpl-2.0"), 9: ("l1", "lgpl-2.1-or-later"), 10: ("b1,b2,b3", "bsd-2-clause"), 11: ("", ""), 12: ("m1", "mit"),
+    }
+
+
 def window_bits(s, w=20):
     parts = [s[i : i + w] for i in range(max(1, len(s) - w + 1))]
     return max(-sum(c / len(p) * math.log2(c / len(p)) for c in Counter(p).values()) for p in parts)
