@@ -76,8 +76,8 @@ RULES = [
     ("isc", ["i1"]),
     ("proprietary", ["p1"]),
 ]
-#: Each known sentence has one of these, so a text without them needs no cutting.
-HINT = "(?i)licen|permission|warrant|redistribut|rights reserved"
+#: Each known sentence has one of these, each within a word, so that a text without them needs no cutting however it is spaced.
+HINT = "(?i)licen|permission|warrant|redistribut|reserved"
 KNOWN = {v: k for k, v in SENTENCES.items()} | WORDINGS
 #: After marking, a bar ends a sentence and a slash stands for a line end or a semicolon; a known sentence may go over slashes.
 SOUGHT = "(?<=[|/])(?:" + "|".join(s.replace("|", "\\|").replace(" ", "[ /]") for s in sorted(KNOWN, key=len, reverse=True)) + ")(?=[|/])"

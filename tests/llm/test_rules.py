@@ -143,6 +143,13 @@ def test_licence_notices_as_they_are_wrapped(spark):
     }
 
 
+def test_licence_hint_holds_for_every_spelling(spark):
+    rows = list(enumerate(["All  rights  reserved.", "All rights\treserved", "All-Rights-Reserved", "ALL RIGHTS\u00a0RESERVED", "x\nall rights reserved\ny"]))
+    assert [r["licenses"] for r in license_scan.scan_licenses(docs_frame(spark, rows)).orderBy("doc_id").collect()] == ["proprietary"] * 5
+    words = license_scan.HINT.removeprefix("(?i)").split("|")
+    assert all(w.isalpha() for w in words) and all(any(w in s for w in words) for s in [*license_scan.SENTENCES.values(), *license_scan.WORDINGS])
+
+
 def window_bits(s, w=20):
     parts = [s[i : i + w] for i in range(max(1, len(s) - w + 1))]
     return max(-sum(c / len(p) * math.log2(c / len(p)) for c in Counter(p).values()) for p in parts)
