@@ -191,7 +191,7 @@ def seed_scan(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def repeat_seeds(spark: SparkSession, d: str) -> DataFrame:
-    return scans.repeat_seeds(_pages(spark, d).where("page_id < 40").select("page_id", "url"), F.col("page_id"), 3, 100).select("round", "page_id")
+    return scans.repeat_seeds(_pages(spark, d).select("page_id", "url"), F.col("page_id"), 3, 100).select("round", "page_id")
 
 
 @query

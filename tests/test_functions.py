@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from crawlgrain.functions import commands, content, ids, net, signals, urls
 from crawlgrain.operators import policy, windows
+from crawlgrain.plans.queries import QUERIES
 from crawlgrain.sources import commands as scans
 
 
@@ -123,3 +124,10 @@ def test_seeds_and_objects(spark, tmp_path):
     rows = spark.createDataFrame([("k1", "body"), ("k2", "")], "storage_key string, body string")
     scans.write_objects(rows, str(tmp_path / "o"))
     assert all(r["ok"] for r in scans.verify_objects(spark, str(tmp_path / "o")).collect())
+
+
+def test_repeat_seeds_replays_every_page(spark, tmp_path):
+    spark.range(45).select((F.col("id") * 7 % 90).alias("page_id"), F.lit("http://a").alias("url"), F.lit("").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    ids_there = sorted(k * 7 % 90 for k in range(45))
+    got = [tuple(r) for r in QUERIES["repeat_seeds"](spark, str(tmp_path)).collect()]
+    assert got == [(r, k) for r in range(3) for k in ids_there][:100]
