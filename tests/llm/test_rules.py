@@ -167,6 +167,15 @@ def test_secrets_against_python(spark):
         assert set(filter(None, said(spans).split(","))) <= set(filter(None, found[i]["spans"].split(",")))
 
 
+def test_allow_list_spares_no_key_for_a_part_of_it(spark):
+    key = "q7Vd//Zr0XbT5mKp9sLw3NfEXAMPLEyHc8uGj2R4aQ1e6"
+    rows = [(1, f"x {key} y"), (2, f"x {key.replace('EXAMPLE', 'k')} y"), (3, f"x {key.replace('//', 'k')} y"), (5, "x wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY y"), (6, f"x EXAMPLE{key} y")]
+    found = {r["doc_id"]: r["spans"] for r in secrets.report(docs_frame(spark, rows)).collect()}
+    ends = {i: len(t) - 2 for i, t in rows}
+    assert found == {1: f"entropy:2:{ends[1]}", 2: f"entropy:2:{ends[2]}", 3: f"entropy:2:{ends[3]}", 5: "", 6: f"entropy:2:{ends[6]}"}
+    assert not secrets.report(docs_frame(spark, [(1, "see https://host/a9Zk3Qw8Lm2Xp5Vt1Rb6")])).first()["spans"]
+
+
 def test_entropy_spans(spark):
     random.seed(9)
     rnd = "".join(random.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
