@@ -1,11 +1,14 @@
 """N-gram join and suffix dedup against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlgrain.llm import ngram_join, suffix_dedup
+from crawlgrain.llm.common import shingle_sets, word_hashes
 from crawlgrain.llm.components import connected_components
 from tests.llm.helpers import components, cut_repeats, docs_frame
 
@@ -75,6 +78,86 @@ def test_hamming_bounds_the_difference():
         assert ngram_join.hamming(x, y) <= np.setxor1d(a, b).size
 
 
+def linked_sets(n, apart):
+    """Two sets whose symmetric difference has `apart` members, of n and about n."""
+    both = [random.getrandbits(64) for _ in range(n)]
+    more = [random.getrandbits(64) for _ in range(apart)]
+    k = random.randint(0, apart)
+    a, b = both[: n - k // 2] + more[:k], both[: n - k // 2] + more[k:]
+    return tuple(np.unique(np.array(x, np.uint64)) for x in (a, b))
+
+
+def test_linked_sets_share_a_block():
+    """(band, block, bits) keys meet for every pair that may link, over all bands and the borders between them."""
+    often = np.zeros(ngram_join.BUCKETS, bool)
+    often[::3] = True
+    tried = 0
+    for n in [1, 2, 3, 4, 7, 9, 20, 47, 48, 55, 63, 64, 65, 80, 86, 150, 190, 250, 256, 300, 340, 700, 1000, 1030, 1300, 5000]:
+        for _ in range(25):
+            a, b = linked_sets(n, random.randint(0, (2 * n) // 6))
+            both = np.intersect1d(a, b).size
+            if not both or 100 * both < 75 * (a.size + b.size - both):
+                continue
+            tried += 1
+            of, keys, _ = ngram_join.block_keys([a, b], often)
+            assert set(keys[of == 0].tolist()) & set(keys[of == 1].tolist()), (a.size, b.size, both)
+            assert np.bincount(of, minlength=2).max() <= 2 + a.size // 3 + b.size // 3 + 2 * max(a.size, b.size) // 7 + 2
+    assert tried > 300
+
+
+def test_blocks_differ_no_more_than_sets():
+    for _ in range(50):
+        a, b = linked_sets(random.randint(60, 900), random.randint(0, 90))
+        if ngram_join.band_of(np.array([a.size]))[0] != ngram_join.band_of(np.array([b.size]))[0]:
+            continue
+        blocks = ngram_join.blocks_of(ngram_join.band_of(np.array([a.size])))[0]
+        sketches = []
+        for x in (a, b):
+            sketch = Counter()
+            for v in x.tolist():
+                sketch[((v >> 32) * int(blocks)) >> 32] ^= v
+            sketches.append({k: v for k, v in sketch.items() if v})
+        x, y = sketches
+        assert sum(x.get(k) != y.get(k) for k in x.keys() | y.keys()) <= np.setxor1d(a, b).size
+
+
+def test_words_of_like_structure_differ():
+    """The two halves of a doubled Thue-Morse word have equal polynomial hashes modulo 2^64; they are no equal words."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    hashes, _ = word_hashes([word.encode(), other.encode(), b"a", b"b", b"A", b"aa", b"a\x00", b"abcdefgh", b"abcdefghi"])
+    assert len(set(hashes.tolist())) == 8 and hashes[2] == hashes[4]
+    assert not np.intersect1d(*shingle_sets([word.encode(), other.encode()])).size
+
+
+def test_ngram_join_salted_keys(spark, monkeypatch):
+    """Frequent shingles: their keys are dealt out with a salt, and parts meet again through their centres."""
+    monkeypatch.setattr(ngram_join, "SALTS", 8)
+    base = text(90)
+    rows = [(i, near(base, random.randint(0, 4))) for i in range(120)] + [(1000 + i, text(40) + " " + base[:200]) for i in range(30)]
+    df = docs_frame(spark, rows).repartition(2)
+    assert ngram_join.sketches(df.select("doc_id", "text")).where("size(often) > 0").count()
+    found = ngram_join.near_duplicates(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == components(rows)
+
+
+def test_ngram_join_same_id_with_other_texts(spark):
+    """Rows of one doc_id are one node: it links what any of its texts links."""
+    a, b = text(60), text(80)
+    rows = [(5, a), (5, b), (1, a), (9, near(b, 1)), (9, near(b, 1)), (7, text(50))]
+    found = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.near_duplicates(docs_frame(spark, rows)).collect())
+    assert found == [(1, 1), (5, 1), (5, 1), (7, 7), (9, 1), (9, 1)]
+
+
+def test_ngram_join_long_text(spark):
+    long = text(60000)
+    rows = [(1, long), (2, near(long, 1200)), (3, text(60000)), (4, "w" * 200000), (5, "w" * 200000 + " x")]
+    found = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs_frame(spark, rows)).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (101, 102), (200, 200)]
     found = {r["id"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -108,6 +191,43 @@ def test_suffix_dedup_small_slices(spark, monkeypatch):
     assert found == {i: w for (i, _), w in zip(rows, cut_repeats([(t or "").encode() for _, t in rows]))}
 
 
+def test_suffix_dedup_hot_anchors(spark, monkeypatch):
+    """Anchors with several segments are counted by window where they are many; the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    test_suffix_dedup_is_exact(spark)
+
+
+def test_suffix_dedup_long_texts(spark):
+    """Texts of several pieces, with repeats across the borders of pieces."""
+    long = "".join(random.choices("abcdefgh ", k=(5 << 19) + 77))
+    rows = [(1, long), (2, "q" + long[(1 << 20) - 300 : (1 << 20) + 500]), (3, "y" * 300 + long[-250:])]
+    found = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.dedup(docs_frame(spark, rows)).collect()}
+    assert {i: (f[1], f[2]) for i, f in found.items()} == {1: (1050, 2), 2: (800, 1), 3: (550, 1)}
+
+
+@pytest.mark.parametrize("batch", [2, 3, 512])
+def test_texts_of_one_core(monkeypatch, batch):
+    """Groups that are split into longer cores find what a direct comparison of windows finds."""
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    core = bytes(random.choices(b"ab", k=suffix_dedup.SPAN - suffix_dedup.STEP + 1))
+    side = suffix_dedup.STEP - 1
+    for _ in range(10):
+        heads, tails = ([bytes(random.choices(b"abc", k=side)) for _ in range(4)] for _ in range(2))
+        rows = []
+        for k in range(random.randint(2, 25)):
+            head, tail = random.choice(heads), random.choice(tails)
+            i, j = random.randint(0, side), random.randint(0, side)
+            i = max(i, side - j)  # a window at least
+            head = bytes(random.choices(b"xyz", k=random.randint(0, i))) + head
+            rows.append((7, k, 1000 * k, i, head[-i:][:i].rjust(i, b"q") + core + tail[:j]))
+        columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary()))]
+        batches = suffix_dedup._compare(iter([pa.RecordBatch.from_arrays(columns, names=["key", "row_id", "lo", "head", "text"])]))
+        found = {(r["row_id"], p) for b in batches for r in b.to_pylist() for p in range(r["lo"], r["hi"] + 1)}
+        windows = [(t[p : p + suffix_dedup.SPAN], k, lo + p) for _, k, lo, _, t in rows for p in range(len(t) - suffix_dedup.SPAN + 1)]
+        counts = Counter(w for w, _, _ in windows)
+        assert found == {(k, p) for w, k, p in windows if counts[w] > 1}
+
+
 def test_suffix_dedup_repeated_rows_and_empty(spark):
     assert suffix_dedup.dedup(docs_frame(spark, [])).collect() == []
     long = text(100)
