@@ -18,7 +18,9 @@ D + 1 blocks of one that aren't empty, one is the same in the other (pigeonhole)
 
 Documents with equal sets are one class. Keys first give stars (every class of a key with the
 smallest one), which are verified; then only keys that still hold several components are searched
-for links between components, in parts. Verification counts the common shingles of both sets.
+for links between components, in blocks. A block with many pairs gives a forest of them, and is searched again when
+components have grown by its links, until few pairs are left or none of the forest links; then all go out.
+Verification counts the common shingles of both sets.
 A key of frequent shingles, such as those of a large group of copies, is dealt out with a salt: the parts have a star each, and their
 centres make one more.
 """
@@ -48,7 +50,8 @@ BUCKETS, COMMON, LEAST_SEEN = 1 << 20, 256, 32
 BAND, LEAST_BAND = 4, 64
 #: Parts that a key of frequent shingles is dealt out to.
 SALTS = 64
-BLOCK = 1024
+#: Rows of a block in the search between components; pairs for each of them that go out at once.
+BLOCK, FEW = 1024, 4
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -285,7 +288,7 @@ def _only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = docs.withColumn("_map", F.floor(bit / each).cast("int")).withColumn("_bit", (bit % each).cast("int")).join(F.broadcast(maps), "_map")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     rows = rows.where((byte.bitwiseAND(F.expr("shiftleft(1, _bit % 8)"))) != 0).drop("_map", "_bit", "_bits")
-    return _joined(rows, ids, "doc_id", "left_semi")
+    return _joined(rows, ids, "doc_id")  # ids are distinct; a semi-join would be pushed below the bit table
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
@@ -309,23 +312,50 @@ def _verified(docs: DataFrame, pairs: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gid, i, j, id, comp, n, sketch) sorted by (gid, i, j): pairs (a, b) of different components that may link."""
-    held: pa.Table | None = None
+def _forest(comp_a: np.ndarray, comp_b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Numbers of the edges of a forest of least distances that joins all components which the edges join."""
+    names, of = np.unique(np.concatenate([comp_a, comp_b]), return_inverse=True)
+    x, y = of[: comp_a.size], of[comp_a.size :]
+    label, taken = np.arange(names.size), []
+    left = np.lexsort((y, x, apart))
+    while left.size:
+        ends = np.stack([label[x[left]], label[y[left]]], axis=1).ravel()
+        _, first = np.unique(ends, return_index=True)  # each component's nearest edge
+        chosen = np.unique(left[first // 2])
+        taken.append(chosen)
+        while True:
+            p, q = label[x[chosen]], label[y[chosen]]
+            least = label.copy()
+            np.minimum.at(least, np.maximum(p, q), np.minimum(p, q))
+            least = least[least]
+            least = least[label]
+            if (least == label).all():
+                break
+            label = least
+        left = left[label[x[left]] != label[y[left]]]
+    return np.unique(np.concatenate(taken))
+
+
+def _across(every: bool):
+    """Of rows (gid, i, j, id, comp, n, sketch) sorted by (gid, i, j): pairs (a, b) of different components that may link.
+
+    Where a block has more than FEW pairs a row and not every one is asked for, the pairs of a forest go out, and more is true.
+    """
 
     def search(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         gid, i, j, ids, comp, n = (rows.column(c).to_numpy() for c in ("gid", "i", "j", "id", "comp", "n"))
-        words = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint64)
-        widths = np.array([len(x) for x in rows.column("sketch").to_pylist()], np.int64) // 8
+        sketches = rows.column("sketch").to_pylist()
+        words = np.frombuffer(b"".join(sketches), np.uint64)
+        widths = np.array([len(x) for x in sketches], np.int64) // 8
         at = np.cumsum(widths) - widths
         change = (np.diff(gid) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
         starts = np.append(0, np.flatnonzero(change) + 1)
-        found: list[np.ndarray] = []
+        found: list[tuple[np.ndarray, ...]] = []
 
         def bits(of: np.ndarray, width: int) -> np.ndarray:
             return words[at[of][:, None] + np.arange(width)]
 
-        def compare(x: np.ndarray, bx: np.ndarray, y: np.ndarray, by: np.ndarray) -> None:
+        def compare(x: np.ndarray, bx: np.ndarray, y: np.ndarray, by: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
             step = max(1, (1 << 21) // max(1, by.size))  # 16 MB of words at once
             for k in range(0, x.size, step):
                 part = x[k : k + step]
@@ -333,47 +363,62 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 least, most = np.minimum(n[part, None], n[None, y]), np.maximum(n[part, None], n[None, y])
                 good = ((100 + PERCENT) * apart <= (100 - PERCENT) * (least + most)) & (100 * least >= PERCENT * most) & (comp[part, None] != comp[None, y])
                 p, q = np.nonzero(good)
-                p, q = ids[part[p]], ids[y[q]]
-                found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+                yield part[p], y[q], apart[p, q]
 
         for s, e in zip(starts.tolist(), [*starts[1:].tolist(), gid.size], strict=True):
             if e - s < 2 or (comp[s:e] == comp[s]).all():
                 continue
+            pairs = []
             # sizes within 3/4 to 4/3 of each other have widths that are equal or one step apart
             for width in np.unique(widths[s:e]).tolist():
                 x, y = s + np.flatnonzero(widths[s:e] == width), s + np.flatnonzero(widths[s:e] == 2 * width)
                 bx = bits(x, width)
-                compare(x, bx, x, bx)
+                pairs += compare(x, bx, x, bx)
                 if y.size:
                     by = bits(y, 2 * width)
-                    compare(x, bx, y, by[:, :width] ^ by[:, width:])
+                    pairs += compare(x, bx, y, by[:, :width] ^ by[:, width:])
+            p, q, apart = (np.concatenate(v) for v in zip(*pairs, strict=True))
+            more = not every and p.size > FEW * (e - s)
+            if more:
+                kept = _forest(comp[p], comp[q], apart)
+                p, q = p[kept], q[kept]
+            p, q = ids[p], ids[q]
+            found.append((np.minimum(p, q), np.maximum(p, q), np.full(p.size, gid[s]), np.full(p.size, more)))
         if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            a, b, of, more = (np.concatenate(v) for v in zip(*found, strict=True))
+            order = np.lexsort((of, ~more, b, a))
+            a, b, of, more = a[order], b[order], of[order], more[order]
+            first = np.ones(a.size, bool)
+            first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (more[1:] & (of[1:] != of[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (of, a, b, more)], names=["gid", "a", "b", "more"])
 
-    for batch in batches:
-        rows = pa.Table.from_batches([batch])
-        if held is not None:
-            rows = pa.concat_tables([held, rows])
-        if not rows.num_rows:
-            continue
-        same = np.ones(rows.num_rows, bool)
-        for c in ("gid", "i", "j"):
-            v = rows.column(c).to_numpy()
-            same &= v == v[-1]
-        cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-        if cut:
-            yield from search(rows.slice(0, cut))
-        held = rows.slice(cut)
-    if held is not None and held.num_rows:
-        yield from search(held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            same = np.ones(rows.num_rows, bool)
+            for c in ("gid", "i", "j"):
+                v = rows.column(c).to_numpy()
+                same &= v == v[-1]
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield from search(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield from search(held)
+
+    return tidied(run)
 
 
-def _between_components(groups: DataFrame, nodes: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components that share a group and may link; nodes: (doc_id, rep, comp).
+def _between_components(groups: DataFrame, nodes: DataFrame, info: DataFrame, every: bool) -> DataFrame:
+    """(gid, a, b, more): pairs (a, b) of different components that share a group and may link; nodes: (doc_id, rep, comp).
 
     A group's largest component stays in blocks of about BLOCK rows. Up to BLOCK other rows go to every
-    block; if there are more, every pair of blocks is a task.
+    block; if there are more, every pair of blocks is a task. more: the block has other pairs, see _across().
     """
     rows = _joined(groups.select("gid", F.explode("ids").alias("doc_id")), nodes, "doc_id")
     rows = materialize(rows.select("gid", F.col("rep").alias("id"), "comp").distinct(), "ngram-members")
@@ -381,17 +426,17 @@ def _between_components(groups: DataFrame, nodes: DataFrame, info: DataFrame) ->
     shape = by_comp.groupBy("gid").agg(F.max_by("comp", F.struct("rows", "comp")).alias("main"), F.sum("rows").alias("all"), (F.sum("rows") - F.max("rows")).alias("others"))
     mixed = _joined(rows, shape.where("others > 0"), "gid").withColumn("blocks", F.ceil(F.col("all") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    each = F.sequence(F.lit(0), F.col("blocks") - 1)
     alone = F.array(F.struct(own.alias("i"), own.alias("j")))
     to = (
         F.when(F.col("blocks") == 1, alone)
-        .when(F.col("others") > BLOCK, F.transform(every, lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
+        .when(F.col("others") > BLOCK, F.transform(each, lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j"))))
         .when(F.col("comp") == F.col("main"), alone)
-        .otherwise(F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j"))))
+        .otherwise(F.transform(each, lambda x: F.struct(x.alias("i"), x.alias("j"))))
     )
     tasks = _joined(mixed, info.select("id", "n", "sketch"), "id").withColumn("to", F.explode(to)).select("gid", "to.i", "to.j", "id", "comp", "n", "sketch")
     tasks = tasks.repartition("gid", "i", "j").sortWithinPartitions("gid", "i", "j")
-    out = materialize(tasks.mapInArrow(tidied(_across), "a long, b long").distinct(), "ngram-across")
+    out = materialize(tasks.mapInArrow(_across(every), "gid long, a long, b long, more boolean"), "ngram-across")
     drop_table(rows)
     return out
 
@@ -412,6 +457,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = made.where("doc_id is not null")
     sets = ["n", "k1", "k2"]
     copies = rows.where("n > 0").groupBy(*sets).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")).where("size > 1")
+    copies = materialize(copies, "ngram-copies")
     of_copy = copies.select(*(F.col(c).alias(f"c_{c}") for c in sets), "rep")
     with_rep = _joined(rows.select("doc_id", *sets), of_copy, [F.col(c) == F.col(f"c_{c}") for c in sets], "left")
     members = materialize(with_rep.select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "ngram-classes")
@@ -430,15 +476,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stars = materialize(_may_link(stars, info), "ngram-stars")
     links = _verified(docs, stars, "ngram-stars")
     known = links if bound is None else links.union(bound)
-    comps = connected_components(known).withColumnRenamed("id", "rep")
-    across = _between_components(groups, _joined(nodes, comps, "rep", "left").select("doc_id", "rep", F.coalesce("comp", "rep").alias("comp")), info)
-    if across.limit(1).count():
-        near = materialize(_may_link(across, info), "ngram-near")
-        more = _verified(docs, near, "ngram-across")
-        comps = connected_components(known.union(more)).withColumnRenamed("id", "rep")
-        drop_table(near)
-    for done in (groups, made, stars, across):
-        drop_table(done)
+    comps = connected_components(known)
+    done, every = [made, stars], False
+    while True:
+        labelled = _joined(nodes, comps.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", "rep", F.coalesce("comp", "rep").alias("comp"))
+        across = _between_components(groups, labelled, info, every)
+        near = materialize(across.select("a", "b").distinct(), "ngram-near")
+        linked = False
+        if near.limit(1).count():
+            new = _verified(docs, near, "ngram-across")
+            linked = bool(new.limit(1).count())
+            if linked:
+                known = known.union(new)
+                comps = connected_components(known)
+        done += [groups, across, near]
+        again = across.where("more").select("gid").distinct()
+        if not again.limit(1).count():
+            break
+        # blocks with many pairs are searched again, between the components that are left
+        groups = materialize(_joined(groups, again, "gid", "left_semi"), "ngram-groups")
+        every = not linked
+    for table in done:
+        drop_table(table)
+    comps = comps.withColumnRenamed("id", "rep")
     return _joined(members, comps, "rep", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
 
 

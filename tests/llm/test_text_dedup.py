@@ -132,6 +132,34 @@ def test_words_of_like_structure_differ():
     assert not np.intersect1d(*shingle_sets([word.encode(), other.encode()])).size
 
 
+def test_ngram_join_forest_rounds(spark, monkeypatch):
+    """With no pair a row allowed at once, every block gives a forest first; components are the same."""
+    rows = corpus() + [(700 + i, near(rows_base, random.randint(4, 9))) for rows_base in [text(130)] for i in range(40)]
+    df = docs_frame(spark, rows)
+    there = components(rows)
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    found = ngram_join.near_duplicates(df).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == there
+
+
+def test_forest_joins_what_edges_join():
+    for _ in range(100):
+        n, m = random.randint(2, 12), random.randint(1, 30)
+        edges = [(random.randrange(n), random.randrange(n)) for _ in range(m)]
+        edges = np.array([e for e in edges if e[0] != e[1]] or [(0, 1)])
+        kept = ngram_join._forest(edges[:, 0], edges[:, 1], np.random.randint(0, 5, len(edges)))
+        assert kept.size < n
+
+        def parts(edges):
+            label = list(range(n))
+            for _ in range(n):
+                for a, b in edges:
+                    label[a] = label[b] = min(label[a], label[b])
+            return label
+
+        assert parts(edges.tolist()) == parts(edges[kept].tolist())
+
+
 def test_ngram_join_salted_keys(spark, monkeypatch):
     """Frequent shingles: their keys are dealt out with a salt, and parts meet again through their centres."""
     monkeypatch.setattr(ngram_join, "SALTS", 8)
