@@ -12,6 +12,7 @@ the whole text.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import struct
@@ -22,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, slices
+from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, slices, tidied
 
 #: A cut after a byte with probability 2^-CUT_BITS: chunks of 512 bytes on average.
 CUT_BITS, WINDOW = 9, 24
 #: Bytes of words and of chunks that a worker keeps at once.
-WORD_BYTES, CHUNK_BYTES = 224 << 20, 16 << 20
+WORD_BYTES, CHUNK_BYTES = 96 << 20, 16 << 20
 MOST_CHUNK = 1 << 16
 
 #: Latin-1 letters with simple case pairs; none of them composes with another.
@@ -41,6 +42,16 @@ def _byte_level() -> dict[int, int]:
 
 
 BYTE_LEVEL = _byte_level()
+# What a tokenizer file must say before and about pre-tokens. It follows that white space is dropped, that letters
+# a-z and those of Latin-1 pass but for their case, and that a word of letters is one pre-token in byte-level form.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 _ENCODERS: dict[str, Encoder] = {}
 
@@ -93,13 +104,9 @@ class Encoder:
         self.chunks: dict[bytes, list | None] = {}
         self.chunk_bytes = 0
         self.reused = 0
-        self.lowers = self.tokenizer.encode("The QUICK", add_special_tokens=False).ids == self.tokenizer.encode("the quick", add_special_tokens=False).ids
-        # letters a-z and those of Latin-1 pass the normaliser, but for their case, and are one pre-token in byte-level form
-        probe = ["a", "the", "zyxwvut", "é", "Ünßÿ", "çaÀ"]
-        self.letters = all(
-            [t.id for t in self.tokenizer.model.tokenize(w.lower().encode().decode("latin-1").translate(BYTE_LEVEL))] == self.tokenizer.encode(w, add_special_tokens=False).ids
-            for w in probe
-        )
+        form = json.loads(self.tokenizer.to_str())
+        if form["normalizer"] != NORMALIZER or form["pre_tokenizer"] != PRE_TOKENIZER:
+            raise ValueError(f"{path}: white space has to separate pre-tokens as NORMALIZER and PRE_TOKENIZER have it")
 
     def name(self, i: int) -> bytes:
         if i not in self.names:
@@ -125,16 +132,16 @@ class Encoder:
     def _read(self, words: set[bytes], split: bool = True) -> tuple[list[bytes], dict[bytes, tuple[bytes, bytes]]]:
         """Words that the library has to read whole, and those that end in . or , with their parts; the others are put in store."""
         rest, apart = [], {}
-        old, tokenize, known, put, pack = self.old_words, self.tokenizer.model.tokenize, self.letters, self._put, struct.pack
+        old, tokenize, put, pack = self.old_words, self.tokenizer.model.tokenize, self._put, struct.pack
         for w in words.difference(self.words):
             if w in old:
                 put(w, old[w])
-            elif known and w.isalpha() and w.islower():  # ASCII letters only
+            elif w.isalpha() and w.islower():  # ASCII letters only
                 ids = [t.id for t in tokenize(w.decode())]
                 put(w, pack(f"<{len(ids)}I", *ids))
             elif split and (base := w.rstrip(b".,")) and len(base) < len(w) and base[-1:].isalnum():
                 apart[w] = base, w[len(base) :]
-            elif known and (m := LATIN.fullmatch(w.decode())):
+            elif m := LATIN.fullmatch(w.decode()):
                 ids = [t.id for t in tokenize(m[0].lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
                 put(w, pack(f"<{len(ids)}I", *ids))
             else:
@@ -161,10 +168,10 @@ class Encoder:
     def prepare(self, text: bytes) -> bytes:
         """text with A-Z lower-cased where the normaliser would do it with the same result.
 
-        Composition comes before lower-casing there, so a text with U+0300 to U+033F (the marks that
-        compose with ASCII letters, first byte CC) stays, and one that may hold a special token.
+        Composition comes before lower-casing there, so a text with U+0300 to U+037F (first bytes CC and CD: all marks that
+        compose with ASCII letters, and those that decompose to such marks) stays, and one that may hold a special token.
         """
-        return text if b"\xcc" in text or b"<|" in text or not self.lowers else text.lower()
+        return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
 
     def encode_all(self, texts: list[bytes]) -> list[bytes]:
         """Ids of whole texts as little-endian uint32.
@@ -286,8 +293,8 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True) -> Da
 
     docs = only(docs, doc_id="long", text="string")
     if keep_ids:
-        return docs.mapInArrow(ids_of, "doc_id long, ids array<int>")
-    return docs.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return docs.mapInArrow(tidied(ids_of), "doc_id long, ids array<int>")
+    return docs.mapInArrow(tidied(digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

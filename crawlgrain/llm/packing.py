@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlgrain.llm.bpe import encoder, pieces_of
-from crawlgrain.llm.common import as_bytes, materialize, only, slices, spread
+from crawlgrain.llm.common import as_bytes, materialize, only, slices, spread, tidied
 
 CAPACITY = 2048
 SALTS = 256
@@ -48,7 +48,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return only(docs, doc_id="long", text="string").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import unicodedata
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,6 +50,30 @@ def test_small_stores_change_nothing(library, monkeypatch):
             assert np.frombuffer(ids, "<u4").tolist() == library.encode(t.decode(), add_special_tokens=False).ids
 
 
+def test_marks_and_letters_agree_with_the_library(library):
+    """Words of ASCII letters with every mark that there is, and with characters that decompose."""
+    random.seed(9)
+    marks = [chr(c) for c in range(0x110000) if unicodedata.combining(chr(c))]
+    odd = [chr(c) for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000 and unicodedata.normalize("NFC", chr(c)) != chr(c)]
+    letters = "ATKIYoumtswhj.,'"
+    rows = ["T\u0344", "A\u0340 e\u0343K"] + [c + m for m in marks + odd for c in random.sample(letters, 3)]
+    rows += ["".join(random.choices(letters, k=2)) + "".join(random.choices(marks, k=2)) + random.choice(odd) + random.choice(letters) for _ in range(20000)]
+    e = bpe.Encoder(TOKENIZER)
+    for k in range(0, len(rows), 500):
+        part = rows[k : k + 500]
+        for t, ids, own in zip(part, e.encode_all([t.encode() for t in part]), library.encode_batch(part, add_special_tokens=False)):
+            assert np.frombuffer(ids, "<u4").tolist() == own.ids, ascii(t)
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_encode_empty_table(spark):
+    assert bpe.encode_documents(docs_frame(spark, []), TOKENIZER, keep_ids=False).collect() == []
+
+
 def test_shared_chunks_are_reused():
     random.seed(3)
     passage = " ".join("".join(random.choices("abcdefghij", k=6)) for _ in range(2000)).encode()
