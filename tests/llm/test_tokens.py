@@ -125,16 +125,56 @@ def test_pack_documents(spark, library):
     assert packing.pack_documents(docs_frame(spark, []), TOKENIZER).collect() == []
 
 
-def test_plan_places_every_rank_once():
+def rounds(counts, capacity):
+    """Rows of all placements, made by sweeps without Spark, and the number of rounds."""
+    waiting, gaps, sequences, rows, n_rounds = [(k, 0, n) for k, n in counts.items()], [], 0, [], 0
+    while waiting:
+        placed, waiting, gaps, sequences = packing.sweep(waiting, gaps, sequences, capacity)
+        n_rounds += 1
+        for length, rank, n, sequence, offset in placed:
+            rows += [{"length": length, "rank": rank + k, "sequence_id": sequence + k, "offset": offset} for k in range(n)]
+    return rows, n_rounds
+
+
+def best_fit_decreasing(counts, capacity):
+    """Sequences that brute force makes: one piece at a time, the longest first, into the smallest gap that holds it."""
+    gaps = []
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = [g for g in gaps if g >= length]
+            if fits:
+                gaps.remove(min(fits))
+                gaps.append(min(fits) - length)
+            else:
+                gaps.append(capacity - length)
+    return len(gaps)
+
+
+def test_sweeps_place_every_rank_once():
     random.seed(6)
-    for _ in range(100):
+    for _ in range(150):
         counts = {random.randint(1, 64): random.randint(1, 50) for _ in range(random.randint(1, 30))}
-        rows = []
-        for length, rank, n, sequence, offset in packing.plan_runs(counts, 64):
-            rows += [{"length": length, "rank": rank + k, "sequence_id": sequence + k, "offset": offset} for k in range(n)]
+        rows, n_rounds = rounds(counts, 64)
         assert sorted((r["length"], r["rank"]) for r in rows) == sorted((k, i) for k, n in counts.items() for i in range(n))
         least = max(sum(k * n for k, n in counts.items()) / 64, sum(n for k, n in counts.items() if k > 32))
-        assert check_packing(rows, 64) <= 1.3 * least + 1
+        n = check_packing(rows, 64)
+        assert n <= 1.3 * least + 1 and n <= 1.1 * best_fit_decreasing(counts, 64) + 1
+        assert n_rounds < 40
+
+
+def test_a_gap_takes_the_longest_piece_left_by_smaller_gaps():
+    placed, waiting, gaps, n = packing.sweep([(3, 0, 2), (5, 0, 1), (9, 0, 1)], [(4, 0, 1), (6, 1, 1), (6, 2, 1)], 3, 10)
+    assert sorted(placed) == [(3, 0, 1, 0, 6), (3, 1, 1, 2, 4), (5, 0, 1, 1, 4), (9, 0, 1, 3, 0)]
+    assert (waiting, sorted(gaps), n) == ([], [(1, 0, 1), (1, 1, 1), (1, 3, 1), (3, 2, 1)], 4)
+
+
+def test_plan_in_spark_is_the_sweeps(spark):
+    random.seed(8)
+    counts = {random.randint(1, 64): random.randint(1, 900) for _ in range(30)}
+    found = packing.plan(spark.createDataFrame(list(counts.items()), "length long, n long"), 64)
+    rows = [{"length": r[0], "rank": r[1] + k, "sequence_id": r[3] + k, "offset": r[4]} for r in found.collect() for k in range(r[2])]
+    key = lambda r: (r["length"], r["rank"])
+    assert sorted(rows, key=key) == sorted(rounds(counts, 64)[0], key=key)
 
 
 def test_lengths_out_of_range(spark):
