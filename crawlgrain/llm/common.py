@@ -45,6 +45,14 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def only(df: DataFrame, **types: str) -> DataFrame:
     """The named columns with their types; other columns, clashing names or not, stay out."""
     ship(df.sparkSession)

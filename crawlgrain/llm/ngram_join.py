@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.common import as_bytes, drop_table, int_list, materialize, mix64, only, shingle_sets, slices, tidied
+from crawlgrain.llm.common import as_bytes, drop_table, free, int_list, materialize, mix64, only, shingle_sets, slices, tidied
 from crawlgrain.llm.components import connected_components
 
 #: Link where 100 * intersection >= PERCENT * union.
@@ -504,6 +504,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the documents that are linked, directly or not, to one with a smaller doc_id; columns and other rows stay."""
-    found = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias("_dropped_id")).distinct()
+    name = free(docs, "_dropped_id")
+    found = near_duplicates(docs).where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     found = materialize(found, "ngram-dropped")
-    return docs.join(found, docs.doc_id == F.col("_dropped_id"), "left_anti").select(*docs.columns)
+    return docs.join(found, F.col("doc_id") == F.col(name), "left_anti").select(*docs.columns)

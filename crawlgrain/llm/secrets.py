@@ -14,14 +14,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.common import only
+from crawlgrain.llm.common import free, only
 
 ASSIGN = "((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]+"
 HEX = "[0-9a-f]{24,}"  # maximal runs, so the same as dropping shorter runs afterwards
 CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "entropy"]
-WINDOW = 20
+WINDOW, CHUNK = 20, 200
 #: Least bits per character in some window, by class: hexadecimal digits; letters of one case and digits; any.
 HEX_BITS, PLAIN_BITS, MIXED_BITS = 3.0, 3.5, 3.7
 #: Sample keys of public documentation.
@@ -56,27 +56,38 @@ def _weight(c: Column) -> Column:
     return F.element_at(F.array(*(F.lit(float(i * math.log2(i)) if i else 0.0) for i in range(WINDOW + 2))), c + 1)
 
 
-def window_entropy(s: Column) -> Column:
-    """Bits per character of the most varied window of WINDOW characters of an ASCII string (one window if shorter)."""
+def _times(window: Column, char: Column) -> Column:
+    """How often char stands in window."""
+    return F.length(window) - F.length(F.replace(window, char, F.lit("")))
+
+
+def _most_varied(chunk: Column) -> Column:
+    """Bits per character of the most varied window of chunk, a string of at most CHUNK + WINDOW - 1 characters."""
 
     def step(acc: Column, i: Column) -> Column:
-        comes = F.ascii(F.substring(s, i, F.lit(1))) - 32
-        goes = F.when(i > WINDOW, F.ascii(F.substring(s, i - WINDOW, F.lit(1))) - 32).otherwise(F.lit(-1))
-        c_in = F.element_at(acc["counts"], comes + 1)
-        c_out = F.when(goes >= 0, F.element_at(acc["counts"], F.greatest(goes + 1, F.lit(1)))).otherwise(F.lit(0))
-        total = (
-            F.when(comes == goes, acc["sum"])
-            .when(goes >= 0, acc["sum"] + _weight(c_in + 1) - _weight(c_in) + _weight(F.greatest(c_out - 1, F.lit(0))) - _weight(c_out))
-            .otherwise(acc["sum"] + _weight(c_in + 1) - _weight(c_in))
-        )
-        counts = F.transform(acc["counts"], lambda v, k: v + (k == comes).cast("int") - (k == goes).cast("int"))
+        rest = F.substring(chunk, F.greatest(i - (WINDOW - 1), F.lit(1)), F.least(i - 1, F.lit(WINDOW - 1)))  # the window without the characters that go and come
+        c_in = _times(rest, F.substring(chunk, i, F.lit(1)))
+        c_out = _times(rest, F.substring(chunk, F.greatest(i - WINDOW, F.lit(1)), F.lit(1)))
+        comes = _weight(c_in + 1) - _weight(c_in)
+        goes = F.when(i > WINDOW, _weight(c_out + 1) - _weight(c_out)).otherwise(F.lit(0.0))
+        total = acc["sum"] + comes - goes
         n = F.least(i, F.lit(WINDOW))
         bits = F.log2(n.cast("double")) - total / n
-        best = F.when((i >= WINDOW) | (i == F.length(s)), F.greatest(acc["best"], bits)).otherwise(acc["best"])
-        return F.struct(counts.alias("counts"), total.alias("sum"), best.alias("best"))
+        best = F.when((i >= WINDOW) | (i == F.length(chunk)), F.greatest(acc["best"], bits)).otherwise(acc["best"])
+        return F.struct(total.alias("sum"), best.alias("best"))
 
-    zero = F.struct(F.array_repeat(F.lit(0), 96).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), zero, step, lambda acc: acc["best"])
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(chunk), F.lit(1))), zero, step, lambda acc: acc["best"])
+
+
+def window_entropy(s: Column) -> Column:
+    """Bits per character of the most varied window of WINDOW characters of an ASCII string (one window if shorter).
+
+    A long string is read in chunks that have all its windows, so the work goes with its length.
+    """
+    chunks = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{1,{CHUNK + WINDOW - 1}}})).{{1,{CHUNK}}}"), F.lit(1))
+    whole = F.filter(chunks, lambda c, k: (k == 0) | (F.length(c) >= WINDOW))
+    return F.coalesce(F.array_max(F.transform(whole, _most_varied)), F.lit(0.0))
 
 
 def _random(s: Column) -> Column:
@@ -89,15 +100,12 @@ def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
-def _count(kind: int) -> Column:
-    return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long")
-
-
-def scan(docs: DataFrame) -> DataFrame:
-    """docs with _found: array<struct(start, kind, end)>, sorted by start and kind (0-3 as in KINDS); _base: without kind 3.
+def scan(docs: DataFrame, base: str = "_base", found: str = "_found") -> DataFrame:
+    """docs with found: array<struct(start, kind, end)>, sorted by start and kind (0-3 as in KINDS); base: without kind 3.
 
     Places are code points, end exclusive; a null text counts as empty and has none. Entropy spans
-    that touch a span of a pattern are left out. docs needs text.
+    that touch a span of a pattern are left out. docs needs text, and no columns named as base or found. A candidate of any
+    length is judged whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     kept = [
@@ -106,10 +114,10 @@ def scan(docs: DataFrame) -> DataFrame:
         _places(text, HEX, lambda m, g: F.lit(True)),
     ]
     tagged = [_tagged(spans, k) for k, spans in enumerate(kept)]
-    base = docs.withColumn("_base", F.array_sort(F.concat(*tagged)))
+    rows = docs.withColumn(base, F.array_sort(F.concat(*tagged)))
     random = _places(text, CANDIDATE, lambda m, g: _random(m))
-    more = _tagged(F.filter(random, lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))), 3)
-    return base.withColumn("_found", F.array_sort(F.concat("_base", more)))
+    more = _tagged(F.filter(random, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))), 3)
+    return rows.withColumn(found, F.array_sort(F.concat(base, more)))
 
 
 def _said(spans: str) -> Column:
@@ -118,15 +126,23 @@ def _said(spans: str) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs.
+
+    A null or empty text has no spans. Rows are judged one by one: repeated rows give repeated results, an empty table an
+    empty one; other columns are not read.
+    """
     found = scan(only(docs, doc_id="long", text="string"))
-    counts = [_count(k).alias(f"n_{KINDS[k]}") for k in range(3)]
+    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return found.select("doc_id", *counts, F.sha2(_said("_base").cast("binary"), 256).alias("base_sha256"), _said("_found").alias("spans"))
 
 
 def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret in text replaced by mark and n_chars (if there) counted anew; other columns and rows stay."""
-    found = scan(docs)
+    """docs with every secret in text replaced by mark and n_chars (if there) counted anew; other columns and rows stay.
+
+    Null texts stay null, repeated rows stay, and no name of a column of docs makes a difference.
+    """
+    base, name = free(docs, "_base"), free(docs, "_found")
+    found = scan(docs, base, name)
     text = F.col("text")
 
     def step(acc: Column, x: Column) -> Column:
@@ -135,8 +151,8 @@ def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
         said = F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, said).alias("out"))
 
-    end = F.aggregate("_found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    out = found.withColumn("text", F.when(F.size("_found") == 0, text).otherwise(end))
+    end = F.aggregate(name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    out = found.withColumn("text", F.when(F.size(name) == 0, text).otherwise(end))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm.bpe import _inverse_powers
-from crawlgrain.llm.common import BYTE_VALUE, as_bytes, drop_table, materialize, mix64, only, powers, slices, tidied
+from crawlgrain.llm.common import BYTE_VALUE, as_bytes, drop_table, free, materialize, mix64, only, powers, slices, tidied
 from crawlgrain.session import ship
 
 SPAN = 200
@@ -437,13 +437,13 @@ def repeated_runs(rows: DataFrame) -> DataFrame:
     return runs
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """docs with _row_id, one for each row: doc_id itself where no doc_id repeats or is null."""
+def _with_rows(docs: DataFrame, name: str = "_row_id") -> DataFrame:
+    """docs with a column of that name, one value for each row: doc_id itself where no doc_id repeats or is null."""
     ids = docs.select(F.col("doc_id").cast("long").alias("id"))
     odd = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").limit(1).count()
     if not odd:
-        return docs.withColumn("_row_id", F.col("doc_id").cast("long"))
-    return materialize(docs.withColumn("_row_id", F.monotonically_increasing_id()), "suffix-rows")
+        return docs.withColumn(name, F.col("doc_id").cast("long"))
+    return materialize(docs.withColumn(name, F.monotonically_increasing_id()), "suffix-rows")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -483,18 +483,19 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         for batch in slices(batches, "text"):
             texts = [
                 t if not runs or t is None else _cut(t.encode(), runs)[0].decode("utf-8", "ignore")
-                for t, runs in zip(batch.column("text").to_pylist(), batch.column("_runs").to_pylist(), strict=True)
+                for t, runs in zip(batch.column("text").to_pylist(), batch.column(found).to_pylist(), strict=True)
             ]
             columns = {c: batch.column(c) for c in names} | {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
                 old = batch.column("n_chars")
-                columns["n_chars"] = pa.array([o if not r else len(t or "") for o, r, t in zip(old.to_pylist(), batch.column("_runs").to_pylist(), texts, strict=True)], old.type)
+                columns["n_chars"] = pa.array([o if not r else len(t or "") for o, r, t in zip(old.to_pylist(), batch.column(found).to_pylist(), texts, strict=True)], old.type)
             yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
 
     ship(docs.sparkSession)
-    rows = _with_rows(docs)
-    runs = repeated_runs(rows.select(F.col("_row_id").alias("row_id"), F.col("text").cast("string").alias("text")))
-    runs = runs.select(F.col("row_id").alias("_row_id"), F.col("runs").alias("_runs"))
-    return rows.join(runs, "_row_id", "left").select(*names, "_runs").mapInArrow(tidied(run), docs.schema)
+    row_id, found = free(docs, "_row_id"), free(docs, "_runs")
+    rows = _with_rows(docs, row_id)
+    runs = repeated_runs(rows.select(F.col(row_id).alias("row_id"), F.col("text").cast("string").alias("text")))
+    runs = runs.select(F.col("row_id").alias(row_id), F.col("runs").alias(found))
+    return rows.join(runs, row_id, "left").select(*names, found).mapInArrow(tidied(run), docs.schema)
 
 
