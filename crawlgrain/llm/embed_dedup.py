@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.llm.common import materialize, only
@@ -35,6 +35,13 @@ def _finite(column: str):
     return good & F.forall(column, number) & F.exists(column, lambda v: v != 0)
 
 
+def _scaled(vec: Column) -> Column:
+    """vec, or where its largest component is out of 1e-100 to 1e100, vec times a power of two that brings it near 1."""
+    most = F.array_max(F.transform(vec, F.abs))
+    half = F.pow(F.lit(2.0), -F.floor(F.log2(most) / 2))
+    return F.when((most > 0) & (most < float("inf")) & ~most.between(1e-100, 1e100), F.transform(vec, lambda v: v * half * half)).otherwise(vec)
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     """k unit centroids of the unit rows of x; an empty cell keeps its centroid."""
     centroids = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
@@ -80,7 +87,7 @@ def _assign(classes: DataFrame, cells: dict[int, np.ndarray], cosine: float) ->
                         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
                         near = unit @ c.T
                         home = near.argmax(1)
-                        apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
+                        apart = np.sqrt(np.maximum(2 - 2 * c[home] @ c.T, 0))
                         gap = (near[np.arange(len(x)), home][:, None] - near) / np.maximum(apart, 1e-12)
                         visits = gap <= MARGIN_SIGMAS * np.sqrt((1 - cosine * cosine) / d)
                         visits[np.arange(len(x)), home] = True
@@ -152,13 +159,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing,
-    as do vectors of different lengths. Equal vectors are linked; rows of one vec_id count as rows.
+    as do vectors of different lengths, and rows with a null vec_id, whose component_id is null. Very small and very large
+    vectors are scaled by powers of two, so that no product of norms vanishes or overflows. Equal vectors are linked; rows of one vec_id count as rows.
     Links are those found (recall is measured in the tests); none is below the threshold. Other
     columns are not read. An empty table gives an empty table.
     """
     rows = only(embeddings, vec_id="long", embedding="array<double>")
-    rows = rows.withColumn("vec", F.transform("embedding", lambda v: v + F.lit(0.0))).where("vec_id is not null")  # -0.0 and 0.0 are one
-    keyed = rows.withColumn("key", F.when(_finite("vec"), F.sha2(F.array_join(F.transform("vec", lambda v: v.cast("string")), ","), 256)))
+    rows = rows.withColumn("vec", _scaled(F.transform("embedding", lambda v: v + F.lit(0.0))))  # -0.0 and 0.0 are one
+    keyed = rows.withColumn("key", F.when(F.col("vec_id").isNotNull() & _finite("vec"), F.sha2(F.array_join(F.transform("vec", lambda v: v.cast("string")), ","), 256)))
     classes = materialize(
         keyed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.min("vec").alias("vec")), "embed-classes"
     )
@@ -185,4 +193,4 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     known = materialize(known.select("key", (F.coalesce("others", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp")), "embed-known")
     out = keyed.select("vec_id", "key").join(known, "key", "left")
     comp = F.coalesce("comp", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
