@@ -18,18 +18,21 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, slices, tidied
+from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, powers, slices, tidied
 
 #: A cut after a byte with probability 2^-CUT_BITS: chunks of 512 bytes on average.
 CUT_BITS, WINDOW = 9, 24
 #: Bytes of words and of chunks that a worker keeps at once.
-WORD_BYTES, CHUNK_BYTES = 96 << 20, 16 << 20
+WORD_BYTES, CHUNK_BYTES = 192 << 20, 16 << 20
 MOST_CHUNK = 1 << 16
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 19
 
 #: Latin-1 letters with simple case pairs; none of them composes with another.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -53,25 +56,53 @@ PRE_TOKENIZER = {
     ],
 }
 _INVERSE = pow(int(BASE), -1, 1 << 64)
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def cut_places(text: bytes) -> list[int]:
-    """Ends of the chunks of text: after each byte where the hash of the last WINDOW bytes has CUT_BITS zeros."""
-    buf = np.frombuffer(text, np.uint8)
-    n = buf.size
-    if n <= WINDOW:
-        return [n] if n else []
-    from crawlgrain.llm.common import powers
-
-    sums = np.cumsum(BYTE_VALUE[buf] * powers(n), dtype=np.uint64)
-    window = sums[WINDOW:] - sums[:-WINDOW]  # of the bytes i+1 .. i+WINDOW, times BASE^(i+1)
-    # dividing by BASE^(i+1) makes it independent of the place
-    window = window * _inverse_powers(n)[1 : n - WINDOW + 1]
-    ends = np.flatnonzero((window >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW + 1
-    out = ends.tolist()
-    if not out or out[-1] != n:
-        out.append(n)
+_STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[ord("."), ord(",")]] = True
+_ALNUM[[ord(c) for c in "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = True
+
+
+def set_apart(texts: list[bytes]) -> list[bytes]:
+    """texts with a space before each . and , that ends a word of ASCII letters and digits: a pre-token ends there anyway."""
+    joined = b"\n".join([*texts, b""])
+    buf = np.frombuffer(joined, np.uint8)
+    stops = np.flatnonzero(_STOP[buf])
+    stops = stops[(stops > 0) & _ALNUM[buf[stops - 1]] & IS_SPACE[buf[np.minimum(stops + 1, buf.size - 1)]]]
+    if not stops.size:
+        return texts
+    out = np.full(buf.size + stops.size, 32, np.uint8)
+    kept = np.ones(out.size, bool)
+    kept[stops + np.arange(stops.size)] = False
+    out[kept] = buf
+    changed = out.tobytes()
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    ends = (ends + np.searchsorted(stops, ends)).tolist()
+    return [changed[i : j - 1] for i, j in zip([0, *ends], ends, strict=False)]
+
+
+def cut_places(texts: list[bytes]) -> list[list[int]]:
+    """Ends of the chunks of each text: after each byte where the hash of the last WINDOW bytes has CUT_BITS zeros, and its own end."""
+    joined = b"".join(texts)
+    buf = np.frombuffer(joined, np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    hits = np.zeros(0, np.int64)
+    if (n := buf.size) > WINDOW:
+        sums = np.cumsum(BYTE_VALUE[buf] * powers(n), dtype=np.uint64)
+        window = sums[WINDOW:] - sums[:-WINDOW]  # of the bytes i+1 .. i+WINDOW, times BASE^(i+1)
+        # dividing by BASE^(i+1) makes it independent of the place
+        window *= _inverse_powers(n)[1 : n - WINDOW + 1]
+        hits = np.flatnonzero((window >> np.uint64(64 - CUT_BITS)) == 0) + WINDOW + 1
+    bounds = np.searchsorted(hits, ends, "right").tolist()
+    out, start, i = [], 0, 0
+    for end, j in zip(ends.tolist(), bounds, strict=True):
+        places = [x - start for x in hits[i:j].tolist() if x - start > WINDOW]  # the window is all in this text
+        if end > start and (not places or places[-1] != end - start):
+            places.append(end - start)
+        out.append(places)
+        start, i = end, j
     return out
 
 
@@ -115,8 +146,6 @@ class Encoder:
 
     def learn(self, words: set[bytes]) -> None:
         """Put words into the store; those that are in use move on from the older half."""
-        if self.word_bytes > WORD_BYTES // 2:
-            self.old_words, self.words, self.word_bytes = self.words, {}, 0
         rest, apart = self._read(words)
         if apart:  # a letter or digit ends a pre-token before . and , so those are read apart
             more, _ = self._read({x for base, end in apart.values() for x in (base, end)}, split=False)
@@ -132,20 +161,26 @@ class Encoder:
     def _read(self, words: set[bytes], split: bool = True) -> tuple[list[bytes], dict[bytes, tuple[bytes, bytes]]]:
         """Words that the library has to read whole, and those that end in . or , with their parts; the others are put in store."""
         rest, apart = [], {}
-        old, tokenize, put, pack = self.old_words, self.tokenizer.model.tokenize, self._put, struct.pack
-        for w in words.difference(self.words):
+        old, tokenize, store = self.old_words, self.tokenizer.model.tokenize, self.words
+        before = len(store)
+        size = 0
+        for w in words.difference(store):
             if w in old:
-                put(w, old[w])
+                store[w] = old[w]
             elif w.isalpha() and w.islower():  # ASCII letters only
                 ids = [t.id for t in tokenize(w.decode())]
-                put(w, pack(f"<{len(ids)}I", *ids))
+                store[w] = _PACK[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
             elif split and (base := w.rstrip(b".,")) and len(base) < len(w) and base[-1:].isalnum():
                 apart[w] = base, w[len(base) :]
+                continue
             elif m := LATIN.fullmatch(w.decode()):
                 ids = [t.id for t in tokenize(m[0].lower().encode().decode("latin-1").translate(BYTE_LEVEL))]
-                put(w, pack(f"<{len(ids)}I", *ids))
+                store[w] = struct.pack(f"<{len(ids)}I", *ids)
             else:
                 rest.append(w)
+                continue
+            size += len(w) + len(store[w])
+        self.word_bytes += size + 170 * (len(store) - before)
         return rest, apart
 
     def _put(self, word: bytes, packed: bytes) -> None:
@@ -178,14 +213,18 @@ class Encoder:
 
         The words of all chunks that aren't in store, and those that joins make, are looked up together.
         """
+        if self.word_bytes > WORD_BYTES // 2:
+            self.old_words, self.words, self.word_bytes = self.words, {}, 0
         store, chunks = self.chunks, {}
+        known = self.words.__contains__
         wanted: set[bytes] = set()
         plans: list[list] = []
-        for text in map(self.prepare, texts):
+        texts = set_apart(list(map(self.prepare, texts)))
+        for text, places in zip(texts, cut_places(texts), strict=True):
             plan: list = []
             open_end: list[bytes] = []
             at = 0
-            for end in cut_places(text):
+            for end in places:
                 piece = text[at:end]
                 at = end
                 got = chunks.get(piece, 0)
@@ -194,7 +233,7 @@ class Encoder:
                     if got == 0:
                         got = self._open(piece)
                         if got is not None:
-                            wanted.update(got[1])
+                            wanted.update(filterfalse(known, got[1]))
                     else:
                         self.reused += 1
                     chunks[piece] = got
@@ -270,7 +309,7 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True) -> Da
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             found = [np.frombuffer(x, "<u4") for x in enc.encode_all(as_bytes(batch.column("text")))]
             offsets = np.concatenate([[0], np.cumsum([f.size for f in found])])
             values = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
@@ -280,7 +319,7 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True) -> Da
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             n, a, b = [], [], []
             for x in enc.encode_all(as_bytes(batch.column("text"))):
                 ids = np.frombuffer(x, "<u4")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.bpe import encoder, pieces_of
+from crawlgrain.llm.bpe import SLICE, encoder, pieces_of
 from crawlgrain.llm.common import as_bytes, drop_table, materialize, only, slices, spread, tidied
 
 CAPACITY = 2048
@@ -39,7 +39,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", SLICE):
             rows: list[list[int]] = [[], [], [], [], []]
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_all(as_bytes(batch.column("text"))), strict=True):
                 for piece in pieces_of(ids + end, capacity):

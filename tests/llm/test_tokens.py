@@ -14,7 +14,7 @@ from crawlgrain.llm import bpe, packing
 from crawlgrain.llm.queries import TOKENIZER
 from tests.llm.helpers import docs_frame
 
-PIECES = list("abABIJKE'st re12 \t\n\r\x0b\x0c\x1c\x85\xa0́̌̇ẛ̣ΣσςéÉ語\U0001f600İ$%.,") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'ll", " the ", ". ", ", ", "..", " "]
+PIECES = list("abABIJKE'st re12 \t\n\r\x0b\x0c\x1c\x85\xa0́̌̇ẛ̣ΣσςéÉ語\U0001f600İ$%.,") + ["<|endoftext|>", "<|ENDOFTEXT|>", "'ll", " the ", ". ", ", ", "..", " ", "a. ", "b, ", "c.", "9,\n", ".d", "e.,"]
 
 
 @pytest.fixture(scope="module")
