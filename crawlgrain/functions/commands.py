@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import urls
@@ -42,5 +42,16 @@ def command_error(c: dict[str, Column], payload: Column | None = None) -> Column
     return F.coalesce(*checks)
 
 
+def unwrap(rows: DataFrame) -> DataFrame:
+    """rows whose payload, where it isn't null, replaces all FIELDS by those of its JSON object, with payload_error."""
+    given = F.col("payload").isNotNull()
+    valid = F.try_parse_json(F.col("payload")).isNotNull()
+    whole = valid & F.startswith(F.ltrim("payload"), F.lit("{"))
+    inside = F.from_json("payload", "map<string,string>")
+    own = {f: F.col(f).cast("string") if f in rows.columns else F.lit(None).cast("string") for f in FIELDS}
+    error = F.when(given & ~valid, F.lit("invalid payload json")).when(given & ~whole, F.lit("payload must be a JSON object"))
+    return rows.withColumns({f: F.when(given & whole, F.try_element_at(inside, F.lit(f))).when(~given, c) for f, c in own.items()} | {"payload_error": error})
+
+
 def has_context(c: dict[str, Column]) -> Column:
     return F.coalesce(*(blank_to_null(c[k]) for k in ("policy_scope_id", "politeness_key", "host_id", "site_id", "tier"))).isNotNull()

@@ -22,9 +22,9 @@ def is_html(content_type: Column) -> Column:
 
 
 def contains_captcha(content_type: Column, body: Column) -> Column:
-    """Only where the type names text or html, or is empty; only the first CAPTCHA_BYTES characters count."""
+    """Only where the type names text or html, or is empty; only the first CAPTCHA_BYTES bytes count."""
     kind = F.lower(F.coalesce(content_type, F.lit("")))
-    start = F.substring(body, 1, CAPTCHA_BYTES)
+    start = F.substring(body.cast("binary"), 1, CAPTCHA_BYTES).cast("string")
     return ((kind == "") | kind.rlike("text|html")) & F.coalesce(F.lower(start).rlike(CAPTCHA_MARKERS), F.lit(False))
 
 

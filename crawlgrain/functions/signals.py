@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed weights of the domain.
 WEIGHTS = {"http_429": 3, "captcha_challenge": 5, "anti_bot_200": 4, "http_5xx": 1, "timeout": 1, "connection_failed": 1, "success": 0}
-GLOBAL_ERRORS = ["DNSLookupError", "TimeoutError", "TCPTimedOutError", "ConnectionRefusedError", "ConnectError", "ConnectionLost"]
+GLOBAL_ERRORS = ["DNSLookupError", "TimeoutError", "TCPTimedOutError", "ConnectionRefusedError", "ConnectionDone", "ConnectionLost"]
 CHALLENGES = ["http_429", "captcha_challenge", "anti_bot_200"]
 
 

@@ -60,7 +60,8 @@ def _path(url: Column) -> Column:
 
 
 def _form_decode(text: Column) -> Column:
-    return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
+    """Each valid escape decoded; a % that begins none stands for itself."""
+    return F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def _form_encode(text: Column) -> Column:

@@ -18,14 +18,27 @@ def clamp_ttl(ttl: Column, most: int = 86_400) -> Column:
     return F.greatest(F.lit(1), F.least(ttl, F.lit(most)))
 
 
-def new_keys(before: DataFrame, after: DataFrame, prefix: str = PREFIX) -> DataFrame:
-    """(key, out_of_prefix, forbidden, missing_ttl) of keys in after (key, ttl) that before (key) hasn't."""
+def marker(key: Column) -> Column:
+    """The first forbidden marker, in the order of FORBIDDEN, that a key holds; null if none."""
+    return F.coalesce(*(F.when(F.contains(F.lower(key), F.lit(m)), F.lit(m)) for m in FORBIDDEN))
+
+
+def new_keys(before: DataFrame, after: DataFrame, prefix: str = PREFIX, extra_prefixes: tuple[str, ...] = ()) -> DataFrame:
+    """(key, out_of_prefix, forbidden, missing_ttl) of keys in after (key, ttl) that before (key) hasn't.
+
+    A key is allowed if it has the prefix and no forbidden marker; others are out of prefix unless they have an extra
+    one. Only allowed keys need a time to live.
+    """
     fresh = after.join(before.select("key"), "key", "left_anti").groupBy("key").agg(F.max("ttl").alias("ttl"))
-    return fresh.select("key", (~F.startswith("key", F.lit(prefix + ":"))).alias("out_of_prefix"), forbidden(F.col("key")).alias("forbidden"), (F.coalesce("ttl", F.lit(-1)) <= 0).alias("missing_ttl"))
+    allowed = F.startswith("key", F.lit(prefix + ":")) & ~forbidden(F.col("key"))
+    extra = F.lit(False)
+    for p in extra_prefixes:
+        extra = extra | F.startswith("key", F.lit(p.rstrip(":")))
+    return fresh.select("key", (~allowed & ~extra).alias("out_of_prefix"), forbidden(F.col("key")).alias("forbidden"), (allowed & (F.coalesce("ttl", F.lit(-1)) <= 0)).alias("missing_ttl"))
 
 
-def audit(before: DataFrame, after: DataFrame, prefix: str = PREFIX) -> DataFrame:
+def audit(before: DataFrame, after: DataFrame, prefix: str = PREFIX, extra_prefixes: tuple[str, ...] = ()) -> DataFrame:
     """One row: how many new keys, how many break each rule, and passed."""
-    rows = new_keys(before, after, prefix)
+    rows = new_keys(before, after, prefix, extra_prefixes)
     counts = rows.agg(F.count("*").alias("new_keys"), *(F.count_if(c).alias(c) for c in ("out_of_prefix", "forbidden", "missing_ttl")))
     return counts.withColumn("passed", (F.col("out_of_prefix") + F.col("forbidden") + F.col("missing_ttl")) == 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +22,12 @@ RANGES = {
 }
 RETRYABLE = [408, 429, 500, 502, 503, 504, 522, 524]
 
-POLICY_FIELDS = ["enabled", "paused", "egress_selection_strategy", *RANGES]
+#: Scopes that are looked up by broadcast, at most (some tens of MB).
+SMALL = 100_000
+
+POLICY_FIELDS = ["enabled", "paused", "pause_reason", "egress_selection_strategy", *RANGES]
 POLICY_TYPE = T.StructType(
-    [T.StructField("enabled", T.BooleanType()), T.StructField("paused", T.BooleanType()), T.StructField("egress_selection_strategy", T.StringType())]
+    [T.StructField("enabled", T.BooleanType()), T.StructField("paused", T.BooleanType()), T.StructField("pause_reason", T.StringType()), T.StructField("egress_selection_strategy", T.StringType())]
     + [T.StructField(f, T.IntegerType()) for f in RANGES]
 )
 BOOTSTRAP = {
@@ -39,6 +43,10 @@ def document_errors(document: object) -> list[str]:
     errors = [] if document.get("schema_version") == "1.0" else ["schema_version"]
     if not isinstance(document.get("version"), str) or not document["version"].strip():
         errors.append("version")
+    try:
+        datetime.fromisoformat(document["generated_at"].strip().replace("Z", "+00:00"))
+    except (KeyError, AttributeError, ValueError):
+        errors.append("generated_at")
 
     def check(policy: object, at: str) -> None:
         if not isinstance(policy, dict):
@@ -51,7 +59,9 @@ def document_errors(document: object) -> list[str]:
             elif name in ("enabled", "paused"):
                 fine = value is None or isinstance(value, bool)
             elif name == "egress_selection_strategy":
-                fine = value is None or value in STRATEGIES
+                fine = value is None or isinstance(value, str) and value.strip().upper() in STRATEGIES
+            elif name == "pause_reason":
+                fine = value is None or isinstance(value, str) and bool(value.strip())
             else:
                 fine = False
             if not fine:
@@ -59,12 +69,15 @@ def document_errors(document: object) -> list[str]:
 
     check(document.get("default_policy"), "default_policy")
     seen = set()
-    for i, scope in enumerate(document.get("scope_policies") or []):
+    scopes = document.get("scope_policies") or []
+    if not isinstance(scopes, list):
+        return sorted([*errors, "scope_policies"])
+    for i, scope in enumerate(scopes):
         at = f"scope_policies[{i}]"
-        if not isinstance(scope, dict) or scope.get("scope_type") not in SCOPES or not scope.get("scope_id"):
+        if not isinstance(scope, dict) or scope.get("scope_type") not in SCOPES or not isinstance(scope.get("scope_id"), str) or not scope["scope_id"].strip():
             errors.append(at)
             continue
-        key = (scope["scope_type"], scope["scope_id"])
+        key = (scope["scope_type"], scope["scope_id"].strip())
         if key in seen:
             errors.append(f"{at} repeats {key}")
         seen.add(key)
@@ -110,7 +123,13 @@ class PolicyProvider:
 
 def scope_table(spark: SparkSession, document: dict) -> DataFrame:
     """(scope_type, scope_id, policy): as many rows as the document has scopes."""
-    rows = [(s["scope_type"], s["scope_id"], tuple((s.get("policy") or {}).get(f) for f in POLICY_FIELDS)) for s in document.get("scope_policies") or []]
+
+    def value(policy: dict, f: str):
+        v = policy.get(f)
+        v = v.strip() if isinstance(v, str) else v
+        return v.upper() if f == "egress_selection_strategy" and v is not None else v
+
+    rows = [(s["scope_type"], s["scope_id"].strip(), tuple(value(s.get("policy") or {}, f) for f in POLICY_FIELDS)) for s in document.get("scope_policies") or []]
     return spark.createDataFrame(rows, T.StructType([T.StructField("scope_type", T.StringType()), T.StructField("scope_id", T.StringType()), T.StructField("policy", POLICY_TYPE)]))
 
 
@@ -118,14 +137,22 @@ def decide(commands_df: DataFrame, scopes: DataFrame, default: dict, key: str) -
     """commands with matched_scope_type, matched_scope_id and the policy's fields.
 
     The first scope in order that has a policy decides; scopes never stack, and an override can't
-    set a field back to null. scopes is a document's own list and is joined as it is; key identifies a command.
+    set a field back to null. Up to SMALL scopes are broadcast, one lookup for each kind; more are joined by kind and id. key identifies a command.
     """
     present = [s for s in SCOPES if s in commands_df.columns]
+    over = {f: F.coalesce(F.col(f"hit.policy.{f}"), F.lit(default.get(f)).cast(POLICY_TYPE[f].dataType)) for f in POLICY_FIELDS}
+    if present and scopes.count() <= SMALL:
+        out = commands_df
+        for s in present:
+            own = scopes.where(F.col("scope_type") == s).select(F.col("scope_id").alias(f"_id_{s}"), F.struct("scope_type", "scope_id", "policy").alias(f"_hit_{s}"))
+            out = out.join(F.broadcast(own), commands.blank_to_null(F.col(s)) == F.col(f"_id_{s}"), "left")
+        out = out.withColumn("hit", F.coalesce(*(f"_hit_{s}" for s in present))).drop(*(f"_{x}_{s}" for x in ("id", "hit") for s in present))
+        out = out.withColumns({f"policy_{f}": c for f, c in over.items()})
+        return out.withColumns({"matched_scope_type": F.coalesce("hit.scope_type", F.lit("default")), "matched_scope_id": F.col("hit.scope_id")}).drop("hit")
     tried = F.array(*(F.struct(F.lit(i).alias("prio"), F.lit(s).alias("scope_type"), commands.blank_to_null(F.col(s)).alias("scope_id")) for i, s in enumerate(SCOPES) if s in present))
     asked = commands_df.select(F.col(key).alias("_k"), F.explode(F.filter(tried, lambda t: t["scope_id"].isNotNull())).alias("t")).select("_k", "t.*")
     hit = asked.join(scopes, ["scope_type", "scope_id"]).groupBy("_k").agg(F.min_by(F.struct("scope_type", "scope_id", "policy"), "prio").alias("hit"))
     out = commands_df.join(hit, F.col(key) == F.col("_k"), "left").drop("_k")
-    over = {f: F.coalesce(F.col(f"hit.policy.{f}"), F.lit(default.get(f)).cast(POLICY_TYPE[f].dataType)) for f in POLICY_FIELDS}
     out = out.withColumns({f"policy_{f}": c for f, c in over.items()})
     return out.withColumns({"matched_scope_type": F.coalesce("hit.scope_type", F.lit("default")), "matched_scope_id": F.col("hit.scope_id")}).drop("hit")
 

@@ -24,6 +24,12 @@ def failure_window(rows: DataFrame, keys: list[str], failed: Column, reset: Colu
     return out.withColumn("triggered", failed & (hit | at_once if at_once is not None else hit)).drop("epoch")
 
 
+def blacklist(rows: DataFrame, keys: list[str], cooldown_us: int = 1_800_000_000) -> DataFrame:
+    """rows with triggered, as failure_window gives them, and blacklisted: a trigger of the key is less than cooldown_us old; each one arms it anew."""
+    recent = Window.partitionBy(*keys).orderBy("ts_us").rangeBetween(-(cooldown_us - 1), 0)
+    return rows.withColumn("blacklisted", F.max("triggered").over(recent))
+
+
 def sessions(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
     """rows with session: a gap of more than gap_us since the row before begins the next one."""
     ordered = Window.partitionBy(*keys).orderBy("ts_us", "event_id")
@@ -60,18 +66,20 @@ def backoff_schedule(triggers: DataFrame, keys: list[str], *, base_ms: int = 500
 def soft_ban(signals: DataFrame, gap_us: int, *, host_ip: int = 2, ip: int = 3, host: int = 3) -> DataFrame:
     """Challenge signals with what they set off: backoff (host and ip), cooldown (ip), slowdown (host).
 
-    Every signal at or above its threshold counts. Cooldown looks at captcha and anti-bot signals only, and
-    counts are kept by signal type.
+    Every signal at or above its threshold counts, and counts are kept by signal type. Cooldown, slowdown and, where
+    signals have an asn, soft_limit (host and asn) look at captcha and anti-bot signals only. The windows follow each other over one frame.
     """
     one = F.lit(1)
-    own = gap_counter(signals, ["host", "ip", "signal_type"], gap_us, one).select("event_id", F.col("count").alias("host_ip_count"))
-    hosts = gap_distinct(signals.where("signal_type <> 'http_429'"), ["ip", "signal_type"], "host", gap_us, one).select("event_id", F.col("distinct").alias("hosts_of_ip"))
-    ips = gap_distinct(signals, ["host", "signal_type"], "ip", gap_us, one).select("event_id", F.col("distinct").alias("ips_of_host"))
-    out = signals.join(own, "event_id").join(hosts, "event_id", "left").join(ips, "event_id", "left")
-    return out.select(
-        "event_id", "ts_us", "host", "ip", "signal_type", "host_ip_count", F.coalesce("hosts_of_ip", F.lit(0)).alias("hosts_of_ip"), "ips_of_host",
-        (F.col("host_ip_count") >= host_ip).alias("backoff"), (F.coalesce("hosts_of_ip", F.lit(0)) >= ip).alias("cooldown"), (F.col("ips_of_host") >= host).alias("slowdown"),
-    )
+    cross = F.col("signal_type") != "http_429"
+    rows = gap_counter(signals, ["host", "ip", "signal_type"], gap_us, one).withColumnRenamed("count", "host_ip_count").drop("session", "weight_sum")
+    counted = [("hosts_of_ip", ["ip"], "host", "cooldown", ip), ("ips_of_host", ["host"], "ip", "slowdown", host)]
+    if "asn" in signals.columns:
+        counted.append(("ips_of_host_asn", ["host", "asn"], "ip", "soft_limit", host))
+    rows = rows.withColumn("backoff", F.col("host_ip_count") >= host_ip)
+    for name, keys, member, said, least in counted:
+        rows = gap_distinct(rows, [*keys, "signal_type"], member, gap_us, one).drop("session", "weight_sum")
+        rows = rows.withColumn(name, F.when(cross, F.col("distinct")).otherwise(0)).drop("distinct").withColumn(said, F.col(name) >= least)
+    return rows
 
 
 def pacer_schedule(requests: DataFrame, keys: list[str], interval_ms: int) -> DataFrame:

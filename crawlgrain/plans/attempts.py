@@ -39,7 +39,9 @@ def crawl_attempts(results: DataFrame, bucket: str = "pages") -> DataFrame:
     skipped); a status other than 200, then another type than HTML, (succeeded, non_snapshot, skipped);
     else the page is stored, or its storage failed.
     """
-    rows = results.withColumn("canonical_url", urls.canonical_url(F.col("url"))).withColumn("url_hash", urls.url_hash(F.col("canonical_url")))
+    own = urls.canonical_url(F.col("url"))
+    own = F.coalesce(urls.canonical_url(F.col("canonical_url")), own) if "canonical_url" in results.columns else own  # a command's own wins
+    rows = results.withColumn("canonical_url", own).withColumn("url_hash", urls.url_hash(F.col("canonical_url")))
     rows = rows.withColumn("host", urls.host(F.col("canonical_url")))
     failed = F.coalesce(F.col("fetch_failed"), F.lit(False))
     page = ~failed & F.coalesce(F.col("status_code") == 200, F.lit(False)) & content.is_html(F.col("content_type"))
@@ -73,15 +75,32 @@ def crawl_attempts(results: DataFrame, bucket: str = "pages") -> DataFrame:
     return rows.select(*picked, "attempted_at_ms", "finished_at_ms")
 
 
+def terminal_attempts(stopped: DataFrame, now_ms: int, version: str, lkg_active: bool = False) -> DataFrame:
+    """Facts of commands that end without a fetch. stopped: commands as policy.decide gives them, with stopped_by (paused, deadline_expired or retry_exhausted)."""
+    said = (
+        F.when(F.col("stopped_by") == "paused", F.coalesce("policy_pause_reason", F.lit("Fetch command paused before request start")))
+        .when(F.col("stopped_by") == "deadline_expired", F.lit("Fetch command deadline expired before request start"))
+        .otherwise(F.lit("Fetch command retry budget exhausted"))
+    )
+    ended = {
+        "fetch_failed": F.lit(True), "status_code": F.lit(None).cast("int"), "content_type": F.lit(None).cast("string"), "html": F.lit(""), "storage_ok": F.lit(False),
+        "error_type": F.col("stopped_by"), "error_message": said, "attempted_at_ms": F.lit(now_ms), "finished_at_ms": F.lit(now_ms), "policy_version": F.lit(version),
+        "matched_policy_scope_type": F.col("matched_scope_type"), "matched_policy_scope_id": F.col("matched_scope_id"), "policy_lkg_active": F.lit(lkg_active),
+    }
+    return crawl_attempts(stopped.withColumns(ended))
+
+
 def violations(attempts: DataFrame) -> Column:
     """Sorted array of what breaks the rules of a fact."""
     found = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", F.lit(f"missing {c}")) for c in REQUIRED]
     found += [F.when(~F.coalesce(F.col(c), F.lit("")).isin(values), F.lit(f"bad {c}")) for c, values in RESULTS.items()]
     found.append(F.when(~F.coalesce(F.col("url_hash"), F.lit("")).rlike("^[0-9a-f]{64}$"), F.lit("bad url_hash")))
+    found.append(F.when(F.coalesce(F.col("schema_version"), F.lit("")) != SCHEMA_VERSION, F.lit("bad schema_version")))
     found.append(F.when(~F.col("status_code").between(100, 599), F.lit("bad status_code")))
+    found.append(F.when(~F.col("content_sha256").rlike("^[0-9a-f]{64}$"), F.lit("bad content_sha256")))
     kept = F.col("storage_result") == "stored"
     for c in ("snapshot_id", "storage_provider", "bucket", "storage_key", "content_sha256", "compression"):
-        found.append(F.when(kept & F.col(c).isNull(), F.lit(f"stored without {c}")))
+        found.append(F.when(kept & (F.coalesce(F.col(c), F.lit("")) == ""), F.lit(f"stored without {c}")))
     found.append(F.when(kept & (F.col("storage_provider") != PROVIDER), F.lit("bad storage_provider")))
     found.append(F.when(kept & (F.col("compression") != COMPRESSION), F.lit("bad compression")))
     return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))

@@ -58,7 +58,7 @@ def _distinct(rows: str, keys: str, member: str, name: str) -> str:
     )
 
 
-_CH = SIG + ", ch as (select * from sig where signal_type in ('http_429', 'captcha_challenge', 'anti_bot_200'))"
+_CH = SIG + ", ch as (select *, 'AS' || (1 + cast(string_split(ip, '.')[4] as integer) % 2) as asn from sig where signal_type in ('http_429', 'captcha_challenge', 'anti_bot_200'))"
 _SOFT = (
     _CH
     + ", ch2 as (select * from ch where signal_type <> 'http_429'), "
@@ -66,10 +66,12 @@ _SOFT = (
     + ", own_n as (select event_id, count(*) over (partition by host, ip, signal_type, session order by ts_us, event_id rows unbounded preceding) as host_ip_count from own), "
     + _distinct("ch2", "ip, signal_type", "host", "hs")
     + ", "
-    + _distinct("ch", "host, signal_type", "ip", "ps")
-    + """, soft as (select ch.*, host_ip_count, coalesce(hs.n_distinct, 0) as hosts_of_ip, ps.n_distinct as ips_of_host,
-  host_ip_count >= 2 as backoff, coalesce(hs.n_distinct, 0) >= 3 as cooldown, ps.n_distinct >= 3 as slowdown
-  from ch join own_n using (event_id) left join hs using (event_id) join ps using (event_id))"""
+    + _distinct("ch2", "host, signal_type", "ip", "ps")
+    + ", "
+    + _distinct("ch2", "host, asn, signal_type", "ip", "ns")
+    + """, soft as (select ch.*, host_ip_count, coalesce(hs.n_distinct, 0) as hosts_of_ip, coalesce(ps.n_distinct, 0) as ips_of_host, coalesce(ns.n_distinct, 0) as ips_of_host_asn,
+  host_ip_count >= 2 as backoff, coalesce(hs.n_distinct, 0) >= 3 as cooldown, coalesce(ps.n_distinct, 0) >= 3 as slowdown, coalesce(ns.n_distinct, 0) >= 3 as soft_limit
+  from ch join own_n using (event_id) left join hs using (event_id) left join ps using (event_id) left join ns using (event_id))"""
 )
 _WHO = f"who as (select *, coalesce(public_ip, bind_ip) as identity from ({IDENTITIES}) i), active as (select *, row_number() over (order by seq) - 1 as idx from who where status = 'active')"
 _FAIL = """, f as (select *, event_type <> 'purchase' as failed from s where event_type in ('error', 'click', 'purchase')),
@@ -116,7 +118,7 @@ select page_id, cast(pos as bigint) as pos, href, host, host <> base as external
     "command_wire_fields": f"with c as ({_COMMANDS}) select cast(command_no as varchar) as command_no, coalesce(deadline_at, '') as deadline_at, tier, cast(4 as bigint) as n from c",
     "command_jsonl": "select case when page_id % 5 in (3, 4) then url end as url, case when page_id % 5 in (3, 4) then 'job_' || page_id end as job_id, case when page_id % 5 in (0, 2) then 'no JSON object' end as error from pages where page_id % 5 <> 1",
     "seed_scan": "select trim(url) as url from pages where page_id % 5 > 1",
-    "repeat_seeds": "select cast(r as integer) as round, page_id from pages, range(3) t(r) where page_id < 40 order by r, page_id limit 100",
+    "repeat_seeds": "select cast(r as integer) as round, page_id from pages, range(3) t(r) order by r, page_id limit 100",
     "pending_reclaim": f"with fr as ({_RESULTS}) select result_id as message_id, cast(deliveries as bigint) as deliveries, (result_id * 7919) % 1200000 as idle_ms from fr where (result_id * 7919) % 1200000 >= 600000",
     "delivery_counts": f"with fr as ({_RESULTS}) select result_id as message_id, cast(case when result_id % 3 = 0 then 3 else deliveries end as bigint) as deliveries from fr",
     "policy_decision": _DECIDED + "select result_id, matched_scope_type, matched_scope_id, policy_paused, policy_max_retries, policy_sticky_pool_size, policy_host_ip_min_delay_ms from pol",
@@ -155,7 +157,7 @@ select host, identity, greatest(l, r) as next_allowed_ms, case when coalesce(r,
     + """ select event_id, cast(session as bigint) as session, count(*) over w as count, cast(sum(weight) over w as bigint) as weight_sum from g window w as (partition by host, ip, signal_type, session order by ts_us, event_id rows unbounded preceding)""",
     "signal_gap_distinct": SIG + ", ns as (select * from weighted where signal_type <> 'success'), " + _distinct("ns", "ip, signal_type", "host", "g")
     + """ select event_id, n_distinct as distinct, cast(sum(weight) over (partition by ip, signal_type, session order by ts_us, event_id rows unbounded preceding) as bigint) as weight_sum from g""".replace("as distinct", 'as "distinct"'),
-    "softban_events": _SOFT + " select event_id, host_ip_count, hosts_of_ip, ips_of_host, backoff, cooldown, slowdown from soft",
+    "softban_events": _SOFT + " select event_id, host_ip_count, hosts_of_ip, ips_of_host, ips_of_host_asn, backoff, cooldown, slowdown, soft_limit from soft",
     "backoff_schedule": _SOFT + ", hits as (select * from soft where backoff), " + _gap("hits", "host, ip", 86_400_000_000, "b")
     + """, lv as (select *, count(*) over (partition by host, ip, session order by ts_us, event_id rows unbounded preceding) as level from b)
 select event_id, level, cast(least(5000 * pow(2, least(level, 60) - 1), 300000) as bigint) as delay_ms, ts_us // 1000 + cast(least(5000 * pow(2, least(level, 60) - 1), 300000) as bigint) as next_allowed_ms from lv""",
@@ -164,11 +166,13 @@ m as (select *, i * 1800000 + max(arrive_ms - i * 1800000) over (partition by ho
 select event_id, host, arrive_ms, start_ms, start_ms - arrive_ms as wait_ms from m""",
     "state_key_audit": f"""with s as ({_SIGNALS}), k as (select (case when event_id % 9 = 2 then 'other:' else 'crawler:exec:safety:' end) || (case event_id % 9 when 0 then 'profile' when 1 then 'Rank' else 'host_ip' end) || ':' || substr(sha256(host || (event_id % 50)), 1, 16) as key,
  greatest(1, least(event_id, 86400)) as t from s), a as (select key, case when t % 10 = 0 then -1 else t end as ttl from k), fresh as (select key, max(ttl) as ttl from a where key not in (select key from a where ttl % 4 = 1) group by key),
-c as (select count(*) as new_keys, count(*) filter (not starts_with(key, 'crawler:exec:safety:')) as out_of_prefix, count(*) filter (regexp_matches(lower(key), 'outlink|scheduler|dupefilter|seen_url|priority|rank|recrawl|profile')) as forbidden, count(*) filter (ttl <= 0) as missing_ttl from fresh)
+j as (select *, split_part(key, ':', -2) in ('profile', 'Rank') as bad from fresh),
+c as (select count(*) as new_keys, count(*) filter (bad or starts_with(key, 'other')) as out_of_prefix, count(*) filter (bad) as forbidden, count(*) filter (not bad and not starts_with(key, 'other') and ttl <= 0) as missing_ttl from j)
 select *, out_of_prefix + forbidden + missing_ttl = 0 as passed from c""",
     "crawl_attempts": ATTEMPTS + "select * exclude (attempted_at_ms, finished_at_ms, stored) from att",
     "attempt_violations": ATTEMPTS + """select attempt_id, array_to_string(list_sort([x for x in [case when substr(url_hash, 1, 1) = '3' then 'missing host' end, case when substr(url_hash, 1, 1) = '2' and upper(url_hash) <> url_hash then 'bad url_hash' end,
- case when substr(url_hash, 1, 1) = '0' then 'bad status_code' end, case when substr(url_hash, 1, 1) = '1' and stored then 'stored without storage_key' end] if x is not null]), ';') as violations from att""",
+ case when substr(url_hash, 1, 1) = '0' then 'bad status_code' end, case when substr(url_hash, 1, 1) = '1' and stored then 'stored without storage_key' end, case when substr(url_hash, 1, 1) = '4' then 'bad schema_version' end,
+ case when substr(url_hash, 1, 1) = '5' and content_sha256 is not null then 'bad content_sha256' end, case when substr(url_hash, 1, 1) = '6' and stored then 'stored without snapshot_id' end] if x is not null]), ';') as violations from att""",
     "crawl_logs": ATTEMPTS + """select attempt_id, case when status_code = 200 then finished_at_ms + 5 else finished_at_ms end as finished_at_ms, case when status_code = 200 then 'failed' else storage_result end as storage_result
  from (select *, row_number() over (partition by attempt_id order by finished_at_ms desc) as k from att) where k = 1""",
     "page_snapshots": ATTEMPTS + "select snapshot_id, max(attempt_id) as attempt_id, max(content_sha256) as content_sha256, max(storage_key) as storage_key from att where stored group by snapshot_id",
@@ -194,3 +198,48 @@ select fetch_result, le, count(*) filter (finished_at_ms - attempted_at_ms <= ms
 }
 ORACLES["outlink_counts"] = f"select page_id, count(*) as links, count(*) filter (external) as external from ({ORACLES['outlink_records']}) group by page_id"
 ORACLES["delayed_buffer"] = f"""select host, start_ms <= 1705363200000 as due, count(*) as n, min(arrive_ms) as oldest_ms, max(wait_ms) as longest_ms from ({ORACLES['pacer_schedule']}) where arrive_ms <= 1705363200000 group by all"""
+_BL = f"with s as ({_SIGNALS})" + _FAIL.replace("{w}", str(W - 1)) + """, t as (select *, failed and failures >= 5 as triggered from n),
+bl as (select *, max(triggered) over (partition by host, ip order by ts_us range between 1799999999 preceding and current row) as blacklisted from t)
+"""
+_KEYS = ORACLES["state_key_audit"].partition("j as (")[0].rstrip().rstrip(",") + " "
+
+
+def _buckets(rows: str, keys: str, value: str, limits: list[tuple[int, str]]) -> str:
+    """A cumulative histogram of value, in ms, as rows (keys, le, value)."""
+    le = " union all ".join(f"select {ms} as ms, '{name}' as le" for ms, name in [*limits, (10**15, "+Inf")])
+    return f"select {keys}, le, count(*) filter ({value} <= ms) as value from ({rows}) r, ({le}) b group by all"
+
+
+_TTL = [(60_000, "60"), (600_000, "600"), (3_600_000, "3600"), (86_400_000, "86400")]
+ORACLES |= {
+    "blacklist_state": _BL + "select event_id, triggered, blacklisted from bl",
+    "metric_blacklist_pairs": _BL + "select ip, count(*) filter (on_list) as value from (select host, ip, arg_max(blacklisted, (ts_us, event_id)) as on_list from bl group by host, ip) group by ip",
+    "command_payload": """select page_id, case page_id % 5 when 3 then url when 4 then 'http://own.example/' end as url, case page_id % 5 when 2 then 'x' when 3 then 'job_' || page_id when 4 then 'own' end as job_id,
+ case when page_id % 5 = 3 then 'gold' end as tier, cast(case when page_id % 5 = 3 then page_id % 7 end as bigint) as max_retries,
+ case page_id % 5 when 0 then 'invalid payload json' when 1 then 'payload must be a JSON object' when 2 then 'missing url' end as error from pages""",
+    "terminal_attempts": _DECIDED + ", ended as (select pol.*, coalesce(gate.stopped_by, route.outcome) as stopped_by from pol join gate using (result_id) join route using (result_id) where coalesce(gate.stopped_by, route.outcome) not in ('fetched', 'retry')), "
+    + _CANON.replace("{source}", "ended") + f""" select '1.0' as schema_version, sha256(canonical_url) || ':attempt:' || substr(sha256(job_id || chr(0) || canonical_url), 1, 16) as attempt_id, cast(null as varchar) as snapshot_id,
+ cast(null as varchar) as command_id, cast(null as varchar) as trace_id, job_id, sha256(canonical_url) as url_hash, canonical_url, url as original_url, host, cast(null as varchar) as host_id, cast(null as varchar) as site_id, tier,
+ cast(null as varchar) as politeness_key, policy_scope_id, 'v1' as policy_version, matched_scope_type as matched_policy_scope_type, matched_scope_id as matched_policy_scope_id, false as policy_lkg_active,
+ '2024-01-31T00:00:00Z' as attempted_at, '2024-01-31T00:00:00Z' as finished_at, 'failed' as fetch_result, cast(null as integer) as status_code, cast(null as varchar) as content_type, cast(null as bigint) as response_time_ms,
+ cast(0 as bigint) as bytes_downloaded, stopped_by as error_type, case stopped_by when 'paused' then 'maintenance' when 'deadline_expired' then 'Fetch command deadline expired before request start' else 'Fetch command retry budget exhausted' end as error_message,
+ 'unknown' as content_result, cast(0 as integer) as outlinks_count, cast(0 as integer) as outlinks_external_count, 'skipped' as storage_result, cast(null as varchar) as storage_provider, cast(null as varchar) as bucket,
+ cast(null as varchar) as storage_key, cast(null as varchar) as storage_etag, cast(null as varchar) as compression, cast(null as varchar) as content_sha256, cast(null as bigint) as uncompressed_size, cast(null as bigint) as compressed_size,
+ cast(null as varchar) as egress_local_ip, cast(null as varchar) as observed_egress_ip from canon""",
+    "metric_policy_decisions": _DECIDED + "select matched_scope_type, count(*) as value from pol group by 1",
+    "metric_stopped": _DECIDED + "select stopped_by, matched_scope_type, case when stopped_by = 'paused' then 'maintenance' end as reason, count(*) as value from pol join gate using (result_id) where stopped_by is not null group by all",
+    "metric_signals_by_type": SIG + "select signal_type, 'host_ip' as dimension, count(*) as value, cast(sum(weight) as bigint) as weight from weighted group by signal_type",
+    "metric_soft_ban_totals": _SOFT + """ select metric, reason, asn, count(*) as value from (select 'ip_cooldown' as metric, 'cross_host_challenge' as reason, '' as asn from soft where cooldown
+ union all select 'host_slowdown', 'multi_ip_challenge', '' from soft where slowdown union all select 'host_asn_soft_limit', 'host_asn_challenge', asn from soft where soft_limit) group by all""",
+    "metric_active_states": _SOFT + """, now as (select max(ts_us) as t from soft) select metric, count(*) filter (until_us > t) as value from (select 'ip_cooldown' as metric, max(ts_us) + 1800000000 as until_us from soft where cooldown group by ip
+ union all select 'host_slowdown', max(ts_us) + 600000000 from soft where slowdown group by host), now group by metric""",
+    "metric_backoff_seconds": _buckets(f"select event_id, signal_type, delay_ms from ({ORACLES['backoff_schedule']}) join ({_SOFT} select event_id, signal_type from soft) using (event_id)", "signal_type", "delay_ms", [(1000, "1"), (5000, "5"), (10_000, "10"), (30_000, "30"), (60_000, "60"), (300_000, "300")]),
+    "metric_pacer_delay": _buckets(ORACLES["pacer_schedule"], "'host_interval' as reason", "wait_ms", [(1000, "1"), (10_000, "10"), (60_000, "60"), (600_000, "600"), (3_600_000, "3600"), (86_400_000, "86400")]),
+    "metric_egress_selected": f"select 'STICKY_POOL' as strategy, case when identity is null then 'unavailable' when identity like '198.%' then 'public_ip' else 'bind_ip' end as egress_identity_type, count(*) as value from ({ORACLES['egress_select']}) group by all",
+    "metric_sticky_pools": f"select size, count(*) as value from (select host, count(*) as size from ({ORACLES['sticky_pool_topk']}) group by host) group by size",
+    "metric_active_ips": f"select status, count(*) as value from ({IDENTITIES}) i group by status",
+    "metric_forbidden_keys": _KEYS + "select lower(split_part(key, ':', -2)) as pattern, count(*) as value from fresh where split_part(key, ':', -2) in ('profile', 'Rank') group by 1",
+    "metric_state_ttl": _buckets(_KEYS + "select split_part(key, ':', -2) as state_type, ttl * 1000 as ms_value from a where ttl > 0", "state_type", "ms_value", _TTL),
+    "gzip_roundtrip": "select page_id, true as ok, cast(octet_length(encode(html)) as bigint) as size from pages",
+    "stream_dedupe": "select user_id % 50 as key, cast(1 as bigint) as n from events group by 1",
+}

@@ -18,9 +18,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHALLENGES, BOTS = signals.parse_patterns("challenge:verify you are human"), signals.parse_patterns("bot:bot filter")
 W = windows.WINDOW_US
 POLICY = {
-    "schema_version": "1.0", "version": "v1", "default_policy": {**policy.BOOTSTRAP, "host_ip_jitter_ms": 0},
+    "schema_version": "1.0", "version": "v1", "generated_at": "2024-01-31T00:00:00Z", "default_policy": {**policy.BOOTSTRAP, "host_ip_jitter_ms": 0},
     "scope_policies": [
-        {"scope_type": "policy_scope_id", "scope_id": "scope-paused", "policy": {"paused": True}},
+        {"scope_type": "policy_scope_id", "scope_id": "scope-paused", "policy": {"paused": True, "pause_reason": "maintenance"}},
         {"scope_type": "tier", "scope_id": "gold", "policy": {"max_retries": 1}},
         {"scope_type": "tier", "scope_id": "bulk", "policy": {"sticky_pool_size": 2}},
     ],
@@ -51,7 +51,8 @@ def _signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _challenges(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).where(F.col("signal_type").isin(signals.CHALLENGES)).select("event_id", "ts_us", "host", "ip", "signal_type")
+    rows = _signals(spark, d).where(F.col("signal_type").isin(signals.CHALLENGES)).select("event_id", "ts_us", "host", "ip", "signal_type")
+    return rows.join(F.broadcast(fixtures.identities(spark).select(F.col("bind_ip").alias("ip"), "asn")), "ip")  # eight rows
 
 
 def _identities(spark: SparkSession) -> DataFrame:
@@ -207,6 +208,17 @@ def delivery_counts(spark: SparkSession, d: str) -> DataFrame:
     return scans.delivery_counts(rows.select(F.col("result_id").alias("message_id")), known, 3).select("message_id", F.col("deliveries").cast("long").alias("deliveries"))
 
 
+@query
+def command_payload(spark: SparkSession, d: str) -> DataFrame:
+    """Wrapped commands: the payload's fields replace the row's own, which say nothing here."""
+    p = F.col("page_id")
+    whole = F.to_json(F.struct("url", F.concat(F.lit("job_"), p.cast("string")).alias("job_id"), F.col("url").alias("canonical_url"), (p % 7).alias("max_retries"), F.lit("gold").alias("tier")))
+    payload = F.when(p % 5 == 0, "not json").when(p % 5 == 1, " [1] ").when(p % 5 == 2, '{"url": null, "job_id": "x"}').when(p % 5 == 3, whole)
+    rows = commands.unwrap(_pages(spark, d).select("page_id", payload.alias("payload"), F.lit("http://own.example/").alias("url"), F.lit("own").alias("job_id"), F.lit("http://own.example/").alias("canonical_url")))
+    error = F.coalesce("payload_error", commands.command_error({f: F.col(f) for f in commands.FIELDS}))
+    return rows.select("page_id", "url", "job_id", "tier", commands.bounded_int(F.col("max_retries")).cast("long").alias("max_retries"), error.alias("error"))
+
+
 # --- policy -----------------------------------------------------------------------------------
 
 
@@ -318,6 +330,13 @@ def failure_window_local(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", "failures", "triggered")
 
 
+@query
+def blacklist_state(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.signals(spark, d).where("event_type in ('error', 'click', 'purchase')")
+    out = windows.failure_window(rows, ["host", "ip"], F.col("event_type") != "purchase", F.col("event_type") == "purchase", W)
+    return windows.blacklist(out, ["host", "ip"]).select("event_id", "triggered", "blacklisted")
+
+
 @query
 def ip_failures(spark: SparkSession, d: str) -> DataFrame:
     rows = fixtures.signals(spark, d).where("status_code <> 200")
@@ -340,7 +359,7 @@ def signal_gap_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def softban_events(spark: SparkSession, d: str) -> DataFrame:
-    return windows.soft_ban(_challenges(spark, d), W).select("event_id", "host_ip_count", "hosts_of_ip", "ips_of_host", "backoff", "cooldown", "slowdown")
+    return windows.soft_ban(_challenges(spark, d), W).select("event_id", "host_ip_count", "hosts_of_ip", "ips_of_host", "ips_of_host_asn", "backoff", "cooldown", "slowdown", "soft_limit")
 
 
 @query
@@ -366,13 +385,18 @@ def delayed_buffer(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def state_key_audit(spark: SparkSession, d: str) -> DataFrame:
+    before, after = _state_keys(spark, d)
+    return audit.audit(before, after)
+
+
+def _state_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = fixtures.signals(spark, d).select("event_id", "host")
     n = F.col("event_id") % 9
     kind = F.when(n == 0, "profile").when(n == 1, "Rank").otherwise("host_ip")
     prefix = F.when(n == 2, "other:").otherwise("crawler:exec:safety:")
     key = F.concat(prefix, kind, F.lit(":"), ids.stable_hash(F.concat("host", (F.col("event_id") % 50).cast("string"))))
     after = rows.select(key.alias("key"), audit.clamp_ttl(F.col("event_id")).alias("ttl")).withColumn("ttl", F.when(F.col("ttl") % 10 == 0, -1).otherwise(F.col("ttl")))
-    return audit.audit(after.where("ttl % 4 = 1"), after)
+    return after.where("ttl % 4 = 1"), after
 
 
 # --- facts and what follows from them ---------------------------------------------------------
@@ -390,6 +414,8 @@ def attempt_violations(spark: SparkSession, d: str) -> DataFrame:
     rows = _attempts(spark, d)
     rows = rows.withColumn("status_code", F.when(n == "0", 700).otherwise(F.col("status_code"))).withColumn("storage_key", F.when(n == "1", F.lit(None)).otherwise(F.col("storage_key")))
     rows = rows.withColumn("url_hash", F.when(n == "2", F.upper("url_hash")).otherwise(F.col("url_hash"))).withColumn("host", F.when(n == "3", F.lit("")).otherwise(F.col("host")))
+    rows = rows.withColumn("schema_version", F.when(n == "4", F.lit("9")).otherwise(F.col("schema_version"))).withColumn("snapshot_id", F.when(n == "6", F.lit("")).otherwise(F.col("snapshot_id")))
+    rows = rows.withColumn("content_sha256", F.when((n == "5") & F.col("content_sha256").isNotNull(), F.lit("XYZ")).otherwise(F.col("content_sha256")))
     return rows.select("attempt_id", F.array_join(attempts.violations(rows), ";").alias("violations"))
 
 
@@ -400,6 +426,15 @@ def crawl_logs(spark: SparkSession, d: str) -> DataFrame:
     return attempts.crawl_logs(rows.unionByName(again.where("status_code = 200"))).select("attempt_id", "finished_at_ms", "storage_result")
 
 
+@query
+def terminal_attempts(spark: SparkSession, d: str) -> DataFrame:
+    rows = _decided(spark, d)
+    stopped = policy.gate(F.col("policy_paused"), F.col("policy_enabled"), F.col("deadline_at"), fixtures.NOW_MS)
+    routed = policy.outcome(F.col("status_code"), F.col("fetch_failed"), F.col("deliveries"), F.coalesce("cmd_max_retries", "policy_max_retries"))
+    ended = rows.withColumn("stopped_by", F.coalesce(stopped, F.nullif(routed, F.lit("fetched")))).where("stopped_by <> 'retry'")
+    return attempts.terminal_attempts(ended, fixtures.NOW_MS, POLICY["version"]).drop("response_headers", "attempted_at_ms", "finished_at_ms")
+
+
 @query
 def page_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return attempts.page_snapshots(_attempts(spark, d)).select("snapshot_id", "attempt_id", "content_sha256", "storage_key")
@@ -480,6 +515,101 @@ def metric_in_flight(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("job_id").agg(metrics.in_flight(F.lit(1), F.when(F.col("storage_ok"), 1).otherwise(0)).cast("long").alias("in_flight"))
 
 
+@query
+def metric_policy_decisions(spark: SparkSession, d: str) -> DataFrame:
+    return _decided(spark, d).groupBy("matched_scope_type").agg(F.count("*").alias("value"))
+
+
+@query
+def metric_stopped(spark: SparkSession, d: str) -> DataFrame:
+    """Commands paused and expired, by the scope that decided."""
+    rows = _decided(spark, d).withColumn("stopped_by", policy.gate(F.col("policy_paused"), F.col("policy_enabled"), F.col("deadline_at"), fixtures.NOW_MS)).where("stopped_by is not null")
+    return rows.groupBy("stopped_by", "matched_scope_type", F.when(F.col("stopped_by") == "paused", F.coalesce("policy_pause_reason", F.lit("paused"))).alias("reason")).agg(F.count("*").alias("value"))
+
+
+@query
+def metric_blacklist_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of host and address that are on the blacklist at the time of each address's last signal."""
+    rows = fixtures.signals(spark, d).where("event_type in ('error', 'click', 'purchase')")
+    out = windows.failure_window(rows, ["host", "ip"], F.col("event_type") != "purchase", F.col("event_type") == "purchase", W)
+    last = windows.blacklist(out, ["host", "ip"]).groupBy("host", "ip").agg(F.max_by("blacklisted", F.struct("ts_us", "event_id")).alias("on"))
+    return last.groupBy("ip").agg(F.count_if("on").alias("value"))
+
+
+@query
+def metric_signals_by_type(spark: SparkSession, d: str) -> DataFrame:
+    return _signals(spark, d).groupBy("signal_type", F.lit("host_ip").alias("dimension")).agg(F.count("*").alias("value"), F.sum(signals.weight(F.col("signal_type")).cast("long")).alias("weight"))
+
+
+def _soft(spark: SparkSession, d: str) -> DataFrame:
+    return windows.soft_ban(_challenges(spark, d), W)
+
+
+@query
+def metric_soft_ban_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Cooldowns, slowdowns and soft limits that set in, by reason and, for soft limits, ASN."""
+    kinds = F.array(
+        F.when(F.col("cooldown"), F.struct(F.lit("ip_cooldown").alias("metric"), F.lit("cross_host_challenge").alias("reason"), F.lit("").alias("asn"))),
+        F.when(F.col("slowdown"), F.struct(F.lit("host_slowdown").alias("metric"), F.lit("multi_ip_challenge").alias("reason"), F.lit("").alias("asn"))),
+        F.when(F.col("soft_limit"), F.struct(F.lit("host_asn_soft_limit").alias("metric"), F.lit("host_asn_challenge").alias("reason"), F.col("asn").alias("asn"))),
+    )
+    rows = _soft(spark, d).select(F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k"))
+    return rows.groupBy("k.metric", "k.reason", "k.asn").agg(F.count("*").alias("value"))
+
+
+@query
+def metric_active_states(spark: SparkSession, d: str) -> DataFrame:
+    """Cooldowns (1800 s) and slowdowns (600 s) in force at the last signal of all."""
+    rows = _soft(spark, d)
+    now = rows.agg(F.max("ts_us").alias("now"))
+    cool = rows.where("cooldown").groupBy(F.col("ip").alias("k")).agg(F.max("ts_us").alias("at")).select(F.lit("ip_cooldown").alias("metric"), (F.col("at") + 1_800_000_000).alias("until"))
+    slow = rows.where("slowdown").groupBy(F.col("host").alias("k")).agg(F.max("ts_us").alias("at")).select(F.lit("host_slowdown").alias("metric"), (F.col("at") + 600_000_000).alias("until"))
+    return cool.unionByName(slow).join(F.broadcast(now), F.lit(True)).groupBy("metric").agg(F.count_if(F.col("until") > F.col("now")).alias("value"))  # now is one row
+
+
+@query
+def metric_backoff_seconds(spark: SparkSession, d: str) -> DataFrame:
+    hits = _soft(spark, d).where("backoff").select("event_id", "ts_us", "host", "ip", "signal_type")
+    return metrics.histogram(windows.backoff_schedule(hits, ["host", "ip"]), ["signal_type"], F.col("delay_ms"), [1.0, 5.0, 10.0, 30.0, 60.0, 300.0])
+
+
+@query
+def metric_pacer_delay(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.histogram(pacer_schedule(spark, d).withColumn("reason", F.lit("host_interval")), ["reason"], F.col("wait_ms"), [1.0, 10.0, 60.0, 600.0, 3600.0, 86400.0])
+
+
+@query
+def metric_egress_selected(spark: SparkSession, d: str) -> DataFrame:
+    """Selections by strategy and type of identity; those without one as unavailable."""
+    kind = F.when(F.col("identity").isNull(), "unavailable").when(F.startswith("identity", F.lit("198.")), "public_ip").otherwise("bind_ip")
+    return egress_select(spark, d).groupBy(F.lit("STICKY_POOL").alias("strategy"), kind.alias("egress_identity_type")).agg(F.count("*").alias("value"))
+
+
+@query
+def metric_sticky_pools(spark: SparkSession, d: str) -> DataFrame:
+    sizes = sticky_pool_topk(spark, d).groupBy("host").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size").agg(F.count("*").alias("value"))
+
+
+@query
+def metric_active_ips(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.identities(spark).groupBy("status").agg(F.count("*").alias("value"))
+
+
+@query
+def metric_forbidden_keys(spark: SparkSession, d: str) -> DataFrame:
+    before, after = _state_keys(spark, d)
+    fresh = audit.new_keys(before, after).where("forbidden")
+    return fresh.groupBy(audit.marker(F.col("key")).alias("pattern")).agg(F.count("*").alias("value"))
+
+
+@query
+def metric_state_ttl(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.element_at(F.split("key", ":"), -2)
+    rows = _state_keys(spark, d)[1].where("ttl > 0").withColumn("state_type", kind)
+    return metrics.histogram(rows, ["state_type"], F.col("ttl") * 1000, [60.0, 600.0, 3600.0, 86400.0])
+
+
 @query
 def observed_ips(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("page_id")

@@ -1,10 +1,12 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import commands, content, ids, net, signals, urls
-from crawlgrain.operators import policy, windows
+from crawlgrain.operators import audit, pacing, policy, windows
+from crawlgrain.plans import attempts
 from crawlgrain.plans.queries import QUERIES
 from crawlgrain.sources import commands as scans
 
@@ -90,7 +92,7 @@ def test_policy_provider_keeps_the_last_good(tmp_path):
     path = tmp_path / "p.json"
     provider = policy.PolicyProvider(str(path))
     assert provider.current()["version"] == "bootstrap" and provider.result == "read_error" and not provider.last_known_good_active
-    good = {"schema_version": "1.0", "version": "v1", "default_policy": {"max_retries": 1}, "scope_policies": []}
+    good = {"schema_version": "1.0", "version": "v1", "generated_at": "2024-01-31T00:00:00Z", "default_policy": {"max_retries": 1}, "scope_policies": []}
     path.write_text(json.dumps(good))
     assert provider.current()["version"] == "v1" and provider.result == "success"
     assert provider.current()["version"] == "v1" and provider.result == "not_modified"
@@ -105,7 +107,7 @@ def test_policy_provider_keeps_the_last_good(tmp_path):
 
 def test_policy_errors():
     bad = {"schema_version": "2", "version": " ", "default_policy": {"x": 1, "max_retries": 101}, "scope_policies": [{"scope_type": "tier", "scope_id": "a", "policy": {}}] * 2}
-    assert policy.document_errors(bad) == sorted(["schema_version", "version", "default_policy.x", "default_policy.max_retries", "scope_policies[1] repeats ('tier', 'a')"])
+    assert policy.document_errors(bad) == sorted(["schema_version", "version", "generated_at", "default_policy.x", "default_policy.max_retries", "scope_policies[1] repeats ('tier', 'a')"])
 
 
 def test_identity_maps(spark, tmp_path):
@@ -131,3 +133,104 @@ def test_repeat_seeds_replays_every_page(spark, tmp_path):
     ids_there = sorted(k * 7 % 90 for k in range(45))
     got = [tuple(r) for r in QUERIES["repeat_seeds"](spark, str(tmp_path)).collect()]
     assert got == [(r, k) for r in range(3) for k in ids_there][:100]
+
+
+def test_escapes_are_decoded_one_by_one(spark):
+    rows = [("http://e.org/?a=%20%zz", "http://e.org?a=+%25zz"), ("http://e.org/?b=%41%4&a=%", "http://e.org?a=%25&b=A%254")]
+    df = spark.createDataFrame(rows, "url string, there string").select(urls.canonical_url(F.col("url")).alias("found"), "there")
+    assert all(r["found"] == r["there"] for r in df.collect())
+
+
+def test_captcha_marks_count_in_bytes(spark):
+    rows = [("é" * 60000 + "captcha", True), ("é" * 70000 + "captcha", False), ("x" * 131000 + "hcaptcha", True)]
+    df = spark.createDataFrame(rows, "body string, there boolean").select(content.contains_captcha(F.lit("text/html"), F.col("body")).alias("found"), "there")
+    assert all(r["found"] == r["there"] for r in df.collect())
+
+
+def test_soft_ban_against_a_loop(spark):
+    """Counters by signal type with sliding expiry; cross-dimension ones for challenge pages only."""
+    random.seed(4)
+    gap = 1000
+    rows, at = [], 0
+    for i in range(400):
+        at += random.choice([1, 50, 200, 900, 1500])
+        rows.append((i, at, f"h{random.randint(0, 2)}", f"i{random.randint(0, 4)}", random.choice(["http_429", "captcha_challenge", "anti_bot_200"]), f"AS{random.randint(1, 2)}"))
+    state, there = {}, {}
+
+    def counter(key, member, now):
+        members, last = state.get(key, ([], None))
+        members = [] if last is None or now - last > gap else members
+        members = [*members, member]
+        state[key] = (members, now)
+        return members
+
+    for i, now, host, ip, kind, asn in rows:
+        backoff = len(counter(("own", host, ip, kind), i, now)) >= 2
+        said = [False] * 3
+        if kind != "http_429":
+            said = [len(set(counter(k, m, now))) >= 3 for k, m in ((("ip", ip, kind), host), (("host", host, kind), ip), (("asn", host, asn, kind), ip))]
+        there[i] = (backoff, *said)
+    df = spark.createDataFrame(rows, "event_id long, ts_us long, host string, ip string, signal_type string, asn string")
+    found = {r["event_id"]: (r["backoff"], r["cooldown"], r["slowdown"], r["soft_limit"]) for r in windows.soft_ban(df, gap).collect()}
+    assert found == there
+
+
+def test_blacklist_is_armed_anew(spark):
+    rows = [(1, 0, True), (2, 1000, False), (3, 1700, True), (4, 1900, False), (5, 3400, False), (6, 3600, False)]
+    df = spark.createDataFrame(rows, "event_id long, ts_us long, triggered boolean").withColumn("host", F.lit("h"))
+    found = [r["blacklisted"] for r in windows.blacklist(df, ["host"], 1800).orderBy("event_id").collect()]
+    assert found == [True, True, True, True, True, False]
+
+
+def test_audit_of_keys(spark):
+    p = audit.PREFIX
+    after = spark.createDataFrame([(f"{p}:host_ip:1", 5), (f"{p}:host_ip:2", None), (f"{p}:profile:1", None), ("other:x", None), ("extra:y", 3), ("old", 1)], "key string, ttl long")
+    before = spark.createDataFrame([("old",)], "key string")
+    row = audit.audit(before, after, extra_prefixes=("extra:",)).first()
+    assert tuple(row) == (5, 2, 1, 1, False)
+
+
+def test_fact_rules(spark):
+    base = dict.fromkeys(attempts.COLUMNS)
+    good = base | {"schema_version": "1.0", "attempt_id": "a", "url_hash": "0" * 64, "canonical_url": "c", "original_url": "o", "host": "h", "attempted_at": "t", "finished_at": "t",
+                   "fetch_result": "succeeded", "content_result": "html_snapshot_candidate", "storage_result": "stored", "snapshot_id": "s", "storage_provider": "oci", "bucket": "b",
+                   "storage_key": "k", "compression": "gzip", "content_sha256": "a" * 64}
+    wrong = [{}, {"schema_version": "9"}, {"content_sha256": "XYZ"}, {"snapshot_id": ""}, {"content_sha256": None}, {"storage_provider": "s3"}]
+    schema = ", ".join(f"{c} {'int' if c == 'status_code' else 'string'}" for c in attempts.COLUMNS)
+    df = spark.createDataFrame([tuple((good | w)[c] for c in attempts.COLUMNS) for w in wrong], schema)
+    found = [r[0] for r in df.select(attempts.violations(df)).collect()]
+    assert found == [[], ["bad schema_version"], ["bad content_sha256"], ["stored without snapshot_id"], ["stored without content_sha256"], ["bad storage_provider"]]
+
+
+def test_policy_documents_as_they_come():
+    good = {"schema_version": "1.0", "version": "v", "generated_at": "2026-01-01T00:00:00Z", "default_policy": {"pause_reason": "maintenance", "egress_selection_strategy": "sticky_pool"}, "scope_policies": None}
+    assert policy.document_errors(good) == []
+    assert policy.document_errors({k: v for k, v in good.items() if k != "generated_at"}) == ["generated_at"]
+    assert policy.document_errors(good | {"default_policy": {"pause_reason": " "}}) == ["default_policy.pause_reason"]
+    assert policy.document_errors(good | {"scope_policies": {}}) == []
+    assert policy.document_errors(good | {"scope_policies": {"a": 1}}) == ["scope_policies"]
+
+
+def test_policy_lookups_agree(spark, monkeypatch):
+    """Broadcast lookups and the joined form decide the same."""
+    document = {"scope_policies": [{"scope_type": "tier", "scope_id": "gold", "policy": {"max_retries": 1}}, {"scope_type": "host_id", "scope_id": "h1", "policy": {"paused": True}}]}
+    rows = spark.createDataFrame([(1, "gold", None), (2, "gold", "h1"), (3, " ", "h2"), (4, None, "h1")], "k long, tier string, host_id string")
+    some = sorted(map(tuple, policy.decide(rows, policy.scope_table(spark, document), policy.BOOTSTRAP, "k").collect()), key=lambda r: r[0])
+    monkeypatch.setattr(policy, "SMALL", 0)
+    assert sorted(map(tuple, policy.decide(rows, policy.scope_table(spark, document), policy.BOOTSTRAP, "k").collect()), key=lambda r: r[0]) == some
+    assert [r[-2] for r in some] == ["tier", "host_id", "default", "host_id"]
+
+
+def test_pacing_of_several_identities_against_a_loop(spark):
+    random.seed(3)
+    who, rows, at = ["a", "b", "c"], [], 0
+    for i in range(200):
+        at += random.choice([0, 10, 500, 3000])
+        rows.append((i, f"h{i % 3}", at))
+    free, there = {}, {}
+    for i, host, arrive in rows:
+        starts = [max(arrive, free.get((host, w), arrive)) for w in who]
+        there[i] = min(starts)
+        free[host, who[starts.index(min(starts))]] = min(starts) + 1000
+    found = {r["event_id"]: r["start_ms"] for r in pacing.pace(spark.createDataFrame(rows, "event_id long, host string, arrive_ms long"), who, 1000).collect()}
+    assert found == there
