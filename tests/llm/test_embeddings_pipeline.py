@@ -96,6 +96,40 @@ def test_embedding_blocks_give_the_same(spark, monkeypatch):
     assert embed_dedup.near_duplicates(df.where("false")).collect() == []
 
 
+def test_tiny_huge_and_nameless_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e-200, 0.0]), (3, [0.5, 0.5]), (4, [1e200, 1e200]), (5, [5e-324, 5e-324]), (None, [1.0, 0.0]), (7, [0.0, 0.0]), (7, [3.0, 3.0]), (9, [float("nan"), 1.0])]
+    found = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()), key=str)
+    assert found == sorted([(1, 1, 1, True), (2, 1, 1, False), (3, 3, 3, True), (4, 3, 3, False), (5, 3, 3, False), (7, 3, 3, False), (7, 0, 7, True), (9, 0, 9, True), (None, 0, None, False)], key=str)
+
+
+ODD = [(1, None), (2, ""), (3, " \n"), (4, "word " * 300), (4, "word " * 300), (None, "one two three"), (5, "é" * 30000), (6, "x y " * 8000), (7, "token = abcdefgh12345678 and more words"), (8, None)]
+
+
+def odd_docs(spark, rows):
+    """Rows with nulls, empty and long texts, repeated ids, and columns named like those that stages make."""
+    full = [(i, t, None if t is None else len(t), "_b", ["_f"], 1, 2, "c") for i, t in rows]
+    return spark.createDataFrame(full, "doc_id long, text string, n_chars long, _base string, _found array<string>, _row_id int, _dropped_id int, component_id string")
+
+
+def test_stages_with_odd_rows(spark, sf):
+    rows = odd_docs(spark, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        found, none = stage(spark, rows, sf), stage(spark, rows.where("false"), sf)
+        assert none.count() == 0, name
+        if name != "best-fit packing":
+            assert found.columns == none.columns == rows.columns, name
+    texts = {name: sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in stage(spark, rows, sf).collect()), key=str) for name, stage in corpus_pipeline.STAGES[:-1]}
+    known = sorted(((i, t, None if t is None else len(t)) for i, t in ODD), key=str)
+    assert {i for i, _, _ in texts["quality rules"]} <= {4, 5, 6}
+    assert texts["n-gram Jaccard join"] == known
+    cut = {i: (t, n) for i, t, n in texts["suffix-array dedup"]}
+    assert len(texts["suffix-array dedup"]) == len(ODD) and cut[1] == (None, None) and cut[4] == ("", 0) and cut[5] == ("", 0) and cut[7][0] == ODD[8][1]
+    masked = {i: t for i, t, _ in texts["secret scans"]}
+    assert len(texts["secret scans"]) == len(ODD) and masked[7] == "[secret] and more words" and masked[8] is None
+    packed = dict(corpus_pipeline.STAGES)["best-fit packing"](spark, rows, sf)
+    assert packed.where("doc_id is null").count() == 1 and packed.where("doc_id = 1").select("length").collect()[0][0] == 1
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
