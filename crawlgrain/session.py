@@ -33,12 +33,15 @@ _LOCAL_DIR = None
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, one machine) is a folder made.
+    Only where it is unset and the session is local (tests, one machine) is a folder made.
     """
     global _LOCAL_DIR
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="crawlgrain-")
     return "file://" + _LOCAL_DIR
