@@ -18,7 +18,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +28,10 @@ from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, po
 #: A cut after a byte with probability 2^-CUT_BITS: chunks of 512 bytes on average.
 CUT_BITS, WINDOW = 9, 24
 #: Bytes of words and of chunks that a worker keeps at once.
-WORD_BYTES, CHUNK_BYTES = 192 << 20, 16 << 20
+WORD_BYTES, CHUNK_BYTES = 224 << 20, 16 << 20
 MOST_CHUNK = 1 << 16
 #: Bytes of text that are encoded at once.
-SLICE = 1 << 19
+SLICE = 1 << 20
 
 #: Latin-1 letters with simple case pairs; none of them composes with another.
 LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
@@ -216,7 +215,6 @@ class Encoder:
         if self.word_bytes > WORD_BYTES // 2:
             self.old_words, self.words, self.word_bytes = self.words, {}, 0
         store, chunks = self.chunks, {}
-        known = self.words.__contains__
         wanted: set[bytes] = set()
         plans: list[list] = []
         texts = set_apart(list(map(self.prepare, texts)))
@@ -233,7 +231,7 @@ class Encoder:
                     if got == 0:
                         got = self._open(piece)
                         if got is not None:
-                            wanted.update(filterfalse(known, got[1]))
+                            wanted.update(got[1])
                     else:
                         self.reused += 1
                     chunks[piece] = got
