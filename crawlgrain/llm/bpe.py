@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, as_bytes, only, powers, slices, tidied
+from crawlgrain.llm.common import BASE, BYTE_VALUE, IS_SPACE, STORES, as_bytes, only, powers, slices, tidied
 
 #: A cut after a byte with probability 2^-CUT_BITS: chunks of 512 bytes on average.
 CUT_BITS, WINDOW = 9, 24
@@ -57,6 +57,7 @@ PRE_TOKENIZER = {
 _INVERSE = pow(int(BASE), -1, 1 << 64)
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 _ENCODERS: dict[str, Encoder] = {}
+STORES.append(_ENCODERS)
 
 
 _STOP, _ALNUM = np.zeros(256, bool), np.zeros(256, bool)
@@ -330,8 +331,8 @@ def encode_documents(docs: DataFrame, path: str, *, keep_ids: bool = True) -> Da
 
     docs = only(docs, doc_id="long", text="string")
     if keep_ids:
-        return docs.mapInArrow(tidied(ids_of), "doc_id long, ids array<int>")
-    return docs.mapInArrow(tidied(digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        return docs.mapInArrow(tidied(ids_of, _ENCODERS), "doc_id long, ids array<int>")
+    return docs.mapInArrow(tidied(digests, _ENCODERS), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -75,10 +75,26 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 1 <
             at = to
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run as it is, but what it freed goes back to the system at the end of the task: workers are used again and again."""
+#: What operators keep in a worker from task to task.
+STORES: list[dict] = []
+
+
+def clear_stores() -> None:
+    """Empty the STORES of this process. A function of the module, so that a task means its worker's own ones."""
+    for store in STORES:
+        store.clear()
+
+
+def tidied(run: Callable[[Iterator], Iterator], keep: dict | None = None) -> Callable[[Iterator], Iterator]:
+    """run as it is, but with other operators' STORES emptied before, and what it freed given back to the system at the end.
+
+    Workers are used again and again, by tasks of any operator.
+    """
+    kept = keep is not None
 
     def wrapped(batches: Iterator) -> Iterator:
+        if not kept:
+            clear_stores()
         try:
             yield from run(batches)
         finally:

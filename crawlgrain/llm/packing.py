@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.bpe import SLICE, encoder, pieces_of
+from crawlgrain.llm.bpe import _ENCODERS, SLICE, encoder, pieces_of
 from crawlgrain.llm.common import as_bytes, drop_table, materialize, only, slices, spread, tidied
 
 CAPACITY = 2048
@@ -50,7 +50,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: i
                 [pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"]
             )
 
-    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run, _ENCODERS), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 #: (length, first rank, number) of waiting pieces, (size, first sequence, number) of gaps.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlgrain.llm.common import as_bytes, only, slices
+from crawlgrain.llm.common import as_bytes, only, slices, tidied
 from crawlgrain.session import ship
 
 #: Labelled rows that a model is fitted on, at most: those with the smallest hashes of doc_id.
@@ -183,7 +183,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
                 [batch.column("doc_id"), batch.column("quality"), pa.array(list(stats), pa.list_(pa.int64()))], names=["doc_id", "quality", "stats"]
             )
 
-    rows = picked.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, stats array<long>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
+    rows = picked.select("doc_id", "quality", "text").mapInArrow(tidied(run), "doc_id long, quality int, stats array<long>").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).toPandas()
     stats = np.array(rows["stats"].tolist(), np.int64).reshape(-1, len(STATS))
     return features(stats), (rows["quality"].to_numpy() > 0).astype(np.float64)
 
@@ -214,7 +214,7 @@ def judge(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
             )
 
     columns = ", ".join(f"{c} long" for c in STATS[:5])
-    return only(docs, doc_id="long", text="string").mapInArrow(run, f"doc_id long, {columns}, base_failed boolean, score double, kept boolean")
+    return only(docs, doc_id="long", text="string").mapInArrow(tidied(run), f"doc_id long, {columns}, base_failed boolean, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
@@ -227,4 +227,4 @@ def keep_good(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFram
             yield batch.filter(pa.array(good))
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)

@@ -2,15 +2,18 @@
 
 import hashlib
 import random
+import sys
 import unicodedata
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from crawlgrain.llm import bpe, packing
+from crawlgrain.llm.common import tidied
 from crawlgrain.llm.queries import TOKENIZER
 from tests.llm.helpers import docs_frame
 
@@ -84,6 +87,20 @@ def test_shared_chunks_are_reused():
     assert e.reused - before > 10
 
 
+def test_other_operators_empty_the_stores(spark):
+    """A task of another operator leaves no encoder in its worker."""
+
+    def look(batches):
+        n = len(sys.modules["crawlgrain.llm.bpe"]._ENCODERS) if "crawlgrain.llm.bpe" in sys.modules else 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows)], names=["n"])
+
+    df = docs_frame(spark, [(1, "a b c"), (2, "d")]).coalesce(1)
+    bpe.encode_documents(df, TOKENIZER, keep_ids=False).collect()
+    assert [r["n"] for r in df.mapInArrow(tidied(look, {}), "n long").collect()] == [1, 1]
+    assert [r["n"] for r in df.mapInArrow(tidied(look), "n long").collect()] == [0, 0]
+
+
 def test_round_trip_frames(spark):
     rows = [(1, "the quick fox"), (2, None), (1, "the quick fox")]
     encoded = bpe.encode_documents(docs_frame(spark, rows), TOKENIZER)
