@@ -57,14 +57,18 @@ def select_egress(requests: DataFrame, pool: DataFrame, cooldowns: DataFrame, ba
     Identities in cooldown are out. The best-ranked one that isn't backed off is taken; if all are,
     the best-ranked with its own next time. Without any, the earliest end of a cooldown, or now + min_delay.
     """
-    tried = requests.join(pool, "host").join(cooldowns, "identity", "left").join(backoffs, ["host", "identity"], "left")
-    cold = F.coalesce(F.col("cooldown_until_ms") > F.col("now_ms"), F.lit(False))
-    held = F.coalesce(F.col("next_allowed_ms") > F.col("now_ms"), F.lit(False))
-    best = tried.groupBy("event_id").agg(
-        F.min_by(F.when(~cold, F.struct("identity", held.alias("backed_off"), "next_allowed_ms")), F.when(~cold, F.struct(held, "rank"))).alias("best"),
-        F.min(F.when(cold, F.col("cooldown_until_ms"))).alias("free_at_ms"),
-    )
-    out = requests.join(best, "event_id", "left").join(slowdowns, "host", "left")
+    member = F.struct("rank", "identity", "cooldown_until_ms", "next_allowed_ms")
+    states = pool.join(cooldowns, "identity", "left").join(backoffs, ["host", "identity"], "left")
+    pools = states.groupBy("host").agg(F.sort_array(F.collect_list(member)).alias("pool"))  # a pool has a node's addresses at most
+    # states meet per host, not per request: requests are joined once, on host, and each chooses within its own row
+    out = requests.join(pools, "host", "left").join(slowdowns, "host", "left")
+    now = F.col("now_ms")
+    later = lambda until: F.coalesce(until > now, F.lit(False))
+    warm = F.filter("pool", lambda m: ~later(m["cooldown_until_ms"]))
+    free = F.try_element_at(F.filter(warm, lambda m: ~later(m["next_allowed_ms"])), F.lit(1))
+    best = F.coalesce(free, F.try_element_at(warm, F.lit(1)))
+    out = out.withColumn("best", F.struct(best["identity"].alias("identity"), (free.isNull() & best.isNotNull()).alias("backed_off"), best["next_allowed_ms"].alias("next_allowed_ms")))
+    out = out.withColumn("free_at_ms", F.array_min(F.transform(F.filter("pool", lambda m: later(m["cooldown_until_ms"])), lambda m: m["cooldown_until_ms"])))
     factor = F.when(F.col("slowdown_until_ms") > F.col("now_ms"), F.greatest("factor", F.lit(1.0))).otherwise(F.lit(1.0))
     start = (
         F.when(F.col("best.identity").isNull(), F.coalesce("free_at_ms", F.col("now_ms") + min_delay_ms))

@@ -84,7 +84,7 @@ def terminal_attempts(stopped: DataFrame, now_ms: int, version: str, lkg_active:
     )
     ended = {
         "fetch_failed": F.lit(True), "status_code": F.lit(None).cast("int"), "content_type": F.lit(None).cast("string"), "html": F.lit(""), "storage_ok": F.lit(False),
-        "error_type": F.col("stopped_by"), "error_message": said, "attempted_at_ms": F.lit(now_ms), "finished_at_ms": F.lit(now_ms), "policy_version": F.lit(version),
+        "egress_local_ip": F.lit(None).cast("string"), "response_time_ms": F.lit(None).cast("long"), "error_type": F.col("stopped_by"), "error_message": said, "attempted_at_ms": F.lit(now_ms), "finished_at_ms": F.lit(now_ms), "policy_version": F.lit(version),
         "matched_policy_scope_type": F.col("matched_scope_type"), "matched_policy_scope_id": F.col("matched_scope_id"), "policy_lkg_active": F.lit(lkg_active),
     }
     return crawl_attempts(stopped.withColumns(ended))
@@ -145,6 +145,16 @@ def url_dedupe(rows: DataFrame, key: Column, order: str) -> DataFrame:
     return rows.withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*names), order).alias("x")).select("x.*")
 
 
+def with_context(responses: DataFrame, commands_df: DataFrame) -> DataFrame:
+    """responses with the context of the command of the same attempt_id; without one the context is null.
+
+    A command delivered more than once counts once: its last delivery by message_id.
+    """
+    names = [c for c in commands_df.columns if c not in responses.columns and c != "message_id"]
+    last = commands_df.groupBy("attempt_id").agg(F.max_by(F.struct(*names), "message_id").alias("x")).select("attempt_id", "x.*")
+    return responses.join(last, "attempt_id", "left")
+
+
 def previous_attempts(attempts: DataFrame) -> DataFrame:
     """attempts with the status of the attempt before on the same URL."""
     return attempts.withColumn("previous_status", F.lag("status_code").over(Window.partitionBy("url_hash").orderBy("attempted_at_ms", "job_id")))

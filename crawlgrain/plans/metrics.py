@@ -11,7 +11,11 @@ BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0,
 
 def requests_total(attempts: DataFrame) -> DataFrame:
     status = F.coalesce(F.col("status_code").cast("string"), F.lit("error"))
-    return attempts.groupBy("host", status.alias("status")).agg(F.count("*").alias("value"))
+    return attempts.groupBy("host", status.alias("status"), egress_ip().alias("egress_ip")).agg(F.count("*").alias("value"))
+
+
+def egress_ip() -> Column:
+    return F.coalesce(F.nullif(F.col("egress_local_ip"), F.lit("")), F.lit("unknown"))
 
 
 def histogram(rows: DataFrame, keys: list[str], ms: Column, limits: list[float] = BUCKETS) -> DataFrame:
@@ -22,9 +26,9 @@ def histogram(rows: DataFrame, keys: list[str], ms: Column, limits: list[float]
     return wide.select(*keys, F.explode(pairs).alias("x")).select(*keys, "x.le", "x.value")
 
 
-def storage_uploads(attempts: DataFrame) -> DataFrame:
+def storage_uploads(attempts: DataFrame, provider: str, bucket: str) -> DataFrame:
     tried = attempts.where("storage_result <> 'skipped'")
-    return tried.groupBy("storage_result").agg(F.count("*").alias("value"), F.sum("uncompressed_size").alias("bytes"))
+    return tried.groupBy(F.lit(provider).alias("provider"), F.lit(bucket).alias("bucket"), "storage_result").agg(F.count("*").alias("value"), F.sum("uncompressed_size").alias("bytes"))
 
 
 def content_skips(attempts: DataFrame) -> DataFrame:
@@ -63,5 +67,30 @@ def signal_rates(signals: DataFrame) -> DataFrame:
     return signals.groupBy("asn").agg(F.count("*").alias("signals"), F.count_if(bad).alias("challenges"), F.floor(1000 * F.count_if(bad) / F.count("*")).cast("long").alias("per_mille"))
 
 
+def counted(rows: DataFrame, *keys: Column) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("value"))
+
+
+def queue_events(rows: DataFrame) -> DataFrame:
+    """(result, value) from one row per delivery: valid, stopped_by, outcome, wait_ms, publish_ok.
+
+    An invalid message is acknowledged at once and counts no further. A valid one is read, delayed if it has to
+    wait, and acknowledged once it is published; a retry and a failed publish leave it with its source.
+    """
+    ok = F.coalesce("valid", F.lit(False))
+    ended = F.col("stopped_by").isNotNull() | (F.col("outcome") != "retry")
+    said = F.array(
+        F.when(~ok, "invalid"), F.when(ok, "read"), F.when(ok & (F.col("wait_ms") > 0), "delayed"), F.when(ok & ~ended, "retryable_failure"),
+        F.when(~ok | (ended & F.col("publish_ok")), "ack"),
+    )
+    return rows.select(F.explode(F.filter(said, lambda x: x.isNotNull())).alias("result")).groupBy("result").agg(F.count("*").alias("value"))
+
+
+def dependency_health(seen: DataFrame) -> DataFrame:
+    """(dependency, status, successes, failures) of observations (dependency, ok, at_ms, n); status is that of the last one, 1 or 0."""
+    last = F.max_by(F.col("ok").cast("long"), F.struct("at_ms", "n"))
+    return seen.groupBy("dependency").agg(last.alias("status"), F.count_if("ok").alias("successes"), F.count_if(~F.col("ok")).alias("failures"))
+
+
 def in_flight(seen: Column, acked: Column) -> Column:
     return F.greatest(F.sum(seen) - F.sum(acked), F.lit(0))

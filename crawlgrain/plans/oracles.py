@@ -21,7 +21,7 @@ ATTEMPTS = (
     RESULTS
     + rf""", a0 as (select *, sha256(canonical_url) as url_hash, coalesce(fetch_failed, false) as failed,
   not coalesce(fetch_failed, false) and coalesce(status_code = 200, false) and coalesce(lower(trim(string_split(content_type, ';')[1])) in ('text/html', 'application/xhtml+xml'), false) as page,
-  len({LINK}) as n_links from canon),
+  len({LINK}) as n_links, len([x for x in {LINK} if regexp_matches(x, '^(https?:)?//') and lower(regexp_extract(x, '^(?:https?:)?//([^/?#]*)', 1)) <> host]) as n_external from canon),
 a1 as (select *, page and storage_ok as stored, url_hash || ':' || finished_at_ms as snap from a0),
 att as (select '1.0' as schema_version, url_hash || ':attempt:' || substr(sha256(job_id || chr(0) || canonical_url), 1, 16) as attempt_id,
   case when stored then snap end as snapshot_id, job_id, url_hash, canonical_url, url as original_url, host, tier, policy_scope_id,
@@ -30,12 +30,15 @@ att as (select '1.0' as schema_version, url_hash || ':attempt:' || substr(sha256
   case when failed then 'failed' else 'succeeded' end as fetch_result, cast(status_code as integer) as status_code, content_type,
   cast(case when failed then 0 else octet_length(encode(html)) end as bigint) as bytes_downloaded, error_type,
   case when failed then 'unknown' when page then 'html_snapshot_candidate' else 'non_snapshot' end as content_result,
-  cast(case when page then n_links else 0 end as integer) as outlinks_count, cast(0 as integer) as outlinks_external_count,
+  cast(case when page then n_links else 0 end as integer) as outlinks_count, cast(case when page then n_external else 0 end as integer) as outlinks_external_count,
   case when stored then 'stored' when page then 'failed' else 'skipped' end as storage_result,
   case when stored then 'oci' end as storage_provider, case when stored then 'pages' end as bucket,
   case when stored then 'pages/v1/' || strftime(make_timestamp(finished_at_ms * 1000), '%Y/%m/%d') || '/' || substr(sha256(host), 1, 16) || '/' || url_hash || '/' || snap || '.html.gz' end as storage_key,
   case when stored then 'gzip' end as compression, case when page then sha256(html) end as content_sha256,
-  cast(case when page then octet_length(encode(html)) end as bigint) as uncompressed_size, attempted_at_ms, finished_at_ms, stored from a1)
+  cast(case when page then octet_length(encode(html)) end as bigint) as uncompressed_size, attempted_at_ms, finished_at_ms, stored,
+  command_id, trace_id, cast(null as varchar) as host_id, cast(null as varchar) as site_id, cast(null as varchar) as politeness_key, cast(null as varchar) as policy_version, cast(null as varchar) as matched_policy_scope_type,
+  cast(null as varchar) as matched_policy_scope_id, cast(null as boolean) as policy_lkg_active, cast(response_time_ms as bigint) as response_time_ms, cast(null as varchar) as error_message, cast(null as varchar) as storage_etag,
+  cast(null as bigint) as compressed_size, egress_local_ip, cast(null as varchar) as observed_egress_ip from a1)
 """
 )
 SIG = f"""with s as ({_SIGNALS}), sig as (select *, case when status_code = 429 then 'http_429' when contains(lower(body), 'verify you are human') then 'captcha_challenge'
@@ -185,11 +188,11 @@ select *, out_of_prefix + forbidden + missing_ttl = 0 as passed from c""",
     "host_latency": ATTEMPTS + """select host, quantile_disc(finished_at_ms - attempted_at_ms, 0.5) as p50, quantile_disc(finished_at_ms - attempted_at_ms, 0.9) as p90, quantile_disc(finished_at_ms - attempted_at_ms, 0.99) as p99 from att group by host""",
     "request_rollup": ATTEMPTS + """select coalesce(host, '*') as host, coalesce(status, '*') as status, coalesce(storage_result, '*') as storage_result, count(*) as value
  from (select host, coalesce(cast(status_code as varchar), 'error') as status, storage_result from att) group by cube (host, status, storage_result)""",
-    "metric_requests": ATTEMPTS + "select host, coalesce(cast(status_code as varchar), 'error') as status, count(*) as value from att group by all",
+    "metric_requests": ATTEMPTS + "select host, coalesce(cast(status_code as varchar), 'error') as status, egress_local_ip as egress_ip, count(*) as value from att group by all",
     "metric_response_seconds": ATTEMPTS + """, b as (select unnest([5, 10, 25, 50, 75, 100, 250, 500, 750, 1000, 2500, 5000, 7500, 10000]) as ms, unnest(['0.005', '0.01', '0.025', '0.05', '0.075', '0.1', '0.25', '0.5', '0.75', '1', '2.5', '5', '7.5', '10']) as le union all select 1000000000000, '+Inf')
 select fetch_result, le, count(*) filter (finished_at_ms - attempted_at_ms <= ms) as value from att, b group by fetch_result, le""",
     "metric_content_skips": ATTEMPTS + "select case when fetch_result = 'failed' then 'fetch_failed' when status_code <> 200 then 'non_200_status' else 'non_html_content' end as reason, count(*) as value from att where storage_result = 'skipped' group by 1",
-    "metric_storage_uploads": ATTEMPTS + "select storage_result, count(*) as value, cast(sum(uncompressed_size) as bigint) as bytes from att where storage_result <> 'skipped' group by 1",
+    "metric_storage_uploads": ATTEMPTS + "select 'oci' as provider, 'pages' as bucket, storage_result, count(*) as value, cast(sum(uncompressed_size) as bigint) as bytes from att where storage_result <> 'skipped' group by 3",
     "metric_feedback_signals": SIG + f", i as ({IDENTITIES}) select asn, count(*) as signals, count(*) filter (signal_type in ('http_429', 'captcha_challenge', 'anti_bot_200')) as challenges, 1000 * count(*) filter (signal_type in ('http_429', 'captcha_challenge', 'anti_bot_200')) // count(*) as per_mille from sig join i on bind_ip = ip group by asn",
     "metric_terminal": _DECIDED + "select result, count(*) as value from (select stopped_by as result from gate where stopped_by is not null union all select outcome from route where outcome <> 'fetched') group by result",
     "metric_in_flight": f"with fr as ({_RESULTS}) select job_id, cast(count(*) - count(*) filter (storage_ok) as bigint) as in_flight from fr group by job_id",
@@ -219,7 +222,7 @@ ORACLES |= {
  case page_id % 5 when 0 then 'invalid payload json' when 1 then 'payload must be a JSON object' when 2 then 'missing url' end as error from pages""",
     "terminal_attempts": _DECIDED + ", ended as (select pol.*, coalesce(gate.stopped_by, route.outcome) as stopped_by from pol join gate using (result_id) join route using (result_id) where coalesce(gate.stopped_by, route.outcome) not in ('fetched', 'retry')), "
     + _CANON.replace("{source}", "ended") + f""" select '1.0' as schema_version, sha256(canonical_url) || ':attempt:' || substr(sha256(job_id || chr(0) || canonical_url), 1, 16) as attempt_id, cast(null as varchar) as snapshot_id,
- cast(null as varchar) as command_id, cast(null as varchar) as trace_id, job_id, sha256(canonical_url) as url_hash, canonical_url, url as original_url, host, cast(null as varchar) as host_id, cast(null as varchar) as site_id, tier,
+ command_id, trace_id, job_id, sha256(canonical_url) as url_hash, canonical_url, url as original_url, host, cast(null as varchar) as host_id, cast(null as varchar) as site_id, tier,
  cast(null as varchar) as politeness_key, policy_scope_id, 'v1' as policy_version, matched_scope_type as matched_policy_scope_type, matched_scope_id as matched_policy_scope_id, false as policy_lkg_active,
  '2024-01-31T00:00:00Z' as attempted_at, '2024-01-31T00:00:00Z' as finished_at, 'failed' as fetch_result, cast(null as integer) as status_code, cast(null as varchar) as content_type, cast(null as bigint) as response_time_ms,
  cast(0 as bigint) as bytes_downloaded, stopped_by as error_type, case stopped_by when 'paused' then 'maintenance' when 'deadline_expired' then 'Fetch command deadline expired before request start' else 'Fetch command retry budget exhausted' end as error_message,
@@ -243,3 +246,50 @@ ORACLES |= {
     "gzip_roundtrip": "select page_id, true as ok, cast(octet_length(encode(html)) as bigint) as size from pages",
     "stream_dedupe": "select user_id % 50 as key, cast(1 as bigint) as n from events group by 1",
 }
+
+# --- workers, state and the command loop ------------------------------------------------------
+
+_SEEN = f"""with fr as ({_RESULTS}), tried as (select result_id, not coalesce(fetch_failed, false) and coalesce(status_code = 200, false)
+ and coalesce(lower(trim(string_split(content_type, ';')[1])) in ('text/html', 'application/xhtml+xml'), false) as page, storage_ok, publish_ok, finished_at_ms from fr),
+seen as (select 'oci' as dependency, storage_ok as ok, finished_at_ms as at_ms, result_id as n from tried where page union all select 'kafka', publish_ok, finished_at_ms, result_id from tried)
+"""
+_WORKER = """with w as (select event_id, 'node-' || event_id % 5 as node, 'pod-' || event_id % 11 as pod, case event_id % 4 when 0 then ' fixed-' || event_id % 3 || ' ' when 1 then '  ' end as explicit,
+ case event_id % 3 when 0 then 'c-{node_name}-$(POD_NAME)' when 1 then '${NODE_NAME}/{POD_NAME}' end as template, event_id % 6 = 0 as nameless, event_id % 2 = 0 as debug from events)
+"""
+_WRITES = f"""with s as ({_SIGNALS}), w as (select 'crawler:exec:safety:host:' || substr(sha256(host), 1, 16) || ':' || event_id % 40 as key, ts_us // 1000 as at_ms, event_id as n, event_type, cast(status_code as varchar) as status,
+ least(greatest((event_id * 7919) % 100000, 1), 86400) as ttl from s),
+r as (select *, at_ms + ttl * 1000 as till from w where at_ms <= 1705449600000),
+l as (select *, case when lag(till) over (partition by key order by at_ms, n) > at_ms then 0 else 1 end as fresh from r),
+v as (select *, sum(fresh) over (partition by key order by at_ms, n rows unbounded preceding) as life from l),
+ends as (select key, max(life) as life, arg_max(till, (at_ms, n)) as expires_ms from v group by key having arg_max(till, (at_ms, n)) > 1705449600000),
+alive as (select key, expires_ms, arg_max(event_type, (at_ms, n)) as kind, arg_max(status, (at_ms, n)) filter (event_type = 'error') as status from v join ends using (key, life) group by key, expires_ms)
+"""
+ORACLES["metric_response_seconds"] = _buckets(ATTEMPTS + "select host, egress_local_ip as egress_ip, finished_at_ms - attempted_at_ms as took from att", "host, egress_ip", "took", [(5, "0.005"), (10, "0.01"), (25, "0.025"), (50, "0.05"), (75, "0.075"), (100, "0.1"), (250, "0.25"), (500, "0.5"), (750, "0.75"), (1000, "1"), (2500, "2.5"), (5000, "5"), (7500, "7.5"), (10_000, "10")])
+ORACLES |= {
+    "response_context": f"with fr as ({_RESULTS}) select result_id, case when page_id % 4 <> 0 then tier end as tier, case when page_id % 4 <> 0 then policy_scope_id end as policy_scope_id from fr",
+    "consumer_names": _WORKER + """select event_id, case when event_id % 4 = 0 then 'fixed-' || event_id % 3 when nameless then 'box' when event_id % 3 = 0 then 'c-' || node || '-' || pod when event_id % 3 = 1 then node || '/' || pod else node || '-' || pod end as consumer,
+ case when debug then 'crawl:tasks:debug:' || node else 'crawl:tasks' end as stream, case when debug then 'crawler-executor-debug:' || node else 'crawler-executor' end as grp from w""",
+    "worker_readiness": "select event_id, event_id % 3 <> 0 and event_id % 5 <> 0 and (event_id * 37) % 100 - 20 <= 30 as ready, case when event_id % 5 <> 0 then cast(greatest((event_id * 37) % 100 - 20, 0) as double) end as age from events",
+    "header_decode": "select page_id, 'text/' || page_id as content_type, case when page_id % 2 = 0 then 'caf' || chr(233) else 'ok' end as server from pages",
+    "state_key_rules": """select event_id, case event_id % 6 when 0 then 'blank prefix' when 1 then 'blank part' when 2 then 'unsafe part' when 3 then 'forbidden marker' end as error,
+ case when event_id % 6 = 4 then 'p:ip:a' || event_id when event_id % 6 = 5 then 'crawler:exec:safety:ip:a' || event_id end as key from events""",
+    "state_alive": _WRITES + "select key, expires_ms, kind, status from alive",
+    "state_prefix_count": _WRITES + "select count(*) as n from alive where key like 'crawler:exec:safety:host:%'",
+    "metric_state_reads": _WRITES + "select 'host' as state_type, case when a.key is null then 'miss' else 'hit' end as result, count(*) as value from (select distinct key from w) k left join alive a using (key) group by all",
+    "metric_state_writes": _WRITES + "select 'host' as state_type, case when n % 10 = 0 then 'disabled' else 'written' end as result, count(*) as value from w group by all",
+    "metric_publishes": f"with fr as ({_RESULTS}) select 'crawl.attempts' as topic, case when publish_ok then 'success' else 'failure' end as result, count(*) as value from fr group by all",
+    "metric_dependency_health": _SEEN + "select dependency, cast(arg_max(ok, (at_ms, n)) as bigint) as status, count(*) filter (ok) as successes, count(*) filter (not ok) as failures from seen group by dependency",
+    "metric_heartbeat": "select 'node-' || event_id % 5 || '-pod-' || event_id % 11 as consumer, cast(max(epoch_us(ts)) // 1000000 as bigint) as value from events group by 1",
+    "metric_queue_events": _DECIDED + """, d as (select result_id, page_id % 12 <> 0 as valid, gate.stopped_by is not null or route.outcome <> 'retry' as ended, publish_ok, page_id % 5 = 0 as waits from pol join gate using (result_id) join route using (result_id)),
+ x as (select 'invalid' as result, not valid as on_ from d union all select 'read', valid from d union all select 'delayed', valid and waits from d union all select 'retryable_failure', valid and not ended from d union all select 'ack', not valid or (ended and publish_ok) from d)
+ select result, count(*) as value from x where on_ group by result""",
+    "metric_delay_expired": f"select 'host_interval' as reason, count(*) as value from ({ORACLES['pacer_schedule']}) where wait_ms >= 3600000 group by 1",
+    "metric_identity_unavailable": f"""with s as ({_SIGNALS}), {_WHO}, pool as ({ORACLES['sticky_pool_topk']}) select 'ip_cooldown' as reason, count(*) as value from s join (select page_host.host, who.identity, 1704067200000 + who.seq * 86400000 as until_ms
+ from (select distinct host from s) page_host, who where seq % 3 = 0 and status = 'active') c on c.host = s.host where s.ts_us // 1000 < c.until_ms""",
+    "metric_sticky_assignments": f"with s as ({_SIGNALS}) select 'sticky_pool' as strategy, count(*) as value from s",
+    "metric_policy_loads": "select case event_id % 7 when 0 then 'invalid' when 1 then 'error' when 2 then 'not_modified' else 'success' end as result, count(*) as value from events group by 1",
+    "metric_policy_state": """with l as (select event_id, epoch_us(ts) as us, case event_id % 7 when 0 then 'invalid' when 1 then 'error' when 2 then 'not_modified' else 'success' end as result from events),
+ g as (select arg_max('v' || event_id, (us, event_id)) as version, max(us) as us from l where result = 'success') select g.version, (select arg_max(result in ('invalid', 'error'), (us, event_id)) from l) as lkg_active,
+ case when (select arg_max(result in ('invalid', 'error'), (us, event_id)) from l) then cast((1706659200000000 - us) // 1000000 as bigint) else 0 end as lkg_age_seconds from g""",
+    "stream_sessions": _gap("(select user_id % 7 as host, epoch_us(ts) as ts_us, event_id from events where event_type = 'error')", "host", 21_600_000_000, "w0").join(["with ", " select host, min(ts_us) as start_us, max(ts_us) + 21600000000 as end_us, count(*) as count from w0 group by host, session"]),
+}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgrain.functions import commands, content, ids, net, signals, urls
-from crawlgrain.operators import audit, egress, pacing, policy, windows
+from crawlgrain.functions import commands, content, ids, net, runtime, signals, urls
+from crawlgrain.operators import audit, egress, pacing, policy, state, windows
 from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
 from crawlgrain.sources import fixtures
@@ -404,7 +404,7 @@ def _state_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def crawl_attempts(spark: SparkSession, d: str) -> DataFrame:
-    keep = [c for c in attempts.COLUMNS if c not in ("response_headers", "host_id", "site_id", "command_id", "trace_id", "politeness_key", "policy_version", "matched_policy_scope_type", "matched_policy_scope_id", "policy_lkg_active", "response_time_ms", "error_message", "storage_etag", "compressed_size", "egress_local_ip", "observed_egress_ip")]
+    keep = [c for c in attempts.COLUMNS if c != "response_headers"]  # a map, which rows can't be compared by
     return _attempts(spark, d).select(*keep)
 
 
@@ -483,7 +483,7 @@ def metric_requests(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_response_seconds(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.histogram(_attempts(spark, d), ["fetch_result"], F.col("finished_at_ms") - F.col("attempted_at_ms"))
+    return metrics.histogram(_attempts(spark, d).withColumn("egress_ip", metrics.egress_ip()), ["host", "egress_ip"], F.col("finished_at_ms") - F.col("attempted_at_ms"))
 
 
 @query
@@ -493,7 +493,7 @@ def metric_content_skips(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_storage_uploads(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.storage_uploads(_attempts(spark, d))
+    return metrics.storage_uploads(_attempts(spark, d), attempts.PROVIDER, "pages")
 
 
 @query
@@ -610,6 +610,169 @@ def metric_state_ttl(spark: SparkSession, d: str) -> DataFrame:
     return metrics.histogram(rows, ["state_type"], F.col("ttl") * 1000, [60.0, 600.0, 3600.0, 86400.0])
 
 
+# --- workers, state and the command loop ------------------------------------------------------
+
+
+@query
+def response_context(spark: SparkSession, d: str) -> DataFrame:
+    """Responses with what their commands carried; every fourth page's commands are unknown."""
+    rows = fixtures.fetch_results(spark, d)
+    key = ids.command_attempt_id(F.col("job_id"), F.concat("url", F.lit("#"), F.col("page_id").cast("string"))).alias("attempt_id")
+    told = rows.where("page_id % 4 <> 0").select(key, F.col("result_id").alias("message_id"), "tier", "policy_scope_id")
+    return attempts.with_context(rows.select("result_id", key), told).select("result_id", "tier", "policy_scope_id")
+
+
+def _worker(spark: SparkSession, d: str) -> tuple[DataFrame, dict]:
+    e = F.col("event_id")
+    rows = fixtures.table(spark, d, "events")
+    node, pod = F.concat(F.lit("node-"), (e % 5).cast("string")), F.concat(F.lit("pod-"), (e % 11).cast("string"))
+    return rows, {"node": node, "pod": pod}
+
+
+@query
+def consumer_names(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    rows, c = _worker(spark, d)
+    explicit = F.when(e % 4 == 0, F.concat(F.lit(" fixed-"), (e % 3).cast("string"), F.lit(" "))).when(e % 4 == 1, "  ")
+    template = F.when(e % 3 == 0, "c-{node_name}-$(POD_NAME)").when(e % 3 == 1, "${NODE_NAME}/{POD_NAME}")
+    name = runtime.consumer_name(explicit, template, c["node"], F.when(e % 6 != 0, c["pod"]), F.lit("box"))
+    debug = e % 2 == 0
+    return rows.select(
+        "event_id", name.alias("consumer"), runtime.routed(debug, runtime.STREAM, runtime.DEBUG_STREAM, c["node"], c["pod"]).alias("stream"),
+        runtime.routed(debug, runtime.GROUP, runtime.DEBUG_GROUP, c["node"], c["pod"]).alias("grp"),
+    )
+
+
+@query
+def worker_readiness(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    last = F.when(e % 5 != 0, F.lit(fixtures.NOW_MS) - ((e * 37) % 100 - 20) * 1000)
+    return fixtures.table(spark, d, "events").select("event_id", runtime.ready(e % 3 != 0, last, fixtures.NOW_MS).alias("ready"), runtime.heartbeat_age(last, fixtures.NOW_MS).alias("age"))
+
+
+@query
+def header_decode(spark: SparkSession, d: str) -> DataFrame:
+    """Headers as bytes: the last value counts, bytes that are no UTF-8 go."""
+    p = F.col("page_id").cast("string")
+    kind = F.array(F.encode(F.lit("text/plain"), "UTF-8"), F.encode(F.concat(F.lit("text/"), p), "UTF-8"))
+    server = F.array(F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("636166C3A9FF"))).otherwise(F.unhex(F.lit("E26FE2826B"))))
+    found = runtime.headers(F.create_map(F.lit("content-type"), kind, F.lit("server"), server))
+    return _pages(spark, d).select("page_id", F.element_at(found, "content-type").alias("content_type"), F.element_at(found, "server").alias("server"))
+
+
+@query
+def state_key_rules(spark: SparkSession, d: str) -> DataFrame:
+    n, text = F.col("event_id") % 6, F.concat(F.lit(" a"), F.col("event_id").cast("string"))
+    prefix = F.when(n == 0, " : ").when(n == 4, " p: ").otherwise(audit.PREFIX)
+    part = F.when(n == 1, " ").when(n == 2, F.concat(text, F.lit("/x"))).when(n == 3, F.concat(text, F.lit("_ReCrawl"))).otherwise(text)
+    return fixtures.table(spark, d, "events").select("event_id", state.key_error(prefix, "ip", part).alias("error"), state.key(prefix, "ip", part).alias("key"))
+
+
+NOON_MS = 1705449600000  # 2024-01-17T00:00:00Z, within the signals
+
+
+def _writes(spark: SparkSession, d: str) -> DataFrame:
+    e, error = F.col("event_id"), F.col("event_type") == "error"
+    rows = fixtures.signals(spark, d)
+    key = F.concat(F.lit(audit.PREFIX + ":host:"), ids.stable_hash(F.col("host")), F.lit(":"), (e % 40).cast("string"))
+    status = F.col("status_code").cast("string")
+    fields = F.when(error, F.create_map(F.lit("kind"), F.col("event_type"), F.lit("status"), status)).otherwise(F.create_map(F.lit("kind"), F.col("event_type")))
+    return rows.select(key.alias("key"), F.floor(F.col("ts_us") / 1000).cast("long").alias("at_ms"), e.alias("n"), fields.alias("fields"), ((e * 7919) % 100_000).alias("ttl"))
+
+
+@query
+def state_alive(spark: SparkSession, d: str) -> DataFrame:
+    rows = state.alive(_writes(spark, d), NOON_MS)
+    return rows.select("key", "expires_ms", F.element_at("fields", "kind").alias("kind"), F.try_element_at("fields", F.lit("status")).alias("status"))
+
+
+@query
+def state_prefix_count(spark: SparkSession, d: str) -> DataFrame:
+    return state.count_prefix(state.alive(_writes(spark, d), NOON_MS), audit.PREFIX + ":host:")
+
+
+@query
+def metric_state_reads(spark: SparkSession, d: str) -> DataFrame:
+    rows = _writes(spark, d)
+    return metrics.counted(state.read(rows.select("key").distinct(), state.alive(rows, NOON_MS)), F.lit("host").alias("state_type"), F.col("result"))
+
+
+@query
+def metric_state_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Every tenth writer has writing switched off."""
+    return metrics.counted(_writes(spark, d), F.lit("host").alias("state_type"), F.when(F.col("n") % 10 == 0, "disabled").otherwise("written").alias("result"))
+
+
+@query
+def metric_publishes(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.counted(fixtures.fetch_results(spark, d), F.lit("crawl.attempts").alias("topic"), F.when(F.col("publish_ok"), "success").otherwise("failure").alias("result"))
+
+
+@query
+def metric_dependency_health(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.fetch_results(spark, d)
+    page = ~F.coalesce("fetch_failed", F.lit(False)) & F.coalesce(F.col("status_code") == 200, F.lit(False)) & content.is_html(F.col("content_type"))
+    at = (F.col("finished_at_ms").alias("at_ms"), F.col("result_id").alias("n"))
+    stores = rows.where(page).select(F.lit("oci").alias("dependency"), F.col("storage_ok").alias("ok"), *at)
+    return metrics.dependency_health(stores.unionByName(rows.select(F.lit("kafka").alias("dependency"), F.col("publish_ok").alias("ok"), *at)))
+
+
+@query
+def metric_heartbeat(spark: SparkSession, d: str) -> DataFrame:
+    rows, c = _worker(spark, d)
+    return rows.groupBy(F.concat_ws("-", c["node"], c["pod"]).alias("consumer")).agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("value"))
+
+
+@query
+def metric_queue_events(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("page_id")
+    rows = _decided(spark, d).withColumn("stopped_by", policy.gate(F.col("policy_paused"), F.col("policy_enabled"), F.col("deadline_at"), fixtures.NOW_MS))
+    rows = rows.withColumn("outcome", policy.outcome(F.col("status_code"), F.col("fetch_failed"), F.col("deliveries"), F.coalesce("cmd_max_retries", "policy_max_retries", F.lit(2))))
+    return metrics.queue_events(rows.withColumn("valid", p % 12 != 0).withColumn("wait_ms", F.when(p % 5 == 0, 1).otherwise(0)))
+
+
+@query
+def metric_delay_expired(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that waited for an hour or more; they are warned of once and stay."""
+    return metrics.counted(pacer_schedule(spark, d).where("wait_ms >= 3600000"), F.lit("host_interval").alias("reason"))
+
+
+@query
+def metric_identity_unavailable(spark: SparkSession, d: str) -> DataFrame:
+    """Active identities found in cooldown, once for each request that looks at them."""
+    cool = F.array(*(F.lit(1704067200000 + r["seq"] * 86_400_000) for r in fixtures.identities(spark).where("status = 'active' and seq % 3 = 0").collect()))  # of eight rows
+    seen = fixtures.signals(spark, d).select(F.explode(F.filter(cool, lambda until: F.floor(F.col("ts_us") / 1000) < until)))
+    return metrics.counted(seen, F.lit("ip_cooldown").alias("reason"))
+
+
+@query
+def metric_sticky_assignments(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.counted(fixtures.signals(spark, d), F.lit("sticky_pool").alias("strategy"))
+
+
+def _loads(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("event_id") % 7
+    result = F.when(n == 0, "invalid").when(n == 1, "error").when(n == 2, "not_modified").otherwise("success")
+    return fixtures.table(spark, d, "events").select("event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), result.alias("result"))
+
+
+@query
+def metric_policy_loads(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.counted(_loads(spark, d), F.col("result"))
+
+
+@query
+def metric_policy_state(spark: SparkSession, d: str) -> DataFrame:
+    """Version in force, whether it is the last known good one after a failed load, and its age then."""
+    good, at = F.col("result") == "success", F.struct("us", "event_id")
+    rows = _loads(spark, d).agg(
+        F.max_by(F.when(good, F.concat(F.lit("v"), F.col("event_id").cast("string"))), F.when(good, at)).alias("version"),
+        F.max_by(F.col("result").isin("invalid", "error"), at).alias("lkg_active"), F.max(F.when(good, F.col("us"))).alias("us"),
+    )
+    age = F.floor((F.lit(fixtures.NOW_MS * 1000) - F.col("us")) / 1_000_000).cast("long")
+    return rows.select("version", "lkg_active", F.when(F.col("lkg_active"), age).otherwise(0).cast("long").alias("lkg_age_seconds"))
+
+
 @query
 def observed_ips(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("page_id")
@@ -647,5 +810,8 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """All sessions: a last row beyond every session's end tells the stream that nothing more comes."""
     rows = stream.table_stream(spark, d, "events").where("event_type = 'error'").select((F.col("user_id") % 7).alias("host"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("weight"))
-    return stream.drain(stream.session_counts(rows, ["host"], "ts", "6 hours", "1 minute")).drop("weight_sum")
+    last = fixtures.table(spark, d, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("ts")).where("ts is not null")
+    end = stream.ending(last.select(F.lit(None).cast("long").alias("host"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"), F.lit(0).alias("weight")))
+    return stream.drain(stream.session_counts(rows.unionByName(end), ["host"], "ts", "6 hours", "1 minute")).where("host is not null").drop("weight_sum")

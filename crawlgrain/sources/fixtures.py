@@ -23,7 +23,9 @@ select p.page_id*3+k.k as result_id, p.page_id, 'job_'||cast(k.k as varchar(9))
  case when p.page_id%10=0 then '2023-12-31T00:00:00Z'
       when p.page_id%10=1 then '2024-06-01T00:00:00+02:00' end as deadline_at,
  1704067200000+p.page_id*1500+k.k*86400000 as attempted_at_ms,
- 1704067200000+p.page_id*1500+k.k*86400000+100+(p.page_id*37)%900 as finished_at_ms, p.html
+ 1704067200000+p.page_id*1500+k.k*86400000+100+(p.page_id*37)%900 as finished_at_ms, p.html,
+ 'cmd:'||cast(p.page_id*3+k.k as varchar(20)) as command_id, 'trace-'||cast(p.page_id as varchar(20)) as trace_id,
+ '10.0.0.'||cast(2+p.page_id%5 as varchar(9)) as egress_local_ip, 100+(p.page_id*37)%900 as response_time_ms, (p.page_id+k.k)%17<>0 as publish_ok
 from {pages} p cross join (select 0 as k union all select 1 union all select 2) k
 """
 

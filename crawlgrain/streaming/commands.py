@@ -5,14 +5,13 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Callable, Iterator
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from crawlgrain.functions import commands
 from crawlgrain.operators.pacing import HostPacer
 from crawlgrain.session import shared_dir
 from crawlgrain.sources.commands import COMMAND_SCHEMA
@@ -64,31 +63,93 @@ def ordered_sink(write_objects: Callable[[DataFrame], None], publish: Callable[[
     return run
 
 
-class PacingProcessor(StatefulProcessor):
-    """Keyed pacing state with a time to live: the next start of each identity of a host."""
+def paced_stream(requests: DataFrame, identities: list[str], interval_ms: int, ttl_ms: int = 86_400_000) -> DataFrame:
+    """(event_id, host, identity, start_ms) of a stream of requests (event_id, host, arrive_ms).
 
-    def __init__(self, identities: list[str], interval_ms: int, ttl_ms: int = 86_400_000):
-        self.identities, self.interval, self.ttl = identities, interval_ms, ttl_ms
+    A host's state is the next start of each identity; it goes once the stream is ttl_ms beyond the host's last
+    request. Requests of one batch are taken in order of arrival. One that is more than ttl_ms late has outlived the
+    state and is left to the engine's late rows.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        schema = T.StructType([T.StructField("next", T.ArrayType(T.LongType()))])
-        self.state = handle.getValueState("next", schema, self.ttl)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        pacer = HostPacer(self.identities, self.interval)
-        if self.state.exists():
-            pacer.next = dict(zip(self.identities, self.state.get()[0], strict=True))
-        got = pd.concat(list(rows)).sort_values(["arrive_ms", "event_id"])
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        pacer = HostPacer(identities, interval_ms)
+        if state.exists:
+            pacer.next = dict(zip(identities, state.get[0], strict=True))
+        got = pd.concat(list(batches)).sort_values(["arrive_ms", "event_id"])
         taken = [pacer.take(int(a)) for a in got["arrive_ms"]]
-        self.state.update(([pacer.next[i] for i in self.identities],))
+        state.update(([pacer.next[i] for i in identities],))
+        state.setTimeoutTimestamp(max(int(got["arrive_ms"].max()), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({"event_id": got["event_id"].to_numpy(), "host": key[0], "identity": [t[0] for t in taken], "start_ms": [t[1] for t in taken]})
 
-    def close(self) -> None:
-        pass
+    out = "event_id long, host string, identity string, start_ms long"
+    timed = requests.withColumn("_at", F.timestamp_millis("arrive_ms")).withWatermark("_at", f"{ttl_ms} milliseconds")
+    return timed.groupBy("host").applyInPandasWithState(step, out, "next array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def delayed_stream(commands_df: DataFrame, time: str, late_ms: int = 86_400_000) -> DataFrame:
+    """(event_id, host, eligible_ms) of commands (event_id, host, eligible_ms, and time), each given out once the stream's time, the latest seen, has reached eligible_ms.
+
+    Commands that wait are state of their host, in order of eligible_ms, then event_id; a timer wakes the host for the
+    next one. A late command is given out as soon as it is due; one that is more than late_ms late is left to the
+    engine's late rows.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting = list(zip(*state.get, strict=True)) if state.exists else []
+        if not state.hasTimedOut:
+            waiting += [(int(at), int(e)) for b in batches for at, e in zip(b["eligible_ms"], b["event_id"], strict=True)]
+        mark = state.getCurrentWatermarkMs()
+        now = mark + late_ms
+        due, rest = sorted(w for w in waiting if w[0] <= now), sorted(w for w in waiting if w[0] > now)
+        if rest:
+            state.update(([w[0] for w in rest], [w[1] for w in rest]))
+            state.setTimeoutTimestamp(max(rest[0][0] - late_ms - 1, mark + 1))
+        elif state.exists:
+            state.remove()
+        if due:
+            yield pd.DataFrame({"event_id": [w[1] for w in due], "host": key[0], "eligible_ms": [w[0] for w in due]})
+
+    rows = commands_df.withWatermark(time, f"{late_ms} milliseconds").select("event_id", "host", "eligible_ms", time)
+    return rows.groupBy("host").applyInPandasWithState(step, "event_id long, host string, eligible_ms long", "eligible array<long>, event array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ending(last: DataFrame) -> DataFrame:
+    """The rows of last (the end marker of a finished input) as a stream of their own, to be united with the input's."""
+    spark = last.sparkSession
+    path = os.path.join(shared_dir(spark), "crawlgrain", f"ending-{uuid.uuid4().hex}")
+    last.write.parquet(path)
+    return spark.readStream.schema(last.schema).parquet(path)
+
+
+def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, invalid) commands of a batch; the invalid ones with error, to be acknowledged without a fact."""
+    c = {f: F.col(f) for f in commands.FIELDS}
+    judged = batch.withColumn("error", commands.command_error(c))
+    return judged.where("error is null").drop("error"), judged.where("error is not null")
+
+
+def command_loop(batch_sink: Callable[[DataFrame, int], None], invalid_sink: Callable[[DataFrame], None], paused: Callable[[], bool]) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function: the pause flag is asked first, invalid commands go aside, valid ones to batch_sink.
+
+    A paused batch fails with Paused, so nothing of it counts as read; the query is started again once the flag is down.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if paused():
+            raise Paused("reading is paused")
+        kept = batch.persist()
+        try:
+            valid, invalid = split_valid(kept)
+            invalid_sink(invalid)
+            batch_sink(valid, number)
+        finally:
+            kept.unpersist()
+
+    return run
 
 
-def paced_stream(requests: DataFrame, identities: list[str], interval_ms: int) -> DataFrame:
-    """(event_id, host, identity, start_ms) of a stream of requests (event_id, host, arrive_ms); needs the RocksDB state store."""
-    return requests.groupBy("host").transformWithStateInPandas(
-        statefulProcessor=PacingProcessor(identities, interval_ms), outputStructType="event_id long, host string, identity string, start_ms long", outputMode="Append", timeMode="ProcessingTime"
-    )
+class Paused(Exception):
+    pass
