@@ -63,9 +63,23 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     )
 
 
-def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """Turns of conversations as pairs: conv_id 2k is the chosen side of pair k, 2k+1 the rejected."""
-    c = F.col("conv_id").cast("long")
-    return conversations.select(
-        F.floor(c / 2).alias("pair_id"), F.when(F.pmod(c, F.lit(2)) == 0, "chosen").otherwise("rejected").alias("side"), "turn", "role", "text"
+def pair_answers(conversations: DataFrame) -> DataFrame:
+    """Turns of every conversation as a pair of sides, pair_id being conv_id: chosen as it is, rejected with another last answer.
+
+    The rejected side has, in its last assistant turn, the last answer of the neighbour (conv_id with its lowest bit
+    turned), or an empty one where there is no neighbour or it has no answer. All turns before are shared. Without an
+    assistant turn both sides are equal, as they are where both answers are. Rows with a null conv_id are left out;
+    repeated rows of the last turn are all replaced, and of tied answers the greatest text counts.
+    """
+    rows = conversations.select(F.col("conv_id").cast("long").alias("pair_id"), F.col("turn").cast("long").alias("turn"), "role", "text").where("pair_id is not null")
+    last = rows.where(F.col("role") == TRAINED).groupBy("pair_id").agg(
+        F.max("turn").alias("last_turn"), F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))["text"].alias("answer")
+    )
+    other = last.select(F.col("pair_id").bitwiseXOR(F.lit(1)).alias("pair_id"), F.col("answer").alias("other"))
+    told = rows.join(last.drop("answer"), "pair_id", "left").join(other, "pair_id", "left")
+    swapped = (F.col("role") == TRAINED) & F.col("turn").eqNullSafe(F.col("last_turn"))
+    sides = F.array(
+        F.struct(F.lit("chosen").alias("side"), F.col("text").alias("text")),
+        F.struct(F.lit("rejected").alias("side"), F.when(swapped, F.coalesce("other", F.lit(""))).otherwise(F.col("text")).alias("text")),
     )
+    return told.select("pair_id", "turn", "role", F.explode(sides).alias("s")).select("pair_id", "s.side", "turn", "role", "s.text")

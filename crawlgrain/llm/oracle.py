@@ -23,7 +23,10 @@ s0 as (select d.doc_id, coalesce(n, 0) as n_sentences, coalesce(ids, '') as sent
 select doc_id, cast(n_sentences as bigint) as n_sentences, sentence_ids, array_to_string([x for x in [{", ".join(named)}] if x is not null], ',') as licenses from s{len(RULES)}"""
 
 
-_CHAT = r"""with t as (select conv_id // 2 as pair_id, case when conv_id % 2 = 0 then 'chosen' else 'rejected' end as side, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
+_CHAT = r"""with c as (select cast(conv_id as bigint) as pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+a as (select pair_id, max(turn) as last_turn, arg_max(text, (turn, text)) as answer from c where role = 'assistant' group by 1),
+t as (select pair_id, 'chosen' as side, turn, role, text from c union all select c.pair_id, 'rejected', c.turn, c.role, case when c.role = 'assistant' and c.turn = a.last_turn then coalesce(o.answer, '') else c.text end
+ from c left join a using (pair_id) left join a o on o.pair_id = xor(c.pair_id, 1)),
 r as (select *, row_number() over (partition by pair_id, side order by turn nulls first, role, text) as k from t where pair_id in (select pair_id from t group by 1 having count(distinct side) = 2)),
 m as (select a.pair_id, a.k, row_number() over (partition by a.pair_id order by a.k) as rn from r a join r b on a.pair_id = b.pair_id and a.k = b.k and a.side = 'chosen' and b.side = 'rejected' and a.role = b.role and a.text = b.text),
 p as (select pair_id, count(*) filter (k = rn) as n from m group by pair_id),

@@ -55,7 +55,7 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_format.format_preferences(chat_format.pair_neighbours(_table(spark, sf_dir, "conversations")))
+    return chat_format.format_preferences(chat_format.pair_answers(_table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

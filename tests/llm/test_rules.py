@@ -304,3 +304,42 @@ def test_chat_formatting(spark):
             spans = [tuple(map(int, s.split(":"))) for s in r[side + "_spans"].split(",") if s]
             assert [r[side][a:b] for a, b in spans] == [t + "<|end|>\n" for role, t in turns if role == "assistant"]
     assert chat_format.format_preferences(df.where("false")).collect() == []
+
+
+def test_pairs_of_answers(spark):
+    """Both sides share every turn but the last answer, which the neighbour's (or none) replaces."""
+    talks = {
+        0: [("user", "q"), ("assistant", "a0"), ("user", "r"), ("assistant", "b0")],
+        1: [("user", "q1"), ("assistant", "b1"), ("user", "more")],
+        2: [("user", "q2"), ("assistant", "b2")],
+        4: [("user", "only")],
+        5: [("assistant", None), ("user", None)],
+    }
+    rows = [(k, i, r, t, "x") for k, turns in talks.items() for i, (r, t) in enumerate(turns)] + [(None, 0, "assistant", "lost", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, side string")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(chat_format.pair_answers(df)).collect()}
+    assert {k: (r["n_prompt_turns"], r["chosen"], r["rejected"]) for k, r in got.items()} == {
+        0: (3, render([("assistant", "b0")]), render([("assistant", "b1")])),
+        1: (1, render([("assistant", "b1"), ("user", "more")]), render([("assistant", "b0"), ("user", "more")])),
+        2: (1, render([("assistant", "b2")]), render([("assistant", "")])),
+        4: (1, "", ""),
+        5: (2, "", ""),
+    }
+    assert chat_format.pair_answers(df.where("false")).count() == 0
+
+
+def test_quality_verdicts_against_loops(spark, sf):
+    """base_failed and kept of every row, from loops over words and the model's own score."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "a b c " * 60), (-4, "w%d " * 3), (-5, "long " * 200_000)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionByName(odd)
+    texts = {r["doc_id"]: r["text"] or "" for r in every.collect()}
+    found = quality.judge(every, quality.fit_quality(docs, labels)).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        w = words(texts[r["doc_id"]])
+        counts = Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i, x in enumerate(zip(w, w[1:], w[2:], strict=False)) if counts[x] > 1 for k in range(3)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        assert (r["n_words"], r["n_repeat_words"], r["base_failed"]) == (len(w), len(covered), failed)
+        assert r["kept"] == (not failed and r["score"] >= 0.5)
