@@ -5,11 +5,15 @@ lengths of both give every match's place in code points. Candidate strings that
 covers are judged by the highest Shannon entropy of their windows: counts per character go up for
 the character that enters and down for the one that leaves, and so does the sum of c*log2(c).
 The threshold depends on the candidate's character class, and an allow-list suppresses candidates.
+
+A long text is cut where no match can be, into pieces of about PIECE characters, so the work goes with the text's
+length however many matches it has. Only a stretch without any such place is scanned in one piece.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,10 @@ HEX = "[0-9a-f]{24,}"  # maximal runs, so the same as dropping shorter runs afte
 CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 KINDS = ["assign", "access", "hex", "entropy"]
 WINDOW, CHUNK = 20, 200
+PIECE = 2000
+#: Ends of pieces: a character that is in no match; spaces that no separator touches; a colon that can't follow a key's name.
+_BREAK = "[^A-Za-z0-9+/_.=\\-\"'\\x20:]|(?<![:=\\x20])\\x20+(?![:=\\x20])|(?<![dDtTnNyY\"'\\x20]):"
+CUT = f"(?s).{{{PIECE}}}.*?(?:{_BREAK}|\\z)|.+"
 #: Least bits per character in some window, by class: hexadecimal digits; letters of one case and digits; any.
 HEX_BITS, PLAIN_BITS, MIXED_BITS = 3.0, 3.5, 3.7
 #: Sample keys of public documentation.
@@ -100,24 +108,57 @@ def _tagged(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _pieces(text: Column) -> Column:
+    """text as an array of pieces that no match crosses."""
+    return F.when(F.length(text) <= 2 * PIECE, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(CUT), F.lit(0)))
+
+
+def _scanned(piece: Column) -> Column:
+    """struct(length, base, found) of one piece: spans with places in the piece, as scan() gives them for a text."""
+    kept = [
+        _places(piece, ASSIGN, lambda m, g: F.length(g) >= 6),
+        _places(piece, ACCESS, lambda m, g: F.length(m) >= 20),
+        _places(piece, HEX, lambda m, g: F.lit(True)),
+    ]
+    candidates = _tagged(_places(piece, CANDIDATE, lambda m, g: F.lit(True)), 3)
+
+    def both(base: Column) -> Column:
+        apart = F.filter(candidates, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
+        more = F.filter(apart, lambda x: _random(F.substring(piece, x["start"] + 1, x["end"] - x["start"])))
+        return F.struct(F.length(piece).alias("length"), base.alias("base"), F.array_sort(F.concat(base, more)).alias("found"))
+
+    return _bound(F.array_sort(F.concat(*(_tagged(spans, k) for k, spans in enumerate(kept)))), both)
+
+
+def _moved(pieces: Column, starts: Column, field: str) -> Column:
+    """All pieces' spans, with places in the text."""
+
+    def move(piece: Column, start: Column) -> Column:
+        return F.transform(piece[field], lambda x: F.struct((x["start"] + start).alias("start"), x["kind"].alias("kind"), (x["end"] + start).alias("end")))
+
+    return F.flatten(F.zip_with(pieces, starts, move))
+
+
 def scan(docs: DataFrame, base: str = "_base", found: str = "_found") -> DataFrame:
     """docs with found: array<struct(start, kind, end)>, sorted by start and kind (0-3 as in KINDS); base: without kind 3.
 
     Places are code points, end exclusive; a null text counts as empty and has none. Entropy spans
-    that touch a span of a pattern are left out. docs needs text, and no columns named as base or found. A candidate of any
+    that touch a span of a pattern are left out. docs needs text; its other columns stay, whatever their names but base and found. A candidate of any
     length is judged whole.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = [
-        _places(text, ASSIGN, lambda m, g: F.length(g) >= 6),
-        _places(text, ACCESS, lambda m, g: F.length(m) >= 20),
-        _places(text, HEX, lambda m, g: F.lit(True)),
-    ]
-    tagged = [_tagged(spans, k) for k, spans in enumerate(kept)]
-    rows = docs.withColumn(base, F.array_sort(F.concat(*tagged)))
-    random = _places(text, CANDIDATE, lambda m, g: _random(m))
-    more = _tagged(F.filter(random, lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))), 3)
-    return rows.withColumn(found, F.array_sort(F.concat(base, more)))
+    at, scanned = free(docs, "_at"), free(docs, "_scanned")
+    rows = docs.withColumn(scanned, F.transform(_pieces(text), _scanned))
+    none = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("starts"))
+    step = lambda acc, x: F.struct((acc["next"] + x["length"]).alias("next"), F.concat(acc["starts"], F.array(acc["next"])).alias("starts"))
+    rows = rows.withColumn(at, F.aggregate(scanned, none, step, lambda acc: acc["starts"]))
+    rows = rows.withColumn(base, _moved(F.col(scanned), F.col(at), "base")).withColumn(found, _moved(F.col(scanned), F.col(at), "found"))
+    return rows.drop(scanned, at)
 
 
 def _said(spans: str) -> Column:
@@ -125,6 +166,11 @@ def _said(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"], x["end"])), ",")
 
 
+def _count(kind: int) -> Column:
+    # a lambda's second parameter would be the place in the array, so kind is bound here
+    return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs.
 
@@ -132,8 +178,7 @@ def report(docs: DataFrame) -> DataFrame:
     empty one; other columns are not read.
     """
     found = scan(only(docs, doc_id="long", text="string"))
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
-    return found.select("doc_id", *counts, F.sha2(_said("_base").cast("binary"), 256).alias("base_sha256"), _said("_found").alias("spans"))
+    return found.select("doc_id", *map(_count, range(3)), F.sha2(_said("_base").cast("binary"), 256).alias("base_sha256"), _said("_found").alias("spans"))
 
 
 def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
@@ -141,18 +186,24 @@ def mask(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     Null texts stay null, repeated rows stay, and no name of a column of docs makes a difference.
     """
-    base, name = free(docs, "_base"), free(docs, "_found")
-    found = scan(docs, base, name)
-    text = F.col("text")
+    text, name = F.col("text"), free(docs, "_scanned")
 
-    def step(acc: Column, x: Column) -> Column:
-        # spans may overlap: what is already replaced is not taken again
-        kept = F.when(x["start"] > acc["at"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
-        said = F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, said).alias("out"))
+    def masked(piece: Column, spans: Column) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            # spans may overlap: what is already replaced is not taken again
+            kept = F.when(x["start"] > acc["at"], F.substring(piece, acc["at"] + 1, x["start"] - acc["at"])).otherwise(F.lit(""))
+            said = F.when(x["start"] >= acc["at"], F.lit(mark)).otherwise(F.lit(""))
+            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], kept, said).alias("out"))
+
+        rest = lambda acc: F.concat(acc["out"], F.substring(piece, acc["at"] + 1, F.length(piece) - acc["at"]))
+        return F.when(F.size(spans) == 0, piece).otherwise(F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, rest))
+
+    def spans_of(piece: Column) -> Column:
+        return F.struct(piece.alias("piece"), _scanned(piece)["found"].alias("found"))
 
-    end = F.aggregate(name, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
-    out = found.withColumn("text", F.when(F.size(name) == 0, text).otherwise(end))
+    found = docs.withColumn(name, F.transform(_pieces(F.coalesce(text.cast("string"), F.lit(""))), spans_of))
+    whole = F.array_join(F.transform(name, lambda x: masked(x["piece"], x["found"])), "")
+    out = found.withColumn("text", F.when(text.isNull() | ~F.exists(name, lambda x: F.size(x["found"]) > 0), text).otherwise(whole))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
