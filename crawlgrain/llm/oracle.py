@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from crawlgrain.llm.license_scan import RULES, SENTENCES
 from crawlgrain.llm.secrets import ACCESS, ALLOWED, ASSIGN, CANDIDATE, HEX, HEX_BITS, MIXED_BITS, PLAIN_BITS, WINDOW
+from crawlgrain.llm.source_audit import audit_sql
 
 
 def _license_sql() -> str:
@@ -61,4 +62,5 @@ ORACLES: dict[str, str] = {
     "op8_secret_scans": _secrets_sql(),
     "op2_license_scans": _license_sql(),
     "op10_chat_formatting": _CHAT,
+    "op12_source_divergence_audit": audit_sql(),
 }
