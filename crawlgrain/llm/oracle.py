@@ -39,6 +39,13 @@ select pair_id, max(n) as n_prompt_turns, coalesce(string_agg(turn_text, '' orde
  coalesce(string_agg(cast(start_at as bigint) || ':' || cast(start_at + length(text) + 8 as bigint), ',' order by k) filter (side = 'rejected' and k > n and role = 'assistant'), '') as rejected_spans
 from y group by pair_id"""
 
+_TOP_K = """with e as (select row_number() over () as rid, vec_id, list_transform(embedding, lambda c: floor(256 * c::double)) as x from embeddings
+ where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+s as (select q.rid, q.vec_id as query_id, v.vec_id, list_inner_product(q.x, v.x)::bigint as score, row_number() over (partition by q.rid order by list_inner_product(q.x, v.x) desc, v.vec_id, v.rid)::int as rank
+ from e q join e v on len(q.x) = len(v.x) and q.rid <> v.rid where q.vec_id % 50 = 0)
+select query_id, rank, vec_id, score from s where rank <= 5"""
+
+
 def _secrets_sql() -> str:
     quote = lambda text: "'" + text.replace("'", "''").replace("\\x20", " ") + "'"
     patterns = [quote(ASSIGN), quote(ACCESS), quote(HEX), quote(CANDIDATE.partition(")")[2])]
@@ -63,4 +70,5 @@ ORACLES: dict[str, str] = {
     "op2_license_scans": _license_sql(),
     "op10_chat_formatting": _CHAT,
     "op12_source_divergence_audit": audit_sql(),
+    "op13_exact_top_k": _TOP_K,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlgrain.llm import bpe, chat_format, embed_dedup, license_scan, ngram_join, packing, quality, secrets, source_audit, suffix_dedup, url_filter, whitening
+from crawlgrain.llm import bpe, chat_format, embed_dedup, license_scan, ngram_join, packing, quality, secrets, source_audit, suffix_dedup, topk, url_filter, whitening
 from crawlgrain.llm.oracle import ORACLES
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -78,11 +78,16 @@ def op12_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.audit(_table(spark, sf_dir, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five vectors of highest inner product for each vector whose id is divisible by 50."""
+    return topk.search(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_quality_rules, op2_license_scans, op3_ngram_jaccard_join, op4_best_fit_packing, op5_url_filters,
         op6_suffix_array_dedup, op7_bpe_codec, op8_secret_scans, op9_embedding_near_dedup, op10_chat_formatting,
-        op11_embedding_whitening, op12_source_divergence_audit,
+        op11_embedding_whitening, op12_source_divergence_audit, op13_exact_top_k,
     )
     return {f.__name__: f for f in found}
 
