@@ -63,7 +63,3 @@ def host_token(host: Column) -> Column:
 
 def download_slot(host: Column, identity: Column) -> Column:
     return F.concat_ws("@", host, identity)
-
-
-def state_key(prefix: str, kind: Column, *parts: Column) -> Column:
-    return F.concat_ws(":", F.lit(prefix), kind, *parts)

@@ -9,8 +9,6 @@ from crawlgrain.functions import commands
 
 # Fixed values of the domain: the spellings that a template may use for each value.
 SPELLINGS = {"node": ["${NODE_NAME}", "$(NODE_NAME)", "{NODE_NAME}", "{node_name}"], "pod": ["${POD_NAME}", "$(POD_NAME)", "{POD_NAME}", "{pod_name}"]}
-STREAM, GROUP = "crawl:tasks", "crawler-executor"
-DEBUG_STREAM, DEBUG_GROUP = "crawl:tasks:debug:{node_name}", "crawler-executor-debug:{node_name}"
 #: Well-formed UTF-8 sequences, each byte seen as one Latin-1 character.
 UTF8 = (
     r"[\x00-\x7f]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Fixed values of the domain.
 FORBIDDEN = ["outlink", "scheduler", "dupefilter", "seen_url", "priority", "rank", "recrawl", "profile"]
-PREFIX = "crawler:exec:safety"
+PREFIX = "fetch:state"  # callers with another one pass it
 
 
 def forbidden(key: Column) -> Column:

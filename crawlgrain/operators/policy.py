@@ -99,11 +99,10 @@ class PolicyProvider:
         try:
             changed = os.stat(self.path).st_mtime_ns
             if changed == self._seen:
-                self.result = "not_modified" if self.good else self.result
+                self.result = "not_modified"
                 return self.document
             with open(self.path, encoding="utf-8") as f:
                 loaded = json.load(f)
-            self._seen = changed
         except OSError:
             self.result = "read_error"
             return self.document
@@ -113,7 +112,7 @@ class PolicyProvider:
         if document_errors(loaded):
             self.result = "validation_error"
         else:
-            self.document, self.result, self.good = loaded, "success", True
+            self.document, self.result, self.good, self._seen = loaded, "success", True, changed
         return self.document
 
     @property
@@ -157,10 +156,18 @@ def decide(commands_df: DataFrame, scopes: DataFrame, default: dict, key: str) -
     return out.withColumns({"matched_scope_type": F.coalesce("hit.scope_type", F.lit("default")), "matched_scope_id": F.col("hit.scope_id")}).drop("hit")
 
 
-def gate(paused: Column, enabled: Column, deadline_at: Column, now_ms: int) -> Column:
-    """What stops a command before the fetch: paused before deadline_expired; null if nothing does."""
-    late = F.timestamp_millis(F.lit(now_ms)) >= commands.deadline(deadline_at)
-    return F.when(paused | ~enabled, F.lit("paused")).when(late, F.lit("deadline_expired"))
+def gate(paused: Column, enabled: Column, deadline_at: Column, now_ms: int | Column, strategy: Column | None = None, identity: Column | None = None) -> Column:
+    """What stops a command before the fetch: paused before deadline_expired before egress_unavailable; null if nothing does.
+
+    The last one delays a command, the others end it. It is looked at where identity (what egress selection found, null: all
+    candidates in cooldown) is given, and only for the strategy STICKY_POOL.
+    """
+    now = F.timestamp_millis(F.lit(now_ms) if isinstance(now_ms, int) else now_ms)
+    stopped = F.when(paused | ~enabled, F.lit("paused")).when(now >= commands.deadline(deadline_at), F.lit("deadline_expired"))
+    if identity is None:
+        return stopped
+    sticky = F.coalesce(strategy, F.lit("STICKY_POOL")) == "STICKY_POOL" if strategy is not None else F.lit(True)
+    return F.coalesce(stopped, F.when(sticky & identity.isNull(), F.lit("egress_unavailable")))
 
 
 def outcome(status: Column, failed: Column, deliveries: Column, max_retries: Column) -> Column:

@@ -56,11 +56,29 @@ def backoff_delay(level: Column, base_ms: int, factor: float, most_ms: int, scal
     return F.least(F.floor(grown * F.greatest(F.lit(scale), F.lit(1.0))), F.lit(most_ms)).cast("long")
 
 
-def backoff_schedule(triggers: DataFrame, keys: list[str], *, base_ms: int = 5000, factor: float = 2.0, most_ms: int = 300_000, memory_us: int = 86_400_000_000) -> DataFrame:
-    """triggers with level, delay_ms and next_allowed_ms; the level is kept for memory_us after the last trigger."""
-    out = gap_counter(triggers, keys, memory_us, F.lit(1)).withColumnRenamed("count", "level").drop("weight_sum", "session")
-    out = out.withColumn("delay_ms", backoff_delay(F.col("level"), base_ms, factor, most_ms))
-    return out.withColumn("next_allowed_ms", F.floor(F.col("ts_us") / 1000).cast("long") + F.col("delay_ms"))
+def backoff_schedule(
+    triggers: DataFrame, keys: list[str], *, base_ms: int = 5000, factor: float = 2.0, most_ms: int = 300_000, memory_us: int = 86_400_000_000, success: Column | None = None
+) -> DataFrame:
+    """triggers with level, delay_ms and next_allowed_ms; the level is kept for memory_us after the last row of its key.
+
+    Rows for which success holds set the level back to 0, leave the time that the trigger before them set, and have no delay.
+    """
+    good = F.coalesce(success, F.lit(False)) if success is not None else F.lit(False)
+    rows = sessions(triggers.withColumn("_good", good), keys, memory_us)
+    ordered = Window.partitionBy(*keys, "session").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_spell", F.count_if("_good").over(ordered))
+    spell = Window.partitionBy(*keys, "session", "_spell").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("level", F.count_if(~F.col("_good")).over(spell))
+    out = out.withColumn("delay_ms", F.when(~F.col("_good"), backoff_delay(F.col("level"), base_ms, factor, most_ms)))
+    own = F.floor(F.col("ts_us") / 1000).cast("long") + F.col("delay_ms")
+    return out.withColumn("next_allowed_ms", F.last(own, ignorenulls=True).over(ordered)).drop("_good", "_spell", "session")
+
+
+def jitter(most_ms: int, *seeded_by: Column) -> Column:
+    """Whole milliseconds from 0 to most_ms: by hash of the given columns, the same in every run, or at random without any."""
+    if most_ms <= 0:
+        return F.lit(0).cast("long")
+    return F.pmod(F.xxhash64(*seeded_by), F.lit(most_ms + 1)) if seeded_by else F.floor(F.rand() * (most_ms + 1)).cast("long")
 
 
 def soft_ban(signals: DataFrame, gap_us: int, *, host_ip: int = 2, ip: int = 3, host: int = 3) -> DataFrame:

@@ -31,13 +31,13 @@ def _or_null(df: DataFrame, name: str, kind: str) -> Column:
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind)
 
 
-def crawl_attempts(results: DataFrame, bucket: str = "pages") -> DataFrame:
+def crawl_attempts(results: DataFrame, bucket: str = "pages", *, compress: bool = False) -> DataFrame:
     """Facts (COLUMNS and the _ms twins of both times) from fetch results.
 
     results: url, job_id, status_code, content_type, fetch_failed, error_type, storage_ok, html,
     attempted_at_ms, finished_at_ms, and any of the context columns. A failed fetch is (failed, unknown,
     skipped); a status other than 200, then another type than HTML, (succeeded, non_snapshot, skipped);
-    else the page is stored, or its storage failed.
+    else the page is stored, or its storage failed. compressed_size needs the page's gzip form, so it is null unless compress.
     """
     own = urls.canonical_url(F.col("url"))
     own = F.coalesce(urls.canonical_url(F.col("canonical_url")), own) if "canonical_url" in results.columns else own  # a command's own wins
@@ -70,6 +70,8 @@ def crawl_attempts(results: DataFrame, bucket: str = "pages") -> DataFrame:
         "content_sha256": F.when(F.col("_page"), F.sha2(body, 256)),
         "uncompressed_size": F.when(F.col("_page"), F.octet_length(body)).cast("long"),
     }
+    if compress:
+        made["compressed_size"] = F.octet_length(content.gzip_bytes(F.when(F.col("_page"), body))).cast("long")
     kinds = {"policy_lkg_active": "boolean", "response_headers": "map<string,string>", "response_time_ms": "long", "compressed_size": "long"}
     picked = [(made[c] if c in made else _or_null(rows, c, kinds.get(c, "string"))).alias(c) for c in COLUMNS]
     return rows.select(*picked, "attempted_at_ms", "finished_at_ms")

@@ -90,6 +90,11 @@ route as (select result_id, case when not (fetch_failed or coalesce(status_code
   when deliveries <= coalesce(cmd_max_retries, policy_max_retries) then 'retry' else 'retry_exhausted' end as outcome from pol)
 """
 
+_LINKED = PAGES + f""", l as (select page_id, host as base, scheme, regexp_extract(url, '^[a-z]+://[^/?#]*') as origin, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path,
+ ['/u' || page_id || '?a=1&b=2', '../rA', '//CDN.example.org/y', 'mailto:a@b'] || {LINK} as links from canon),
+linked as (select page_id, base, scheme, origin, path, unnest(links) as href, generate_subscripts(links, 1) - 1 as pos from l)
+"""
+
 ORACLES: dict[str, str] = {
     "canonical_url": PAGES + "select page_id, canonical_url, sha256(canonical_url) as url_hash, host, host as request_host, cast(null as varchar) as error from canon",
     "canonical_url_vectors": r"""with r as (select page_id, regexp_replace(url, '^[a-z]+://', '') as rest from pages),
@@ -112,11 +117,19 @@ select page_id, h || ':' || ms as snapshot_id, 'pages/v1/' || strftime(make_time
 u as (select page_id, base, unnest(links) as href, generate_subscripts(links, 1) - 1 as pos from l),
 h as (select *, case when starts_with(href, 'https://ext') then 'ext.example.net' when starts_with(href, '//') then 'cdn.example.org' when starts_with(href, 'mailto:') then null else base end as host from u)
 select page_id, cast(pos as bigint) as pos, href, host, host <> base as external from h where host is not null""",
+    "link_targets": _LINKED + "select page_id, cast(pos as integer) as pos, href from linked",
+    "sql_outlinks": _LINKED + """select page_id, cast(pos as integer) as pos, href, target, lower(regexp_extract(target, '^https?://([^/]*)', 1)) as host, lower(regexp_extract(target, '^https?://([^/]*)', 1)) <> base as external from
+ (select *, case when starts_with(href, '/') and not starts_with(href, '//') then origin || href when href = '../rA' then origin || regexp_replace(regexp_replace(path, '/[^/]*$', ''), '/[^/]*$', '') || '/rA' when starts_with(href, '//') then scheme || ':' || href end as target from linked)
+ where href <> 'mailto:a@b' union all select page_id, cast(pos as integer), href, href, null, null from linked where href = 'mailto:a@b'""",
+    "sql_rules": PAGES + f"""select page_id, canonical_url, sha256(canonical_url) as url_hash, host, cast(('0x' || substr(sha256(host), 1, 8)) as bigint) % 8 as bucket,
+ sha256(canonical_url) || ':attempt:' || substr(sha256('job_1' || chr(0) || canonical_url), 1, 16) as attempt_id, case when 400 + page_id % 60 in (408, 429) then 'retry_exhausted' else 'fetched' end as outcome, cast(len({LINK}) as integer) as links from canon""",
     "response_headers": "select page_id, 'text/html' as content_type, 's' || (page_id % 3) as server, cast(2 as bigint) as n from pages",
     "command_validation": f"""with c as ({_COMMANDS}) select command_no, case when trim(url) = '' then 'missing url' when trim(job_id) = '' then 'missing job_id' when canonical_url is null then 'missing canonical_url'
  when url not like '%://%' then 'invalid url' when url like '%:99999/%' then 'invalid url' when deadline_at = 'soon' then 'invalid deadline_at' when max_retries in ('-1', 'x') then 'invalid max_retries' end as error,
  true as has_context from c""",
-    "command_duplicates": f"with fr as ({_RESULTS}) select result_id % 5 as job, page_id % 50 as target, count(*) as n from fr group by all having count(*) > 1",
+    "command_duplicates": f"with c as ({_COMMANDS}), " + _CANON.replace("{source}", "(select trim(job_id) as job_id, url from c where url like 'http%://%' and url not like '%:99999/%')") + """, b as (select job_id, unnest([canonical_url,
+  case when scheme = 'http' and regexp_matches(url, '^https?://[^/?#:]+/') then 'http://' || host || ':443' || substr(canonical_url, length('http://' || host) + 1) else canonical_url end]) as canonical_url from canon)
+select job_id, canonical_url, count(*) as n from b where job_id <> '' group by all having count(*) > 1""",
     "command_generation": "select 'seed:' || lpad(cast(row_number() over (order by page_id) as varchar), 8, '0') as command_id, 'job_1' as job_id, url from pages",
     "command_wire_fields": f"with c as ({_COMMANDS}) select cast(command_no as varchar) as command_no, coalesce(deadline_at, '') as deadline_at, tier, cast(4 as bigint) as n from c",
     "command_jsonl": "select case when page_id % 5 in (3, 4) then url end as url, case when page_id % 5 in (3, 4) then 'job_' || page_id end as job_id, case when page_id % 5 in (0, 2) then 'no JSON object' end as error from pages where page_id % 5 <> 1",
@@ -167,7 +180,7 @@ select event_id, level, cast(least(5000 * pow(2, least(level, 60) - 1), 300000)
     "pacer_schedule": f"""with s as ({_SIGNALS}), r as (select event_id, host, ts_us // 1000 as arrive_ms, row_number() over (partition by host order by ts_us // 1000, event_id) - 1 as i from s),
 m as (select *, i * 1800000 + max(arrive_ms - i * 1800000) over (partition by host order by arrive_ms, event_id rows unbounded preceding) as start_ms from r)
 select event_id, host, arrive_ms, start_ms, start_ms - arrive_ms as wait_ms from m""",
-    "state_key_audit": f"""with s as ({_SIGNALS}), k as (select (case when event_id % 9 = 2 then 'other:' else 'crawler:exec:safety:' end) || (case event_id % 9 when 0 then 'profile' when 1 then 'Rank' else 'host_ip' end) || ':' || substr(sha256(host || (event_id % 50)), 1, 16) as key,
+    "state_key_audit": f"""with s as ({_SIGNALS}), k as (select (case when event_id % 9 = 2 then 'other:' else 'fetch:state:' end) || (case event_id % 9 when 0 then 'profile' when 1 then 'Rank' else 'host_ip' end) || ':' || substr(sha256(host || (event_id % 50)), 1, 16) as key,
  greatest(1, least(event_id, 86400)) as t from s), a as (select key, case when t % 10 = 0 then -1 else t end as ttl from k), fresh as (select key, max(ttl) as ttl from a where key not in (select key from a where ttl % 4 = 1) group by key),
 j as (select *, split_part(key, ':', -2) in ('profile', 'Rank') as bad from fresh),
 c as (select count(*) as new_keys, count(*) filter (bad or starts_with(key, 'other')) as out_of_prefix, count(*) filter (bad) as forbidden, count(*) filter (not bad and not starts_with(key, 'other') and ttl <= 0) as missing_ttl from j)
@@ -256,7 +269,7 @@ seen as (select 'oci' as dependency, storage_ok as ok, finished_at_ms as at_ms,
 _WORKER = """with w as (select event_id, 'node-' || event_id % 5 as node, 'pod-' || event_id % 11 as pod, case event_id % 4 when 0 then ' fixed-' || event_id % 3 || ' ' when 1 then '  ' end as explicit,
  case event_id % 3 when 0 then 'c-{node_name}-$(POD_NAME)' when 1 then '${NODE_NAME}/{POD_NAME}' end as template, event_id % 6 = 0 as nameless, event_id % 2 = 0 as debug from events)
 """
-_WRITES = f"""with s as ({_SIGNALS}), w as (select 'crawler:exec:safety:host:' || substr(sha256(host), 1, 16) || ':' || event_id % 40 as key, ts_us // 1000 as at_ms, event_id as n, event_type, cast(status_code as varchar) as status,
+_WRITES = f"""with s as ({_SIGNALS}), w as (select 'fetch:state:host:' || substr(sha256(host), 1, 16) || ':' || event_id % 40 as key, ts_us // 1000 as at_ms, event_id as n, event_type, cast(status_code as varchar) as status,
  least(greatest((event_id * 7919) % 100000, 1), 86400) as ttl from s),
 r as (select *, at_ms + ttl * 1000 as till from w where at_ms <= 1705449600000),
 l as (select *, case when lag(till) over (partition by key order by at_ms, n) > at_ms then 0 else 1 end as fresh from r),
@@ -268,13 +281,13 @@ ORACLES["metric_response_seconds"] = _buckets(ATTEMPTS + "select host, egress_lo
 ORACLES |= {
     "response_context": f"with fr as ({_RESULTS}) select result_id, case when page_id % 4 <> 0 then tier end as tier, case when page_id % 4 <> 0 then policy_scope_id end as policy_scope_id from fr",
     "consumer_names": _WORKER + """select event_id, case when event_id % 4 = 0 then 'fixed-' || event_id % 3 when nameless then 'box' when event_id % 3 = 0 then 'c-' || node || '-' || pod when event_id % 3 = 1 then node || '/' || pod else node || '-' || pod end as consumer,
- case when debug then 'crawl:tasks:debug:' || node else 'crawl:tasks' end as stream, case when debug then 'crawler-executor-debug:' || node else 'crawler-executor' end as grp from w""",
+ case when debug then 'commands-debug:' || node else 'commands' end as stream, case when debug then 'workers-debug:' || node else 'workers' end as grp from w""",
     "worker_readiness": "select event_id, event_id % 3 <> 0 and event_id % 5 <> 0 and (event_id * 37) % 100 - 20 <= 30 as ready, case when event_id % 5 <> 0 then cast(greatest((event_id * 37) % 100 - 20, 0) as double) end as age from events",
     "header_decode": "select page_id, 'text/' || page_id as content_type, case when page_id % 2 = 0 then 'caf' || chr(233) else 'ok' end as server from pages",
     "state_key_rules": """select event_id, case event_id % 6 when 0 then 'blank prefix' when 1 then 'blank part' when 2 then 'unsafe part' when 3 then 'forbidden marker' end as error,
- case when event_id % 6 = 4 then 'p:ip:a' || event_id when event_id % 6 = 5 then 'crawler:exec:safety:ip:a' || event_id end as key from events""",
+ case when event_id % 6 = 4 then 'p:ip:a' || event_id when event_id % 6 = 5 then 'fetch:state:ip:a' || event_id end as key from events""",
     "state_alive": _WRITES + "select key, expires_ms, kind, status from alive",
-    "state_prefix_count": _WRITES + "select count(*) as n from alive where key like 'crawler:exec:safety:host:%'",
+    "state_prefix_count": _WRITES + "select count(*) as n from alive where key like 'fetch:state:host:%'",
     "metric_state_reads": _WRITES + "select 'host' as state_type, case when a.key is null then 'miss' else 'hit' end as result, count(*) as value from (select distinct key from w) k left join alive a using (key) group by all",
     "metric_state_writes": _WRITES + "select 'host' as state_type, case when n % 10 = 0 then 'disabled' else 'written' end as result, count(*) as value from w group by all",
     "metric_publishes": f"with fr as ({_RESULTS}) select 'crawl.attempts' as topic, case when publish_ok then 'success' else 'failure' end as result, count(*) as value from fr group by all",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlgrain.functions import commands, content, ids, net, runtime, signals, urls
+from crawlgrain.functions import commands, content, ids, net, runtime, signals, sql, urls
 from crawlgrain.operators import audit, egress, pacing, policy, state, windows
 from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
@@ -147,6 +147,34 @@ def response_headers(spark: SparkSession, d: str) -> DataFrame:
     return _pages(spark, d).select("page_id", F.element_at(kept, "content-type").alias("content_type"), F.try_element_at(kept, F.lit("server")).alias("server"), F.size(kept).cast("long").alias("n"))
 
 
+#: Before each page: a link in a comment and one in a script, which are none, then one without quotes, one with references, one elsewhere.
+AWKWARD = "concat('<!-- <a href=\"/no\"> --><script>\"<a href=/no>\"</script><A class=a HREF=/u', page_id, '?a=1&amp;b=2>x</A><a title=\"href=/no\" href=\\'../r&#x41;\\'><a href=\"//CDN.example.org/y\"><a href=mailto:a@b>', html)"
+
+
+@query
+def link_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Links of pages as a browser reads them, in SQL functions."""
+    return _pages(spark, d).select("page_id", F.posexplode(content.hrefs(F.expr(AWKWARD))).alias("pos", "href"))
+
+
+@query
+def sql_outlinks(spark: SparkSession, d: str) -> DataFrame:
+    """The table function in plain SQL: links resolved against their page."""
+    sql.register(spark)
+    return spark.sql(f"select p.page_id, l.* from {{pages}} p, lateral crawl_outlinks({AWKWARD}, p.url) l", pages=_pages(spark, d))
+
+
+@query
+def sql_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Rules under their SQL names in plain SQL."""
+    sql.register(spark)
+    return spark.sql(
+        """select page_id, crawl_canonical_url(url) as canonical_url, crawl_url_hash(url) as url_hash, crawl_url_host(url) as host, crawl_host_bucket(crawl_url_host(url), 8) as bucket,
+         crawl_attempt_id('job_1', crawl_canonical_url(url)) as attempt_id, crawl_outcome(cast(400 + page_id % 60 as int), false, 1, 0) as outcome, size(crawl_hrefs(html)) as links from {pages}""",
+        pages=_pages(spark, d),
+    )
+
+
 # --- commands ---------------------------------------------------------------------------------
 
 
@@ -159,8 +187,10 @@ def command_validation(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def command_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixtures.fetch_results(spark, d).select((F.col("result_id") % 5).alias("job"), (F.col("page_id") % 50).alias("target"))
-    return rows.groupBy("job", "target").agg(F.count("*").alias("n")).where("n > 1")
+    """Commands of one job and canonical URL, named more than once: deliveries, and links to a page under another scheme's default port."""
+    rows = fixtures.commands(spark, d).where("url is not null").select(F.trim("job_id").alias("job_id"), urls.canonical_url(F.regexp_replace("url", r"^(https?://[^/?#:]+)/", "$1:443/")).alias("with_port"), urls.canonical_url(F.col("url")).alias("plain"))
+    rows = rows.select("job_id", F.explode(F.array("with_port", "plain")).alias("canonical_url"))
+    return scans.duplicates(rows)
 
 
 @query
@@ -393,7 +423,7 @@ def _state_keys(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = fixtures.signals(spark, d).select("event_id", "host")
     n = F.col("event_id") % 9
     kind = F.when(n == 0, "profile").when(n == 1, "Rank").otherwise("host_ip")
-    prefix = F.when(n == 2, "other:").otherwise("crawler:exec:safety:")
+    prefix = F.when(n == 2, "other:").otherwise(audit.PREFIX + ":")
     key = F.concat(prefix, kind, F.lit(":"), ids.stable_hash(F.concat("host", (F.col("event_id") % 50).cast("string"))))
     after = rows.select(key.alias("key"), audit.clamp_ttl(F.col("event_id")).alias("ttl")).withColumn("ttl", F.when(F.col("ttl") % 10 == 0, -1).otherwise(F.col("ttl")))
     return after.where("ttl % 4 = 1"), after
@@ -638,8 +668,8 @@ def consumer_names(spark: SparkSession, d: str) -> DataFrame:
     name = runtime.consumer_name(explicit, template, c["node"], F.when(e % 6 != 0, c["pod"]), F.lit("box"))
     debug = e % 2 == 0
     return rows.select(
-        "event_id", name.alias("consumer"), runtime.routed(debug, runtime.STREAM, runtime.DEBUG_STREAM, c["node"], c["pod"]).alias("stream"),
-        runtime.routed(debug, runtime.GROUP, runtime.DEBUG_GROUP, c["node"], c["pod"]).alias("grp"),
+        "event_id", name.alias("consumer"), runtime.routed(debug, "commands", "commands-debug:{node_name}", c["node"], c["pod"]).alias("stream"),
+        runtime.routed(debug, "workers", "workers-debug:{node_name}", c["node"], c["pod"]).alias("grp"),
     )
 
 

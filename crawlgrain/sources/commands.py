@@ -6,16 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crawlgrain.functions import commands, content, ids, net
+from crawlgrain.functions import commands, content, ids, net, urls
 
-COMMAND_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in commands.FIELDS])
+COMMAND_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in (*commands.FIELDS, "payload")])
 
 
 def parse_jsonl(lines: DataFrame) -> DataFrame:
-    """Command columns and error from a text column value; blank lines are skipped, other lines become rows."""
+    """Command columns and error from a text column value; blank lines are skipped, other lines become rows.
+
+    A command may come wrapped: the JSON object in its payload, an object or its text, then gives all fields.
+    """
     rows = lines.where(F.trim("value") != "")
     good = F.get_json_object("value", "$").isNotNull() & F.trim("value").rlike(r"(?s)^\{.*\}$")
-    return rows.withColumn("c", F.from_json("value", COMMAND_SCHEMA)).select("value", "c.*", F.when(~good, "no JSON object").alias("error"))
+    found = commands.unwrap(rows.withColumn("c", F.from_json("value", COMMAND_SCHEMA)).select("value", "c.*", F.when(~good, "no JSON object").alias("error")))
+    return found.select("value", *commands.FIELDS, F.coalesce("error", "payload_error").alias("error"))
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -42,23 +46,44 @@ def repeat_seeds(seeds: DataFrame, order: Column, times: int, most: int | None)
     return rows.limit(most) if most is not None else rows
 
 
-def generate_commands(seeds: DataFrame, order: Column, job_id: str, prefix: str) -> DataFrame:
+def generate_commands(
+    seeds: DataFrame, order: Column, job_id: str, prefix: str, *, politeness_prefix: str | None = None, host_id_prefix: str | None = None, deadline_at: str | None = None, max_retries: int | None = None
+) -> DataFrame:
     """Numbered commands from url rows; command_id is prefix:00000001 and so on, in the given order.
 
+    canonical_url is null where url has no canonical form. politeness_key is the prefix and the host, host_id the prefix and the
+    host with underscores; these and deadline_at and max_retries are null unless given.
     Numbers need one global order: rows are counted per range partition first, so no task sees all rows.
     """
     ranged = seeds.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
     numbered = ranged.join(before, "_part").withColumn("no", F.coalesce("before", F.lit(0)) + F.col("_at") - F.col("first") + 1)
-    return numbered.select(
-        F.concat(F.lit(prefix + ":"), F.lpad(F.col("no").cast("string"), 8, "0")).alias("command_id"), F.lit(job_id).alias("job_id"), "url", F.col("url").alias("canonical_url")
+    host = urls.host(F.col("canonical_url"))
+    number = F.col("no").cast("string")
+    return numbered.withColumn("canonical_url", urls.canonical_url(F.col("url"))).select(
+        F.concat(F.lit(prefix + ":"), F.lpad(number, F.greatest(F.lit(8), F.length(number)), F.lit("0"))).alias("command_id"),
+        F.lit(job_id).alias("job_id"),
+        "url",
+        "canonical_url",
+        F.concat(F.lit(host_id_prefix), ids.host_token(host)).alias("host_id"),
+        F.concat(F.lit(politeness_prefix), host).alias("politeness_key"),
+        F.lit(deadline_at).alias("deadline_at"),
+        F.lit(max_retries).cast("int").alias("max_retries"),
     )
 
 
+def duplicates(commands_df: DataFrame) -> DataFrame:
+    """(job_id, canonical_url, n) of what more than one command asks for; commands without either are no duplicates."""
+    named = commands_df.where((F.coalesce(F.trim("job_id"), F.lit("")) != "") & F.col("canonical_url").isNotNull())
+    return named.groupBy("job_id", "canonical_url").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def wire_fields(commands_df: DataFrame) -> DataFrame:
-    """map<string,string> of the columns: null becomes '', the rest text."""
-    pairs = [x for c in commands_df.columns for x in (F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit("")))]
+    """map<string,string> of the columns: null becomes '', nested values compact JSON with their nulls, the rest text."""
+    nested = (T.StructType, T.ArrayType, T.MapType)
+    text = lambda f: F.to_json(f.name, {"ignoreNullFields": "false"}) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")
+    pairs = [x for f in commands_df.schema for x in (F.lit(f.name), F.coalesce(text(f), F.lit("")))]
     return commands_df.select(F.create_map(*pairs).alias("fields"))
 
 

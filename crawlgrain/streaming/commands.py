@@ -125,9 +125,10 @@ def ending(last: DataFrame) -> DataFrame:
 
 
 def split_valid(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, invalid) commands of a batch; the invalid ones with error, to be acknowledged without a fact."""
+    """(valid, invalid) commands of a batch, wrapped ones unwrapped; the invalid ones with error, to be acknowledged without a fact."""
     c = {f: F.col(f) for f in commands.FIELDS}
-    judged = batch.withColumn("error", commands.command_error(c))
+    rows = commands.unwrap(batch) if "payload" in batch.columns else batch.withColumn("payload_error", F.lit(None).cast("string"))
+    judged = rows.withColumn("error", F.coalesce("payload_error", commands.command_error(c))).drop("payload_error")
     return judged.where("error is null").drop("error"), judged.where("error is not null")
 
 

@@ -100,7 +100,16 @@ def test_policy_provider_keeps_the_last_good(tmp_path):
     import os
 
     os.utime(path, ns=(1, 1))
-    assert provider.current()["version"] == "v1" and provider.last_known_good_active
+    for _ in range(3):  # as long as the broken document lies there, each look finds it
+        assert provider.current()["version"] == "v1" and provider.result == "validation_error" and provider.last_known_good_active
+    path.write_text("{no json")
+    for _ in range(2):
+        assert provider.current()["version"] == "v1" and provider.result == "validation_error" and provider.last_known_good_active
+    path.write_text(json.dumps({**good, "version": "v3"}))
+    assert provider.current()["version"] == "v3" and provider.result == "success" and not provider.last_known_good_active
+    path.write_text(json.dumps(good))
+    os.utime(path, ns=(5, 5))
+    assert provider.current()["version"] == "v1"
     path.unlink()
     assert provider.current()["version"] == "v1" and provider.result == "read_error"
 
@@ -234,3 +243,65 @@ def test_pacing_of_several_identities_against_a_loop(spark):
         free[host, who[starts.index(min(starts))]] = min(starts) + 1000
     found = {r["event_id"]: r["start_ms"] for r in pacing.pace(spark.createDataFrame(rows, "event_id long, host string, arrive_ms long"), who, 1000).collect()}
     assert found == there
+
+
+def test_wrapped_commands_and_generation(spark):
+    lines = [
+        '{"url": "http://a/", "job_id": "outer", "payload": "{\\"url\\": \\"http://b/\\", \\"job_id\\": \\"inner\\", \\"canonical_url\\": \\"http://b\\", \\"max_retries\\": 3}"}',
+        '{"url": "http://a/", "payload": {"url": "http://c/", "job_id": "j"}}',
+        '{"url": "http://a/", "payload": "[1]"}',
+        '{"url": "http://a/", "payload": "{broken"}',
+        '{"url": "http://d/", "job_id": "plain"}',
+    ]
+    got = scans.parse_jsonl(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r["url"], r["job_id"], r["max_retries"], r["error"]) for r in got] == [
+        ("http://b/", "inner", "3", None), ("http://c/", "j", None, None), (None, None, None, "payload must be a JSON object"), (None, None, None, "invalid payload json"), ("http://d/", "plain", None, None)
+    ]
+    seeds = spark.createDataFrame([(i, u) for i, u in enumerate(["HTTP://A-b.example:80/x/", "nonsense"])], "n int, url string")
+    made = scans.generate_commands(seeds, F.col("n"), "j", "p", politeness_prefix="host:", host_id_prefix="h_", deadline_at="2030-01-01T00:00:00Z", max_retries=4).orderBy("command_id").collect()
+    assert tuple(made[0]) == ("p:00000001", "j", "HTTP://A-b.example:80/x/", "http://a-b.example/x", "h_a_b_example", "host:a-b.example", "2030-01-01T00:00:00Z", 4)
+    assert made[1]["canonical_url"] is None and made[1]["politeness_key"] is None
+    wire = scans.wire_fields(spark.createDataFrame([(1, None, {"a": None}, [1, None], (True, "x"))], "i int, n string, m map<string,int>, l array<int>, s struct<b:boolean,t:string>")).first()["fields"]
+    assert wire == {"i": "1", "n": "", "m": '{"a":null}', "l": "[1,null]", "s": '{"b":true,"t":"x"}'}
+    twice = spark.createDataFrame([("j", "u"), ("j", "u"), ("j", "v"), (" ", "u"), (" ", "u"), ("j", None), ("j", None)], "job_id string, canonical_url string")
+    assert [tuple(r) for r in scans.duplicates(twice).collect()] == [("j", "u", 2)]
+
+
+def test_backoff_goes_back_after_a_success(spark):
+    rng = random.Random(4)
+    rows = [(n, rng.randrange(3), rng.randrange(0, 400_000_000_000, 1_000_000), rng.random() < 0.3) for n in range(400)]
+    got = windows.backoff_schedule(spark.createDataFrame(rows, "event_id int, host int, ts_us long, ok boolean"), ["host"], success=F.col("ok")).collect()
+    state = {}
+    wanted = {}
+    for n, host, us, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+        last, level, until = state.get(host, (None, 0, None))
+        if last is not None and us - last > 86_400_000_000:
+            level, until = 0, None
+        if ok:
+            level, delay = 0, None
+        else:
+            level += 1
+            delay = min(int(5000 * 2.0 ** (level - 1)), 300_000)
+            until = us // 1000 + delay
+        state[host] = (us, level, until)
+        wanted[n] = (level, delay, until)
+    assert {r["event_id"]: (r["level"], r["delay_ms"], r["next_allowed_ms"]) for r in got} == wanted
+    waits = spark.range(2000).select(windows.jitter(500, F.col("id")).alias("a"), windows.jitter(500, F.col("id")).alias("b"), windows.jitter(0).alias("c"), windows.jitter(9).alias("d")).collect()
+    assert all(r["a"] == r["b"] and 0 <= r["a"] <= 500 and r["c"] == 0 and 0 <= r["d"] <= 9 for r in waits) and len({r["a"] for r in waits}) > 400
+
+
+def test_gates_in_order(spark):
+    rows = [(True, True, None, "STICKY_POOL", None), (False, False, None, None, "x"), (False, True, "2024-01-01T00:00:00Z", None, None), (False, True, None, "STICKY_POOL", None), (False, True, None, "ROUND_ROBIN", None), (False, True, None, None, "x")]
+    df = spark.createDataFrame(rows, "p boolean, e boolean, d string, s string, i string").withColumn("n", F.monotonically_increasing_id())
+    got = df.orderBy("n").select(policy.gate(F.col("p"), F.col("e"), F.col("d"), 1_706_659_200_000, F.col("s"), F.col("i")).alias("x")).collect()
+    assert [r["x"] for r in got] == ["paused", "paused", "deadline_expired", "egress_unavailable", None, None]
+
+
+def test_compressed_size_of_facts(spark, sf):
+    from crawlgrain.plans import attempts
+    from crawlgrain.sources import fixtures
+
+    facts = attempts.crawl_attempts(fixtures.fetch_results(spark, sf), compress=True)
+    rows = facts.select("content_result", "compressed_size", "uncompressed_size").collect()
+    assert all((r["compressed_size"] is None) == (r["content_result"] != "html_snapshot_candidate") for r in rows)
+    assert all(0 < r["compressed_size"] < r["uncompressed_size"] for r in rows if r["compressed_size"])
