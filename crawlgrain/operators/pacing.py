@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,31 +45,3 @@ def pace(requests: DataFrame, identities: list[str], interval_ms: int) -> DataFr
 
     rows = requests.select("event_id", "host", "arrive_ms").repartition("host").sortWithinPartitions("host", "arrive_ms", "event_id")
     return rows.mapInArrow(run, "event_id long, host string, identity string, start_ms long")
-
-
-class DelayedBuffer:
-    """Commands that wait for their time: bounded (0: unbounded), given out in order of time, then of arrival."""
-
-    def __init__(self, capacity: int):
-        self.capacity, self._heap, self._n = capacity, [], 0
-
-    @property
-    def full(self) -> bool:
-        return self.capacity > 0 and len(self._heap) >= self.capacity
-
-    def add(self, eligible_ms: int, command: object) -> bool:
-        """False if there is no room; the command then stays with its source."""
-        if self.full:
-            return False
-        heapq.heappush(self._heap, (eligible_ms, self._n, command))
-        self._n += 1
-        return True
-
-    def due(self, now_ms: int) -> list:
-        out = []
-        while self._heap and self._heap[0][0] <= now_ms:
-            out.append(heapq.heappop(self._heap)[2])
-        return out
-
-    def __len__(self) -> int:
-        return len(self._heap)

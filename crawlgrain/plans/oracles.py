@@ -289,7 +289,9 @@ ORACLES |= {
     "state_alive": _WRITES + "select key, expires_ms, kind, status from alive",
     "state_prefix_count": _WRITES + "select count(*) as n from alive where key like 'fetch:state:host:%'",
     "metric_state_reads": _WRITES + "select 'host' as state_type, case when a.key is null then 'miss' else 'hit' end as result, count(*) as value from (select distinct key from w) k left join alive a using (key) group by all",
-    "metric_state_writes": _WRITES + "select 'host' as state_type, case when n % 10 = 0 then 'disabled' else 'written' end as result, count(*) as value from w group by all",
+    "metric_state_writes": _WRITES + "select 'host' as state_type, case when n % 10 = 0 then 'failed_open' else 'written' end as result, count(*) as value from w group by all",
+    "state_store": _WRITES + "select key, expires_ms, kind, status from alive",
+    "queue_facts": f"with fr as ({_RESULTS}), r as (select *, coalesce(fetch_failed, false) or coalesce(status_code in (408, 429, 500, 502, 503, 504, 522, 524), false) as again from fr) select command_id, case when again then 'retry_exhausted' else 'fetched' end as outcome, cast(case when again then coalesce(cmd_max_retries, 2) + 1 else 1 end as integer) as deliveries from r",
     "metric_publishes": f"with fr as ({_RESULTS}) select 'crawl.attempts' as topic, case when publish_ok then 'success' else 'failure' end as result, count(*) as value from fr group by all",
     "metric_dependency_health": _SEEN + "select dependency, cast(arg_max(ok, (at_ms, n)) as bigint) as status, count(*) filter (ok) as successes, count(*) filter (not ok) as failures from seen group by dependency",
     "metric_heartbeat": "select 'node-' || event_id % 5 || '-pod-' || event_id % 11 as consumer, cast(max(epoch_us(ts)) // 1000000 as bigint) as value from events group by 1",

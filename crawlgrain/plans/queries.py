@@ -11,8 +11,9 @@ from crawlgrain.functions import commands, content, ids, net, runtime, signals,
 from crawlgrain.operators import audit, egress, pacing, policy, state, windows
 from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
-from crawlgrain.sources import fixtures
+from crawlgrain.sources import connectors, fixtures
 from crawlgrain.streaming import commands as stream
+from crawlgrain.streaming import state as stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHALLENGES, BOTS = signals.parse_patterns("challenge:verify you are human"), signals.parse_patterns("bot:bot filter")
@@ -701,9 +702,9 @@ def state_key_rules(spark: SparkSession, d: str) -> DataFrame:
 NOON_MS = 1705449600000  # 2024-01-17T00:00:00Z, within the signals
 
 
-def _writes(spark: SparkSession, d: str) -> DataFrame:
+def _writes(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     e, error = F.col("event_id"), F.col("event_type") == "error"
-    rows = fixtures.signals(spark, d)
+    rows = fixtures.signals(spark, d, events)
     key = F.concat(F.lit(audit.PREFIX + ":host:"), ids.stable_hash(F.col("host")), F.lit(":"), (e % 40).cast("string"))
     status = F.col("status_code").cast("string")
     fields = F.when(error, F.create_map(F.lit("kind"), F.col("event_type"), F.lit("status"), status)).otherwise(F.create_map(F.lit("kind"), F.col("event_type")))
@@ -729,8 +730,43 @@ def metric_state_reads(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_state_writes(spark: SparkSession, d: str) -> DataFrame:
-    """Every tenth writer has writing switched off."""
-    return metrics.counted(_writes(spark, d), F.lit("host").alias("state_type"), F.when(F.col("n") % 10 == 0, "disabled").otherwise("written").alias("result"))
+    """Writes of a stream into the state store; every tenth says no time to live and fails open."""
+    writes = _writes(spark, d, stream.table_stream(spark, d, "events")).withColumn("op", F.lit("write")).withColumn("ttl", F.when(F.col("n") % 10 != 0, F.col("ttl")))
+    done = stored.one_batch(stored.keyed_state(writes), stream.scratch(spark, "state-writes"))
+    return metrics.counted(done, F.lit("host").alias("state_type"), F.col("result"))
+
+
+@query
+def state_store(spark: SparkSession, d: str) -> DataFrame:
+    """What the state store holds alive after a stream of the writes up to noon, read from its checkpoint."""
+    folder = stream.scratch(spark, "state-store")
+    writes = _writes(spark, d, stream.table_stream(spark, d, "events")).where(F.col("at_ms") <= NOON_MS).withColumn("op", F.lit("write"))
+    stored.one_batch(stored.keyed_state(writes), folder)
+    rows = stored.stored_state(spark, folder + "/state", NOON_MS)
+    return rows.select("key", "expires_ms", F.try_element_at("fields", F.lit("kind")).alias("kind"), F.try_element_at("fields", F.lit("status")).alias("status"))
+
+
+@query
+def queue_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Commands through the queue, retried until they succeed or their budget is spent, and published once each."""
+    connectors.register(spark)
+    queue, log, state_dir = (stream.scratch(spark, n) for n in ("queue", "facts", "queue-state"))
+    results = fixtures.fetch_results(spark, d)
+    asked = results.select("url", F.col("url").alias("canonical_url"), "job_id", "command_id", F.col("cmd_max_retries").cast("string").alias("max_retries"))
+    asked.write.format("command_queue").mode("append").save(queue)
+    fetched = results.select(F.col("command_id").alias("_id"), "status_code", "fetch_failed")
+    while True:
+        read = spark.readStream.format("command_queue").options(group="workers", minIdleMs=0, readCount=1_000_000).load(queue)
+        valid, _ = stream.split_valid(read)
+        rows = valid.join(fetched, F.col("command_id") == F.col("_id"))
+        budget = F.coalesce(commands.bounded_int(F.col("max_retries")), F.lit(policy.BOOTSTRAP["max_retries"]))
+        rows = rows.withColumn("outcome", policy.outcome(F.col("status_code"), F.col("fetch_failed"), F.col("deliveries"), budget)).where("outcome <> 'retry'")
+        facts = rows.select(F.col("command_id").alias("attempt_id"), F.to_json(F.struct("command_id", "outcome", "deliveries")).alias("value"), "message_id")
+        sink = facts.writeStream.format("fact_log").option("checkpointLocation", state_dir).option("path", log).options(queue=queue, group="workers")
+        sink.trigger(availableNow=True).start().awaitTermination()
+        if not connectors.outstanding(queue, "workers"):  # three deliveries at most
+            break
+    return spark.read.format("fact_log").load(log).select(F.from_json("value", "command_id string, outcome string, deliveries int").alias("x")).select("x.*")
 
 
 @query

@@ -70,8 +70,9 @@ def fetch_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(FETCH_RESULTS, pages=table(spark, sf_dir, "pages"))
 
 
-def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(SIGNALS.replace("{micros}", "unix_micros(cast(ts as timestamp))"), events=table(spark, sf_dir, "events"))
+def signals(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Of the table of events, or of a stream of it."""
+    return spark.sql(SIGNALS.replace("{micros}", "unix_micros(cast(ts as timestamp))"), events=table(spark, sf_dir, "events") if events is None else events)
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,10 +28,15 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared folder, for one run of a stream."""
+    return os.path.join(shared_dir(spark), "crawlgrain", f"{label}-{uuid.uuid4().hex}")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there, into Parquet in the shared folder, and give the rows back."""
     spark = stream.sparkSession
-    top = os.path.join(shared_dir(spark), "crawlgrain", f"stream-{uuid.uuid4().hex}")
+    top = scratch(spark, "stream")
     query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", top + "/state").option("path", top + "/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(top + "/rows")
@@ -119,7 +124,7 @@ def delayed_stream(commands_df: DataFrame, time: str, late_ms: int = 86_400_000)
 def ending(last: DataFrame) -> DataFrame:
     """The rows of last (the end marker of a finished input) as a stream of their own, to be united with the input's."""
     spark = last.sparkSession
-    path = os.path.join(shared_dir(spark), "crawlgrain", f"ending-{uuid.uuid4().hex}")
+    path = scratch(spark, "ending")
     last.write.parquet(path)
     return spark.readStream.schema(last.schema).parquet(path)
 
