@@ -308,3 +308,27 @@ ORACLES |= {
  case when (select arg_max(result in ('invalid', 'error'), (us, event_id)) from l) then cast((1706659200000000 - us) // 1000000 as bigint) else 0 end as lkg_age_seconds from g""",
     "stream_sessions": _gap("(select user_id % 7 as host, epoch_us(ts) as ts_us, event_id from events where event_type = 'error')", "host", 21_600_000_000, "w0").join(["with ", " select host, min(ts_us) as start_us, max(ts_us) + 21600000000 as end_us, count(*) as count from w0 group by host, session"]),
 }
+
+ORACLES["failure_window_spans"] = ORACLES["failure_window"]
+ORACLES["signal_gap_counter_spans"] = ORACLES["signal_gap_counter"]
+ORACLES["pacer_schedule_spans"] = ORACLES["pacer_schedule"]
+ORACLES["pages_latest_stream"] = ORACLES["pages_latest"]
+ORACLES["state_as_of"] = f"""with s as ({_SIGNALS}), b as ({ORACLES["backoff_schedule"]}), bt as (select s.host, s.ip, s.ts_us, s.event_id, level, next_allowed_ms from b join s using (event_id)),
+ sl as (select s.host, s.ts_us, s.event_id from ({ORACLES["softban_events"]}) x join s using (event_id) where slowdown),
+ o as (select s.event_id, any_value(s.ts_us) as ts_us, arg_max(bt.next_allowed_ms, (bt.ts_us, bt.event_id)) as n, arg_max(bt.level, (bt.ts_us, bt.event_id)) as l from s left join bt on bt.host = s.host and bt.ip = s.ip and bt.ts_us < s.ts_us group by s.event_id),
+ w as (select s.event_id, max(sl.ts_us) + 600000000 as until_us from s left join sl on sl.host = s.host and sl.ts_us < s.ts_us group by s.event_id)
+ select event_id, case when n > ts_us // 1000 then n end as next_allowed_ms, case when n > ts_us // 1000 then l end as level, coalesce(until_us > ts_us, false) as slowed from o join w using (event_id)"""
+ORACLES["cidr_rates"] = (
+    SIG
+    + """, e as (select sig.signal_type, 10 * 16777216 + (user_id % 4) * 65536 + (sig.event_id % 8) * 256 + user_id % 250 as a from sig join events using (event_id)),
+ k as (select distinct case when s_suppkey % 9 = 0 then ['10.' || s_suppkey % 4 || '.0.0/16', cast((10 * 256 + s_suppkey % 4) * 65536 as varchar), '16'] when s_suppkey % 7 = 0 then ['10.' || s_suppkey % 4 || '.' || s_suppkey % 8 || '.0/24', cast(((10 * 256 + s_suppkey % 4) * 256 + s_suppkey % 8) * 256 as varchar), '24']
+  when s_suppkey % 5 = 0 then ['10.0.0.0/9', cast(10 * 16777216 as varchar), '9'] else ['10.' || s_suppkey % 4 || '.' || s_suppkey % 8 || '.' || (s_suppkey * 8) % 250 || '/' || (26 + s_suppkey % 6), cast(((10 * 256 + s_suppkey % 4) * 256 + s_suppkey % 8) * 256 + (s_suppkey * 8) % 250 as varchar), cast(26 + s_suppkey % 6 as varchar)] end as x from supplier),
+ n as (select cast(x[3] as bigint) as len, cast(x[2] as bigint) >> (32 - cast(x[3] as bigint)) as net, min(x[1]) as cidr from k group by all),
+ m as (select signal_type, (select arg_max(cidr, len) from n where a >> (32 - len) = net) as cidr from e)
+ select cidr, count(*) as signals, cast(1000 * count(*) filter (signal_type in ('http_429', 'captcha_challenge', 'anti_bot_200')) // count(*) as bigint) as challenges_per_mille, cast(1000 * count(*) filter (signal_type = 'http_5xx') // count(*) as bigint) as errors_per_mille from m group by cidr"""
+)
+ORACLES["host_profile_mix"] = (
+    ATTEMPTS
+    + """, x as (select host, 'error' as part, case when fetch_result = 'failed' then coalesce(error_type, 'failed') when status_code >= 400 then 'HTTP_' || status_code else 'none' end as item from att union all select host, 'egress', coalesce(egress_local_ip, 'none') from att)
+ select host, part, item, count(*) as value, cast(1000 * count(*) // sum(count(*)) over (partition by host, part) as bigint) as per_mille from x group by host, part, item"""
+)

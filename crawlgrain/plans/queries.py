@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlgrain.functions import commands, content, ids, net, runtime, signals, sql, urls
-from crawlgrain.operators import audit, egress, pacing, policy, state, windows
+from crawlgrain.operators import audit, egress, pacing, policy, ranges, state, windows
+from crawlgrain.operators import scans as scans_by_span
 from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
 from crawlgrain.sources import connectors, fixtures
 from crawlgrain.streaming import commands as stream
 from crawlgrain.streaming import state as stored
+from crawlgrain.streaming import upsert
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHALLENGES, BOTS = signals.parse_patterns("challenge:verify you are human"), signals.parse_patterns("bot:bot filter")
@@ -405,6 +407,52 @@ def pacer_schedule(spark: SparkSession, d: str) -> DataFrame:
     return windows.pacer_schedule(rows, ["host"], 1_800_000)
 
 
+@query
+def failure_window_spans(spark: SparkSession, d: str) -> DataFrame:
+    """failure_window with a key's rows dealt to several tasks by time."""
+    rows = fixtures.signals(spark, d).where("event_type in ('error', 'click', 'purchase')")
+    out = scans_by_span.failure_window(rows, ["host", "ip"], F.col("event_type") != "purchase", F.col("event_type") == "purchase", W)
+    return out.select("event_id", "failures", "triggered")
+
+
+@query
+def signal_gap_counter_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d).where("signal_type <> 'success'")
+    out = scans_by_span.gap_counter(rows, ["host", "ip", "signal_type"], W, signals.weight(F.col("signal_type")), 4 * W)
+    return out.select("event_id", "session", "count", "weight_sum")
+
+
+@query
+def pacer_schedule_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = fixtures.signals(spark, d).select("event_id", "host", F.floor(F.col("ts_us") / 1000).cast("long").alias("arrive_ms"))
+    return scans_by_span.pacer_schedule(rows, ["host"], 1_800_000, 86_400_000)
+
+
+@query
+def state_as_of(spark: SparkSession, d: str) -> DataFrame:
+    """Of each signal: the backoff of its host and address, and the slowdown of its host, that were in force when it came."""
+    rows = fixtures.signals(spark, d).select("event_id", "host", "ip", "ts_us")
+    banned = _soft(spark, d)
+    backoffs = windows.backoff_schedule(banned.where("backoff").select("event_id", "ts_us", "host", "ip"), ["host", "ip"]).select("host", "ip", "ts_us", F.col("event_id").alias("n"), "next_allowed_ms", "level")
+    slow = banned.where("slowdown").select("host", "ts_us", F.col("event_id").alias("n"), (F.col("ts_us") + 600_000_000).alias("until_us"))
+    day = 86_400_000_000
+    out = scans_by_span.as_of(rows, backoffs, ["host", "ip"], "ts_us", day, "backoff", inclusive=False)
+    out = scans_by_span.as_of(out, slow, ["host"], "ts_us", day, "slow", inclusive=False)
+    waits = F.col("backoff.next_allowed_ms") > F.floor(F.col("ts_us") / 1000)
+    return out.select("event_id", F.when(waits, F.col("backoff.next_allowed_ms")).alias("next_allowed_ms"), F.when(waits, F.col("backoff.level")).alias("level"), F.coalesce(F.col("slow.until_us") > F.col("ts_us"), F.lit(False)).alias("slowed"))
+
+
+@query
+def cidr_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Challenge and 5xx rates by the longest known prefix of the address; prefixes, overlapping ones too, from the suppliers' keys."""
+    u, k = F.col("user_id"), F.col("s_suppkey")
+    text = lambda *parts: F.concat(*(p.cast("string") if hasattr(p, "cast") else F.lit(p) for p in parts))
+    ip = text("10.", u % 4, ".", F.col("event_id") % 8, ".", u % 250)
+    rows = _signals(spark, d).join(fixtures.table(spark, d, "events").select("event_id", ip.alias("client")), "event_id")
+    cidr = F.when(k % 9 == 0, text("10.", k % 4, ".0.0/16")).when(k % 7 == 0, text("10.", k % 4, ".", k % 8, ".0/24")).when(k % 5 == 0, "10.0.0.0/9").otherwise(text("10.", k % 4, ".", k % 8, ".", (k * 8) % 250, "/", 26 + k % 6))
+    return metrics.rates(ranges.longest_prefix(rows, "client", fixtures.table(spark, d, "supplier").select(cidr.alias("cidr"))), "cidr")
+
+
 @query
 def delayed_buffer(spark: SparkSession, d: str) -> DataFrame:
     """What of the delayed commands is due, what stays, and the oldest of both."""
@@ -476,6 +524,35 @@ def pages_latest(spark: SparkSession, d: str) -> DataFrame:
     return attempts.pages_latest(attempts.page_snapshots(_attempts(spark, d))).select("url_hash", "snapshot_id", "finished_at_ms", "uncompressed_size")
 
 
+@query
+def pages_latest_stream(spark: SparkSession, d: str) -> DataFrame:
+    """pages_latest kept by a stream of snapshots in batches; the last batch comes twice."""
+    snapshots = attempts.page_snapshots(_attempts(spark, d))
+    folder, table = stream.scratch(spark, "snapshots"), stream.scratch(spark, "latest")
+    snapshots.repartition(4, "snapshot_id").write.parquet(folder)
+    put = upsert.upsert(table, "url_hash", ["finished_at_ms", "snapshot_id"], buckets=16)
+    rows = spark.readStream.schema(snapshots.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def twice(batch: DataFrame, number: int) -> None:
+        put(batch, number)
+        put(batch.limit(1), number)
+
+    rows.writeStream.foreachBatch(twice).option("checkpointLocation", stream.scratch(spark, "latest-state")).trigger(availableNow=True).start().awaitTermination()
+    return upsert.read_latest(spark, table, snapshots.schema).select("url_hash", "snapshot_id", "finished_at_ms", "uncompressed_size")
+
+
+@query
+def host_profile_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of each host's attempts by kind of error and by egress address."""
+    return metrics.host_mix(_attempts(spark, d))
+
+
+@query
+def host_profile_days(spark: SparkSession, d: str) -> DataFrame:
+    """Host profiles of days with sketches, merged to one of all days: counts exact, quantiles of latency and number of URLs estimated."""
+    return metrics.profile_estimates(metrics.merge_profiles(metrics.daily_profiles(_attempts(spark, d))))
+
+
 @query
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
     return attempts.page_metadata(_attempts(spark, d))

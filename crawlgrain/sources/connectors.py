@@ -80,6 +80,10 @@ class Folder:
         if self.fs.get_file_info(f"{self.top}/{name}").type != fs.FileType.NotFound:
             self.fs.delete_file(f"{self.top}/{name}")
 
+    def drop_tree(self, name: str) -> None:
+        if self.fs.get_file_info(f"{self.top}/{name}").type != fs.FileType.NotFound:
+            self.fs.delete_dir(f"{self.top}/{name}")
+
     def move(self, name: str, to: str) -> None:
         self.fs.create_dir(f"{self.top}/{to}".rpartition("/")[0], recursive=True)
         self.fs.move(f"{self.top}/{name}", f"{self.top}/{to}")
