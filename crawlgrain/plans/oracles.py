@@ -141,8 +141,8 @@ select job_id, canonical_url, count(*) as n from b where job_id <> '' group by a
     "policy_gate": _DECIDED + "select * from gate",
     "retry_routing": _DECIDED + "select * from route",
     "host_bucket": PAGES + "select host, cast(('0x' || substr(sha256(host), 1, 8)) as bigint) % 8 as bucket from (select distinct host from canon)",
-    "identity_map_join": f"""with i as ({IDENTITIES}), m as (select bind_ip, public_ip from i where seq <> 3) select i.bind_ip, m.public_ip, coalesce(m.public_ip, i.bind_ip) as identity,
- case when m.public_ip is null then 'bind_ip' else 'public_ip' end as identity_type from i left join m using (bind_ip)""",
+    "identity_map_join": f"""with s as ({_SIGNALS}), i as ({IDENTITIES}), m as (select bind_ip, public_ip from i where seq <> 3) select s.event_id, s.ip as bind_ip, m.public_ip, coalesce(m.public_ip, s.ip) as identity,
+ case when m.public_ip is null then 'bind_ip' else 'public_ip' end as identity_type from s left join m on m.bind_ip = s.ip""",
     "usable_ips": "select '10.0.0.' || (page_id % 40) as ip, min(page_id) as first_seen from pages where page_id % 5 > 1 and page_id % 40 <> 7 group by 1",
     "sticky_pool_topk": PAGES + f", {_WHO}" + """, r as (select host, identity, row_number() over (partition by host order by sha256('salt:' || host || ':' || identity) desc) as rank from (select distinct host from canon) h, active)
 select host, rank, identity from r where rank <= 4""",
@@ -253,11 +253,11 @@ ORACLES |= {
     "metric_pacer_delay": _buckets(ORACLES["pacer_schedule"], "'host_interval' as reason", "wait_ms", [(1000, "1"), (10_000, "10"), (60_000, "60"), (600_000, "600"), (3_600_000, "3600"), (86_400_000, "86400")]),
     "metric_egress_selected": f"select 'STICKY_POOL' as strategy, case when identity is null then 'unavailable' when identity like '198.%' then 'public_ip' else 'bind_ip' end as egress_identity_type, count(*) as value from ({ORACLES['egress_select']}) group by all",
     "metric_sticky_pools": f"select size, count(*) as value from (select host, count(*) as size from ({ORACLES['sticky_pool_topk']}) group by host) group by size",
-    "metric_active_ips": f"select status, count(*) as value from ({IDENTITIES}) i group by status",
+    "metric_active_ips": f"with s as ({_SIGNALS}) select status, count(*) as value from ({IDENTITIES}) i where bind_ip in (select ip from s) group by status",
     "metric_forbidden_keys": _KEYS + "select lower(split_part(key, ':', -2)) as pattern, count(*) as value from fresh where split_part(key, ':', -2) in ('profile', 'Rank') group by 1",
     "metric_state_ttl": _buckets(_KEYS + "select split_part(key, ':', -2) as state_type, ttl * 1000 as ms_value from a where ttl > 0", "state_type", "ms_value", _TTL),
-    "gzip_roundtrip": "select page_id, true as ok, cast(octet_length(encode(html)) as bigint) as size from pages",
-    "stream_dedupe": "select user_id % 50 as key, cast(1 as bigint) as n from events group by 1",
+    "gzip_roundtrip": "select page_id, html is not null as ok, sha256(html) as sha256, cast(octet_length(encode(html)) as bigint) as size from pages",
+    "stream_dedupe": "select event_id, user_id, event_type from events",
 }
 
 # --- workers, state and the command loop ------------------------------------------------------
@@ -332,3 +332,15 @@ ORACLES["host_profile_mix"] = (
     + """, x as (select host, 'error' as part, case when fetch_result = 'failed' then coalesce(error_type, 'failed') when status_code >= 400 then 'HTTP_' || status_code else 'none' end as item from att union all select host, 'egress', coalesce(egress_local_ip, 'none') from att)
  select host, part, item, count(*) as value, cast(1000 * count(*) // sum(count(*)) over (partition by host, part) as bigint) as per_mille from x group by host, part, item"""
 )
+
+ORACLES["metric_backoff_active"] = f"""with s as ({_SIGNALS}), b as ({ORACLES["backoff_schedule"]}), l as (select s.host, s.ip, arg_max(next_allowed_ms, (s.ts_us, s.event_id)) as until from b join s using (event_id) group by all)
+ select host, count(*) filter (until > (select max(ts_us) // 1000 from s)) as value from l group by host"""
+ORACLES["metric_delayed_buffer"] = PAGES + """, n as (select 'consumer-' || cast(('0x' || substr(sha256(host), 1, 8)) as bigint) % 8 as consumer, count(*) as n from canon group by 1)
+ select consumer, 'delayed' as result, least(n, 20) as value from n union all select consumer, 'delayed_buffer_full', n - 20 from n where n > 20"""
+#: One request after the other: the first of three identities that is free, else the one that is free first.
+ORACLES["pacer_multi"] = f"""with recursive s as ({_SIGNALS}), q as (select event_id, host, ts_us // 1000 as a, row_number() over (partition by host order by ts_us // 1000, event_id) as i from s),
+ p as (select host, cast(0 as bigint) as i, cast(null as bigint) as event_id, cast(0 as bigint) as n1, cast(0 as bigint) as n2, cast(0 as bigint) as n3, 0 as c, cast(0 as bigint) as st from q group by host
+  union all select host, i, event_id, case when c = 1 then st + 3600000 else n1 end, case when c = 2 then st + 3600000 else n2 end, case when c = 3 then st + 3600000 else n3 end, c, st
+  from (select *, greatest(a, case c when 1 then n1 when 2 then n2 else n3 end) as st from (select p.host, q.i, q.event_id, q.a, p.n1, p.n2, p.n3,
+   case when p.n1 <= q.a then 1 when p.n2 <= q.a then 2 when p.n3 <= q.a then 3 when p.n1 <= p.n2 and p.n1 <= p.n3 then 1 when p.n2 <= p.n3 then 2 else 3 end as c from p join q on q.host = p.host and q.i = p.i + 1) x) y)
+ select event_id, host, '10.0.0.' || (c + 1) as identity, st as start_ms from p where i > 0"""

@@ -285,8 +285,9 @@ def host_bucket(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def identity_map_join(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixtures.identities(spark)
-    return egress.enrich(rows.select("bind_ip"), rows.where("seq <> 3").select("bind_ip", "public_ip")).select("bind_ip", "public_ip", "identity", "identity_type")
+    """The identity under which each signal's request went out."""
+    known = fixtures.identities(spark).where("seq <> 3").select("bind_ip", "public_ip")
+    return egress.enrich(fixtures.signals(spark, d).select("event_id", F.col("ip").alias("bind_ip")), known).select("event_id", "bind_ip", "public_ip", "identity", "identity_type")
 
 
 @query
@@ -675,6 +676,24 @@ def metric_active_states(spark: SparkSession, d: str) -> DataFrame:
     return cool.unionByName(slow).join(F.broadcast(now), F.lit(True)).groupBy("metric").agg(F.count_if(F.col("until") > F.col("now")).alias("value"))  # now is one row
 
 
+@query
+def metric_backoff_active(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of host and address that are backed off at the last signal of all, by host."""
+    hits = _soft(spark, d).where("backoff").select("event_id", "ts_us", "host", "ip")
+    last = windows.backoff_schedule(hits, ["host", "ip"]).groupBy("host", "ip").agg(F.max_by("next_allowed_ms", F.struct("ts_us", "event_id")).alias("until"))
+    now = fixtures.signals(spark, d).agg(F.floor(F.max("ts_us") / 1000).alias("now"))
+    return last.join(F.broadcast(now)).groupBy("host").agg(F.count_if(F.col("until") > F.col("now")).alias("value"))  # now is one row
+
+
+@query
+def metric_delayed_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """Commands that wait in buffers of 20, and those that a full buffer turns away."""
+    host = ids.host_bucket(urls.host(F.col("url")), F.lit(8))
+    rows = stream.table_stream(spark, d, "pages").select(F.concat(F.lit("consumer-"), host.cast("string")).alias("buffer"), F.col("page_id").alias("message_id"), F.lit(4_102_444_800_000).alias("eligible_ms"), F.lit(4_102_444_799_000).alias("read_ms"), F.col("url").alias("body"))
+    out = stored.one_batch(stored.delay_buffer(rows, capacity=20), stream.scratch(spark, "delay"))
+    return out.groupBy(F.col("buffer").alias("consumer"), F.col("event").alias("result")).agg(F.count("*").alias("value"))
+
+
 @query
 def metric_backoff_seconds(spark: SparkSession, d: str) -> DataFrame:
     hits = _soft(spark, d).where("backoff").select("event_id", "ts_us", "host", "ip", "signal_type")
@@ -701,7 +720,9 @@ def metric_sticky_pools(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def metric_active_ips(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.identities(spark).groupBy("status").agg(F.count("*").alias("value"))
+    """Usable addresses that signals went out by, by status."""
+    used = fixtures.signals(spark, d).where(net.usable_ipv4(F.col("ip"))).select(F.col("ip").alias("bind_ip")).distinct()
+    return used.join(fixtures.identities(spark), "bind_ip").groupBy("status").agg(F.count("*").alias("value"))
 
 
 @query
@@ -935,8 +956,13 @@ def pause_flags(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def gzip_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    packed = _pages(spark, d).select("page_id", F.col("html").cast("binary").alias("raw")).withColumn("body", content.gzip_bytes(F.col("raw")))
-    return packed.select("page_id", (F.sha2(content.gunzip_bytes(F.col("body")), 256) == F.sha2("raw", 256)).alias("ok"), F.octet_length("raw").cast("long").alias("size"))
+    """Pages put into the object store and read back: key, whether digest and size hold, and what was unpacked."""
+    rows = _canonical(spark, d).select("page_id", "url_hash", F.col("html").alias("body"))
+    path = stream.scratch(spark, "objects")
+    scans.write_objects(rows.select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("storage_key"), "body"), path)
+    back = spark.read.parquet(path).select("storage_key", content.gunzip_bytes(F.col("body")).alias("raw"))
+    found = back.join(scans.verify_objects(spark, path), "storage_key")
+    return found.select(F.substring_index("storage_key", "/", -1).cast("long").alias("page_id"), "ok", F.sha2("raw", 256).alias("sha256"), F.octet_length("raw").cast("long").alias("size"))
 
 
 @query
@@ -947,8 +973,10 @@ def pacer_multi(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    rows = stream.table_stream(spark, d, "events").select((F.col("user_id") % 50).alias("key"), F.col("ts").cast("timestamp").alias("ts"))
-    return stream.drain(stream.dedupe(rows, "key", "ts", "60 days")).groupBy("key").agg(F.count("*").alias("n"))
+    """Each event comes twice and is kept once, with its values."""
+    rows = stream.table_stream(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    twice = rows.unionByName(rows)
+    return stream.drain(stream.dedupe(twice, "event_id", "ts", "60 days")).select("event_id", "user_id", "event_type")
 
 
 @query
