@@ -142,10 +142,12 @@ def plan(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset; pieces needs doc_id, piece and length (1 to capacity).
 
-    Every row is placed once, repeated rows too. Ties in length go by (doc_id, piece). An empty
+    A piece that fills a sequence has one of its own, with a negative number, and needs no rank. Every row is placed once, repeated rows too. Ties in length go by (doc_id, piece). An empty
     table gives an empty table. Null lengths and lengths out of range raise an error.
     """
-    rows = pieces.withColumn("salt", spread("doc_id", SALTS))
+    whole = F.col("length").eqNullSafe(capacity)
+    full = pieces.where(whole).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    rows = pieces.where(~whole).withColumn("salt", spread("doc_id", SALTS))
     tally = materialize(rows.groupBy("length", "salt").agg(F.count("*").alias("n")), "pack-tally")  # capacity x SALTS rows at most
     if tally.where(F.col("length").isNull() | ~F.col("length").between(1, capacity)).limit(1).count():
         raise ValueError(f"lengths must be from 1 to {capacity}")
@@ -160,9 +162,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block))
     inside = (F.col("length") == F.col("r_length")) & (F.col("block") == F.col("r_block")) & (F.col("rank") >= F.col("r_first")) & (F.col("rank") < F.col("r_first") + F.col("r_n"))
     out = ranked.join(runs, inside)
-    return out.withColumn("sequence_id", F.col("r_sequence") + F.col("rank") - F.col("r_first")).withColumn("offset", F.col("r_offset")).drop(
+    out = out.withColumn("sequence_id", F.col("r_sequence") + F.col("rank") - F.col("r_first")).withColumn("offset", F.col("r_offset")).drop(
         "r_length", "r_first", "r_n", "r_sequence", "r_offset", "r_block", "block", "rank"
     )
+    return out.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

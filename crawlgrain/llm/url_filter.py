@@ -22,6 +22,8 @@ LAMBDA = 1.0
 ALPHABET = 256.0
 #: One of so many rule-decided URLs is held out for the threshold.
 FOLDS = 5
+#: Weights that are broadcast when URLs are scored: those of the commonest grams, which every URL begins with.
+COMMON = 10_000
 START, END = "\u0002", "\u0003"
 URL = "^(?s).*?://([^/?#]*)([^?#]*)"
 
@@ -71,23 +73,32 @@ def _log_ratios(counts: DataFrame) -> DataFrame:
         shorter = known.withColumnRenamed("gram", "suffix")
         joined = level.withColumn("suffix", F.substring("gram", 2, k)).join(shorter, "suffix")
         known = joined.select("gram", *(((F.col(c) + LAMBDA * F.col(f"p_{c}")) / (F.col(f"n_{c}") + LAMBDA)).alias(f"p_{c}") for c in ("accepted", "rejected")))
-    return known.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("weight"))
+    weights = known.select("gram", (F.log("p_accepted") - F.log("p_rejected")).alias("weight"))
+    return weights.join(counts.select("gram", "seen"), "gram")
 
 
 def fit_ratio(rows: DataFrame) -> DataFrame:
-    """(gram, weight) for every gram of rows (url, accepted, rejected: 0 or 1), counted where one is 1.
+    """(gram, weight, seen) for every gram of rows (url, accepted, rejected: 0 or 1), counted where one is 1; seen: how often rows have it.
 
     Counts are summed before the shuffle; the table grows with the distinct grams of all URLs.
     """
     counts = _grams(rows.select("url", F.col("accepted").cast("long"), F.col("rejected").cast("long")))
-    counts = materialize(counts.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
+    counts = materialize(counts.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"), F.count("*").alias("seen")), "url-counts")
     return materialize(_log_ratios(counts), "url-weights")
 
 
 def score(rows: DataFrame, weights: DataFrame) -> DataFrame:
-    """rows (key columns and url) with score instead of url: the mean weight of the URL's characters."""
+    """rows (key columns and url) with score instead of url: the mean weight of the URL's characters.
+
+    The COMMON commonest grams meet their weights by broadcast and are summed up where they are; only the others are shuffled by gram.
+    """
     keys = [c for c in rows.columns if c != "url"]
-    return _grams(rows).join(weights, "gram").groupBy(*keys).agg(F.avg("weight").alias("score"))
+    common = F.broadcast(weights.orderBy(F.desc("seen"), "gram").limit(COMMON).select("gram", F.col("weight").alias("near")))  # COMMON rows
+    grams = _grams(rows).join(common, "gram", "left")
+    here = grams.where("near is not null").groupBy(*keys).agg(F.sum("near").alias("sum"), F.count("*").alias("n"))
+    there = grams.where("near is null").join(weights.select("gram", "weight"), "gram").groupBy(*keys).agg(F.sum("weight").alias("sum"), F.count("*").alias("n"))
+    both = here.unionByName(there).groupBy(*keys).agg(F.sum("sum").alias("sum"), F.sum("n").alias("n"))
+    return both.select(*keys, (F.col("sum") / F.col("n")).alias("score"))
 
 
 def calibrate(scored: DataFrame) -> float:

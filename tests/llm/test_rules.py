@@ -373,3 +373,42 @@ def test_a_long_list_of_digests_costs_in_proportion(spark):
     assert all(r["spans"].count("entropy") == 0 for r in found)
     masked = secrets.mask(docs_frame(spark, rows)).where("doc_id = 1").first()["text"]
     assert masked == "\n".join(["[secret]"] * 16000)
+
+
+NOTICES = {
+    """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+    in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+    copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+    The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+    THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+    FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""": "mit-full-text",
+    "// SPDX-License-Identifier: MIT": "mit",
+    "/* SPDX-License-Identifier: Apache-2.0 */": "apache-2.0",
+    "# SPDX-License-Identifier: GPL-2.0-or-later\nimport os": "gpl-2.0-or-later",
+    "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2.0,mit",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1.0",
+    "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide.": "cc0-1.0",
+    "Licensed under CC0 1.0": "cc0-1.0",
+    "This code is licensed under the MIT license.": "mit",
+    "Licensed under the MIT License, see LICENSE.": "mit",
+    "This project is licensed under the terms of the Mozilla Public License 2.0 - see the LICENSE file for details": "mpl-2.0",
+    "Released under the BSD 3-Clause License": "bsd-3-clause-named",
+    "This program and the accompanying materials are made\n * available under the terms of the Eclipse Public License 2.0\n * which is available at https://www.eclipse.org/legal/epl-2.0/": "epl-2.0",
+    "This software is provided 'as-is', without any express or implied warranty. ": "zlib",
+    "We are licensed under the MIT license of our city": "",
+    "SPDX-License-Identifier: Whatever-1.0": "",
+    "Nothing is licensed under the moon": "",
+}
+
+
+def test_notices_names_and_tags(spark):
+    rows = [(i, t) for i, t in enumerate(NOTICES)] + [(100, next(iter(NOTICES))), (100, next(iter(NOTICES))), (101, "word " * 400_000 + ". This code is licensed under the MIT license.")]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(docs_frame(spark, rows)).collect()}
+    assert got == dict(enumerate(NOTICES.values())) | {100: "mit-full-text", 101: "mit"}
+    assert license_scan.scan_licenses(docs_frame(spark, [])).collect() == []
+    named = {i for _, ids in license_scan.RULES for i in ids}
+    assert set(license_scan.NAMES.values()) | set(license_scan.SPDX.values()) | set(license_scan.NAMED_ONLY) <= named
+    assert all("licen" in w for w in ("licensed under", "spdx license identifier"))
