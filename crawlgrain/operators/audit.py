@@ -42,3 +42,19 @@ def audit(before: DataFrame, after: DataFrame, prefix: str = PREFIX, extra_prefi
     rows = new_keys(before, after, prefix, extra_prefixes)
     counts = rows.agg(F.count("*").alias("new_keys"), *(F.count_if(c).alias(c) for c in ("out_of_prefix", "forbidden", "missing_ttl")))
     return counts.withColumn("passed", (F.col("out_of_prefix") + F.col("forbidden") + F.col("missing_ttl")) == 0)
+
+
+def fingerprint(rows: DataFrame) -> DataFrame:
+    """One row (n, digest): how many rows, and a sum of hashes of all columns that doesn't depend on their order or partitions.
+
+    Each copy of a row counts. Sums combine before the shuffle; an empty table has the digest 0.
+    """
+    hashed = F.conv(F.substring(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(hashed), F.lit(0)).cast("string").alias("digest"))
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row (n_before, n_after, same_length, same_rows): whether a stream that is only read is as it was."""
+    b, a = (fingerprint(f).select(F.col("n").alias(f"n_{x}"), F.col("digest").alias(f"digest_{x}")) for f, x in ((before, "before"), (after, "after")))
+    both = b.join(a)  # one row each
+    return both.select("n_before", "n_after", (F.col("n_before") == F.col("n_after")).alias("same_length"), ((F.col("n_before") == F.col("n_after")) & (F.col("digest_before") == F.col("digest_after"))).alias("same_rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed bucket limits of the histograms, in seconds.
@@ -137,3 +137,17 @@ def dependency_health(seen: DataFrame) -> DataFrame:
 
 def in_flight(seen: Column, acked: Column) -> Column:
     return F.greatest(F.sum(seen) - F.sum(acked), F.lit(0))
+
+
+def exposition(values: DataFrame, name: str, kind: str, text: str, value: str = "value") -> DataFrame:
+    """(line_no, line): a metric in the text format that scrapers read; all columns but value are labels, null ones empty.
+
+    Help and type come first, then samples in order of their labels.
+    """
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\\", r"\\\\"), '"', r'\\"'), "\n", r"\\n")
+    labels = [F.concat(F.lit(f'{c}="'), escaped(c), F.lit('"')) for c in values.columns if c != value]
+    held = F.concat(F.lit("{"), F.concat_ws(",", *labels), F.lit("}")) if labels else F.lit("")
+    samples = values.select(F.concat(F.lit(name), held, F.lit(" "), F.col(value).cast("string")).alias("line"))
+    numbered = samples.withColumn("line_no", F.row_number().over(Window.orderBy("line")) + 2)  # as many rows as the metric has label sets
+    head = values.sparkSession.createDataFrame([(1, f"# HELP {name} {text}"), (2, f"# TYPE {name} {kind}")], "line_no int, line string")
+    return head.unionByName(numbered.select("line_no", "line"))

@@ -344,3 +344,10 @@ ORACLES["pacer_multi"] = f"""with recursive s as ({_SIGNALS}), q as (select even
   from (select *, greatest(a, case c when 1 then n1 when 2 then n2 else n3 end) as st from (select p.host, q.i, q.event_id, q.a, p.n1, p.n2, p.n3,
    case when p.n1 <= q.a then 1 when p.n2 <= q.a then 2 when p.n3 <= q.a then 3 when p.n1 <= p.n2 and p.n1 <= p.n3 then 1 when p.n2 <= p.n3 then 2 else 3 end as c from p join q on q.host = p.host and q.i = p.i + 1) x) y)
  select event_id, host, '10.0.0.' || (c + 1) as identity, st as start_ms from p where i > 0"""
+
+ORACLES["stream_responses"] = f"""select 'commands-' || command_no % 2 as stream, cast(command_no as varchar) as message_id, cast(case when command_no % 2 = 0 then command_no % 5 else 1 end as bigint) as deliveries, error
+ from ({ORACLES["command_validation"]}) v"""
+ORACLES["read_only_audit"] = f"""with c as ({_COMMANDS}), n as (select count(*) as n, count(*) filter (command_no < 100) as few, count(*) filter (command_no = 10) as hit from c)
+ select 'same' as kind, n as n_before, n as n_after, true as same_length, true as same_rows from n union all select 'altered', n, n, true, hit = 0 from n union all select 'grown', n, n + few, few = 0, few = 0 from n"""
+ORACLES["metric_lines"] = f"""with m as ({ORACLES["metric_requests"]}), l as (select 'requests_total{{host="' || host || '",status="' || status || '",egress_ip="' || coalesce(egress_ip, '') || '"}} ' || value as line from m)
+ select cast(row_number() over (order by line) + 2 as integer) as line_no, line from l union all select 1, '# HELP requests_total Requests by host, status and egress address' union all select 2, '# TYPE requests_total counter'"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -196,6 +197,35 @@ def command_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return scans.duplicates(rows)
 
 
+@query
+def stream_responses(spark: SparkSession, d: str) -> DataFrame:
+    """Commands in the nested form of a stream's answers, taken apart and judged; every third one is wrapped."""
+    rows = fixtures.commands(spark, d)
+    n = F.col("command_no")
+    own = F.map_filter(F.create_map(F.lit("url"), F.col("url"), F.lit("job_id"), F.col("job_id"), F.lit("canonical_url"), F.col("canonical_url"), F.lit("deadline_at"), F.col("deadline_at"), F.lit("max_retries"), F.col("max_retries")), lambda _, v: v.isNotNull())
+    fields = F.when(n % 3 == 0, F.create_map(F.lit("url"), F.lit("outer"), F.lit("payload"), F.to_json(own))).otherwise(own)
+    message = F.struct(n.cast("string").alias("id"), F.when(n % 2 == 0, n % 5).alias("deliveries"), fields.alias("fields"))
+    nested = rows.groupBy(F.pmod(n, F.lit(16)).alias("b"), F.concat(F.lit("commands-"), (n % 2).cast("string")).alias("stream")).agg(F.collect_list(message).alias("messages"))
+    answers = nested.groupBy("b").agg(F.collect_list(F.struct("stream", "messages")).alias("responses"))
+    return scans.flatten_responses(answers).select("stream", "message_id", "deliveries", "error")
+
+
+@query
+def read_only_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Commands before and after a run that must not change them: in another order, and with one row altered by another."""
+    rows = fixtures.commands(spark, d)
+    again = rows.repartition(7, "tier").select(*reversed(rows.columns))
+    altered = rows.withColumn("tier", F.when(F.col("command_no") == 10, "x").otherwise(F.col("tier")))
+    kinds = [("same", again), ("altered", altered), ("grown", rows.unionByName(rows.where("command_no < 100")))]
+    return reduce(DataFrame.unionByName, (audit.unchanged(rows, f).withColumn("kind", F.lit(k)) for k, f in kinds))
+
+
+@query
+def metric_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A counter as a scraper reads it."""
+    return metrics.exposition(metric_requests(spark, d), "requests_total", "counter", "Requests by host, status and egress address")
+
+
 @query
 def command_generation(spark: SparkSession, d: str) -> DataFrame:
     return scans.generate_commands(_pages(spark, d), F.col("page_id"), "job_1", "seed").select("command_id", "job_id", "url")

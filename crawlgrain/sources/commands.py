@@ -143,3 +143,15 @@ def delivery_counts(commands_df: DataFrame, pending: DataFrame, most: int) -> Da
 
 def slots(commands_df: DataFrame) -> DataFrame:
     return commands_df.withColumn("download_slot", ids.download_slot(F.col("host"), F.col("identity")))
+
+
+def flatten_responses(responses: DataFrame) -> DataFrame:
+    """(stream, message_id, deliveries, FIELDS, error) of responses: array<struct<stream, messages: array<struct<id, deliveries, fields: map>>>>.
+
+    One row for each message, wrapped commands unwrapped; what is wrong with a command is its error, null if nothing is. Deliveries are 1 where none are said.
+    """
+    rows = responses.select(F.explode("responses").alias("r")).select("r.stream", F.explode("r.messages").alias("m"))
+    held = {f: F.try_element_at("m.fields", F.lit(f)).alias(f) for f in (*commands.FIELDS, "payload")}
+    rows = commands.unwrap(rows.select("stream", F.col("m.id").alias("message_id"), F.coalesce("m.deliveries", F.lit(1)).cast("long").alias("deliveries"), *held.values()))
+    error = F.coalesce("payload_error", commands.command_error({f: F.col(f) for f in commands.FIELDS}))
+    return rows.select("stream", "message_id", "deliveries", *commands.FIELDS, error.alias("error"))

@@ -305,3 +305,31 @@ def test_compressed_size_of_facts(spark, sf):
     rows = facts.select("content_result", "compressed_size", "uncompressed_size").collect()
     assert all((r["compressed_size"] is None) == (r["content_result"] != "html_snapshot_candidate") for r in rows)
     assert all(0 < r["compressed_size"] < r["uncompressed_size"] for r in rows if r["compressed_size"])
+
+
+def test_settings(tmp_path):
+    from crawlgrain import settings
+
+    given = {"A": " x, ,y ,", "N": "7", "E": "", "T": "Yes", "F": "no"}
+    assert settings.listed(given, "A") == ["x", "y"] and settings.listed(given, "none", "a,b") == ["a", "b"] and settings.listed(given, "E") == []
+    assert settings.whole(given, "N", 1) == 7 and settings.whole(given, "E", 3) == 3 and settings.whole(given, "none", 4) == 4
+    with pytest.raises(ValueError):
+        settings.whole(given, "T", 1)
+    assert settings.switch(given, "T", False) and not settings.switch(given, "F", True) and settings.switch(given, "none", True) and not settings.switch(given, "E", True) and settings.switch({"B": True}, "B", False)
+    assert settings.flush_seconds(0, 30_000) == 30.0 and settings.flush_seconds(200, 30_000) == 1.0 and settings.flush_seconds(2500, 1) == 2.5
+    (tmp_path / "ca").write_text("")
+    assert settings.certificates(str(tmp_path / "ca"), ["/none"]) == str(tmp_path / "ca")
+    assert settings.certificates("/gone", ["/none", str(tmp_path / "ca")]) == str(tmp_path / "ca")
+    assert settings.certificates("/gone", ["/none"]) == "/gone" and settings.certificates("", ["/none"]) == "/none"
+    assert settings.password_in_address("p@ss/w:rd é~") == "p%40ss%2Fw%3Ard%20%C3%A9~"
+
+
+def test_fingerprints_and_exposition(spark):
+    from crawlgrain.plans import metrics
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "n int, t string")
+    assert audit.unchanged(rows, rows.orderBy(F.desc("n")).repartition(3)).first().asDict() == {"n_before": 3, "n_after": 3, "same_length": True, "same_rows": True}
+    assert audit.unchanged(rows, spark.createDataFrame([(1, "a"), (2, None), (2, None)], "n int, t string")).first()["same_rows"] is False
+    assert audit.fingerprint(rows.limit(0)).first().asDict() == {"n": 0, "digest": "0"}
+    lines = metrics.exposition(spark.createDataFrame([('q"uo\\te\nx', None, 3), ("a", "b", 1)], "k string, l string, value long"), "m_total", "counter", "text").orderBy("line_no").collect()
+    assert [r["line"] for r in lines] == ["# HELP m_total text", "# TYPE m_total counter", 'm_total{k="a",l="b"} 1', 'm_total{k="q\\"uo\\\\te\\nx",l=""} 3']
