@@ -351,3 +351,6 @@ ORACLES["read_only_audit"] = f"""with c as ({_COMMANDS}), n as (select count(*)
  select 'same' as kind, n as n_before, n as n_after, true as same_length, true as same_rows from n union all select 'altered', n, n, true, hit = 0 from n union all select 'grown', n, n + few, few = 0, few = 0 from n"""
 ORACLES["metric_lines"] = f"""with m as ({ORACLES["metric_requests"]}), l as (select 'requests_total{{host="' || host || '",status="' || status || '",egress_ip="' || coalesce(egress_ip, '') || '"}} ' || value as line from m)
  select cast(row_number() over (order by line) + 2 as integer) as line_no, line from l union all select 1, '# HELP requests_total Requests by host, status and egress address' union all select 2, '# TYPE requests_total counter'"""
+
+ORACLES["metric_stream_events"] = f"""with c as (select error, deadline_at from ({_COMMANDS}) x join ({ORACLES["command_validation"]}) v using (command_no))
+ select unnest(['read', 'valid', 'invalid', 'deadline_expired']) as result, unnest([count(*), count(*) filter (error is null), count(*) filter (error is not null), 0]) as value from c"""

@@ -15,6 +15,7 @@ from crawlgrain.plans import attempts, metrics
 from crawlgrain.sources import commands as scans
 from crawlgrain.sources import connectors, fixtures
 from crawlgrain.streaming import commands as stream
+from crawlgrain.streaming import monitor
 from crawlgrain.streaming import state as stored
 from crawlgrain.streaming import upsert
 
@@ -925,6 +926,27 @@ def metric_queue_events(spark: SparkSession, d: str) -> DataFrame:
     return metrics.queue_events(rows.withColumn("valid", p % 12 != 0).withColumn("wait_ms", F.when(p % 5 == 0, 1).otherwise(0)))
 
 
+@query
+def metric_stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """What a running query observed of its commands: read, valid, invalid, past their deadline."""
+    folder, rows = stream.scratch(spark, "progress"), stream.scratch(spark, "commands")
+    fixtures.commands(spark, d).select(F.col("command_no").cast("string").alias("command_id"), "url", "job_id", "canonical_url", "deadline_at", "max_retries").write.parquet(rows)
+    schema = ", ".join(f"{f} string" for f in commands.FIELDS)
+    read = spark.readStream.schema(schema).parquet(rows)
+    error = commands.command_error({f: F.col(f) for f in commands.FIELDS})
+    late = error.isNull() & (F.timestamp_millis(F.lit(fixtures.NOW_MS)) >= commands.deadline(F.col("deadline_at")))
+    seen = read.observe("commands", *monitor.counts(read=F.lit(True), valid=error.isNull(), invalid=error.isNotNull(), deadline_expired=F.coalesce(late, F.lit(False))))
+    log = monitor.ProgressLog(folder)
+    spark.streams.addListener(log)
+    try:
+        query = seen.writeStream.queryName("commands").format("noop").option("checkpointLocation", stream.scratch(spark, "commands-state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        log.settle(str(query.runId))
+    finally:
+        spark.streams.removeListener(log)
+    return monitor.observed(monitor.events(spark, folder)).select(F.col("name").alias("result"), "value")
+
+
 @query
 def metric_delay_expired(spark: SparkSession, d: str) -> DataFrame:
     """Commands that waited for an hour or more; they are warned of once and stay."""

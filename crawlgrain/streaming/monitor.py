@@ -31,6 +31,15 @@ class ProgressLog(StreamingQueryListener):
     def write(self, event: str, query: str, run_id: str, at_ms: int, **more) -> None:
         self.folder.write(f"events/{at_ms:015d}-{event}-{run_id}-{more.get('batch_id', 0) or 0}.json", {"event": event, "query": query, "run_id": run_id, "at_ms": at_ms, **more})
 
+    def settle(self, run_id: str, most_seconds: float = 60.0) -> bool:
+        """Wait until the end of a run has been written: events come some time after they happen."""
+        end = time.monotonic() + most_seconds
+        while time.monotonic() < end:
+            if any(f"-{kind}-{run_id}-" in n for n in self.folder.names("events") for kind in ("ended", "failed")):
+                return True
+            time.sleep(0.05)
+        return False
+
     def onQueryStarted(self, event) -> None:
         self.names[str(event.runId)] = event.name or str(event.id)
         self.write("started", self.names[str(event.runId)], str(event.runId), _ms(event.timestamp))
