@@ -51,6 +51,49 @@ def gap_counter(rows: DataFrame, keys: list[str], gap_us: int, weight: Column, s
     return out.withColumn("count", F.count("*").over(inside) + F.col("_n")).withColumn("weight_sum", F.coalesce(F.sum("_weight").over(inside), F.lit(0)) + F.col("_w")).drop("_n", "_w", "_span", "_weight")
 
 
+def _running(rows: DataFrame, keys: list[str], value: str, span_us: int) -> DataFrame:
+    """rows with the running sum of value over keys and session in place of value."""
+    r = _spanned(rows, "ts_us", span_us)
+    sums = r.groupBy(*keys, "session", "_span").agg(F.sum(value).alias("_s"))
+    before = F.sum("_s").over(Window.partitionBy(*keys, "session").orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    out = _stitched(r, [*keys, "session"], sums.select(*keys, "session", "_span", F.coalesce(before, F.lit(0)).alias("_past")))
+    inside = Window.partitionBy(*keys, "session", "_span").orderBy("ts_us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return out.withColumn(value, F.sum(value).over(inside) + F.col("_past")).drop("_past", "_span")
+
+
+def gap_distinct(rows: DataFrame, keys: list[str], member: str, gap_us: int, span_us: int) -> DataFrame:
+    """windows.gap_distinct by spans, without weights: rows with session, and distinct, the members since the session began.
+
+    A member's first row of a session is a minimum that combines before the shuffle, and is joined back.
+    """
+    r = sessions(rows, keys, gap_us, span_us)
+    group = [*keys, "session", member]
+    first = r.groupBy(*group).agg(F.min(F.struct("ts_us", "event_id")).alias("_first"))
+    on = F.lit(True)
+    for i, k in enumerate(group):
+        on = on & F.col(k).eqNullSafe(F.col(f"_g{i}"))
+    joined = r.join(first.select(*(F.col(k).alias(f"_g{i}") for i, k in enumerate(group)), "_first"), on).drop(*(f"_g{i}" for i in range(len(group))))
+    flagged = joined.withColumn("distinct", (F.struct("ts_us", "event_id") == F.col("_first")).cast("long")).drop("_first")
+    return _running(flagged, keys, "distinct", span_us)
+
+
+def soft_ban(signals: DataFrame, gap_us: int, span_us: int, *, host_ip: int = 2, ip: int = 3, host: int = 3) -> DataFrame:
+    """windows.soft_ban by spans: an address or host with any share of the signals is dealt to as many tasks as it has spans.
+
+    signals is read by each counter, and the counters meet by event_id, which must be unique: give it as a table, not as a long plan.
+    """
+    cross = F.col("signal_type") != "http_429"
+    counts = gap_counter(signals, ["host", "ip", "signal_type"], gap_us, F.lit(1), span_us).select("event_id", F.col("count").alias("host_ip_count"))
+    rows = signals.join(counts, "event_id").withColumn("backoff", F.col("host_ip_count") >= host_ip)
+    counted = [("hosts_of_ip", ["ip"], "host", "cooldown", ip), ("ips_of_host", ["host"], "ip", "slowdown", host)]
+    if "asn" in signals.columns:
+        counted.append(("ips_of_host_asn", ["host", "asn"], "ip", "soft_limit", host))
+    for name, keys, member, said, least in counted:
+        own = gap_distinct(signals.where(cross), [*keys, "signal_type"], member, gap_us, span_us).select("event_id", F.col("distinct").alias(name))
+        rows = rows.join(own, "event_id", "left").withColumn(name, F.coalesce(name, F.lit(0))).withColumn(said, F.col(name) >= least)
+    return rows
+
+
 def pacer_schedule(requests: DataFrame, keys: list[str], interval_ms: int, span_ms: int) -> DataFrame:
     """windows.pacer_schedule by spans: start_ms and wait_ms, starts of a key interval_ms apart at least."""
     inside = Window.partitionBy(*keys, "_span").orderBy("arrive_ms", "event_id")

@@ -311,6 +311,7 @@ ORACLES |= {
 
 ORACLES["failure_window_spans"] = ORACLES["failure_window"]
 ORACLES["signal_gap_counter_spans"] = ORACLES["signal_gap_counter"]
+ORACLES["softban_events_spans"] = ORACLES["softban_events"]
 ORACLES["pacer_schedule_spans"] = ORACLES["pacer_schedule"]
 ORACLES["pages_latest_stream"] = ORACLES["pages_latest"]
 ORACLES["state_as_of"] = f"""with s as ({_SIGNALS}), b as ({ORACLES["backoff_schedule"]}), bt as (select s.host, s.ip, s.ts_us, s.event_id, level, next_allowed_ms from b join s using (event_id)),

@@ -12,6 +12,7 @@ from crawlgrain.functions import commands, content, ids, net, runtime, signals,
 from crawlgrain.operators import audit, egress, pacing, policy, ranges, state, windows
 from crawlgrain.operators import scans as scans_by_span
 from crawlgrain.plans import attempts, metrics
+from crawlgrain.session import written
 from crawlgrain.sources import commands as scans
 from crawlgrain.sources import connectors, fixtures
 from crawlgrain.streaming import commands as stream
@@ -460,6 +461,13 @@ def pacer_schedule_spans(spark: SparkSession, d: str) -> DataFrame:
     return scans_by_span.pacer_schedule(rows, ["host"], 1_800_000, 86_400_000)
 
 
+@query
+def softban_events_spans(spark: SparkSession, d: str) -> DataFrame:
+    """softban_events with the signals of an address or host dealt to several tasks by time."""
+    rows = scans_by_span.soft_ban(written(_challenges(spark, d), "challenges"), W, 4 * W)
+    return rows.select("event_id", "host_ip_count", "hosts_of_ip", "ips_of_host", "ips_of_host_asn", "backoff", "cooldown", "slowdown", "soft_limit")
+
+
 @query
 def state_as_of(spark: SparkSession, d: str) -> DataFrame:
     """Of each signal: the backoff of its host and address, and the slowdown of its host, that were in force when it came."""

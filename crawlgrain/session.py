@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,3 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
     if _LOCAL_DIR is None:
         _LOCAL_DIR = tempfile.mkdtemp(prefix="crawlgrain-")
     return "file://" + _LOCAL_DIR
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder, for plans that read it several times."""
+    path = os.path.join(shared_dir(df.sparkSession), "crawlgrain", f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ minIdleMs ago and never acknowledged, then new ones, readCount together at most;
 takes no new ones. What a claim took is written down before Spark sees its offset, so a repeated batch has the same
 rows, and a claim that was never read comes with the next one.
 
-A fact is published when its file is in a manifest, one for each batch number. Manifests are written on the driver after all
+A fact, and an object that goes with it (storage_key, body), is published when its file is in a manifest, one for each batch number. Manifests are written on the driver after all
 tasks have finished, and acknowledgements after the manifest: a task or batch that runs twice leaves one copy of its facts,
 and nothing is acknowledged that isn't published.
 """
@@ -38,6 +38,7 @@ from crawlgrain.session import ship
 FIELDS = [*commands.FIELDS, "payload"]
 QUEUE_SCHEMA = "message_id long, deliveries int, reclaimed boolean, claimed_ms long, " + ", ".join(f"{f} string" for f in FIELDS)
 LOG_SCHEMA = "attempt_id string, value string, message_id long"
+OBJECT_SCHEMA = "storage_key string, body binary"
 ROWS_OF_A_TASK = 10_000
 
 
@@ -95,10 +96,11 @@ def _numbered(n: int) -> str:
 
 @dataclass
 class Written(WriterCommitMessage):
-    """A file that a task has written and how many rows it has."""
+    """A file that a task has written and how many rows it has, and the file of its objects."""
 
     file: str
     rows: int
+    objects: str = ""
 
 
 # --- the queue --------------------------------------------------------------------------------
@@ -285,20 +287,38 @@ class LogWriter(DataSourceStreamArrowWriter):
         self.queue, self.group = options.get("queue"), options.get("group", "default")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        schema = pa.schema([("attempt_id", pa.string()), ("value", pa.string()), ("message_id", pa.int64())])
-        name = f"data/{uuid.uuid4().hex}.parquet"
-        rows = (pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in schema], schema=schema) for b in iterator)
-        return Written(name, Folder(self.path).save(name, rows, schema))
+        facts = pa.schema([("attempt_id", pa.string()), ("value", pa.string()), ("message_id", pa.int64())])
+        bodies = pa.schema([("storage_key", pa.string()), ("body", pa.binary())])
+        folder, name = Folder(self.path), uuid.uuid4().hex
+        objects = ""
+        data = f"{folder.top}/data/{name}.parquet"
+        folder.fs.create_dir(f"{folder.top}/data", recursive=True)
+        rows, out, kept = 0, pq.ParquetWriter(data, facts, filesystem=folder.fs), None
+        try:
+            for b in iterator:
+                out.write_batch(pa.RecordBatch.from_arrays([b.column(f.name).cast(f.type) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in facts], schema=facts))
+                rows += b.num_rows
+                if "body" in b.schema.names:
+                    some = b.select(["storage_key", "body"]).filter(pc.is_valid(b.column("storage_key")))
+                    if kept is None:
+                        objects = f"objects/{name}.parquet"
+                        folder.fs.create_dir(f"{folder.top}/objects", recursive=True)
+                        kept = pq.ParquetWriter(f"{folder.top}/{objects}", bodies, filesystem=folder.fs)
+                    kept.write_batch(pa.RecordBatch.from_arrays([some.column(0).cast(pa.string()), some.column(1).cast(pa.binary())], schema=bodies))
+        finally:
+            out.close()
+            if kept is not None:
+                kept.close()
+        return Written(f"data/{name}.parquet", rows, objects)
 
     def commit(self, messages: list, batchId: int) -> None:
         folder, name = Folder(self.path), f"manifests/{self.query}.{_numbered(batchId)}.json"
         written = [m.file for m in messages if m is not None]
         if name.rpartition("/")[2] in folder.names("manifests"):
-            for file in written:  # the batch was published before: what was written again goes
-                folder.drop(file)
+            self.abort(messages, batchId)  # the batch was published before: what was written again goes
             written = folder.read(name)["files"]
         else:
-            folder.write(name, {"files": written})
+            folder.write(name, {"files": written, "objects": [m.objects for m in messages if m is not None and m.objects]})
         if self.queue:
             uri = self.path if "://" in self.path else "file://" + self.path
             files = [{"path": f"{folder.top}/{f}", "uri": uri} for f in written]
@@ -307,7 +327,8 @@ class LogWriter(DataSourceStreamArrowWriter):
     def abort(self, messages: list, batchId: int) -> None:
         for m in messages:
             if m is not None:
-                Folder(self.path).drop(m.file)
+                for file in (m.file, m.objects) if m.objects else (m.file,):
+                    Folder(self.path).drop(file)
 
 
 @dataclass
@@ -316,33 +337,37 @@ class LogFile(InputPartition):
 
 
 class LogReader(DataSourceReader):
-    """Published facts, one task for each file; rows without a value are acknowledgements only."""
+    """Published facts, or objects, one task for each file; rows without a value are acknowledgements only."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, objects: bool):
+        self.path, self.objects = path, objects
 
     def partitions(self) -> Sequence[LogFile]:
         folder = Folder(self.path)
-        return [LogFile(f) for name in folder.names("manifests") for f in folder.read(f"manifests/{name}")["files"]] or [LogFile("")]
+        kind = "objects" if self.objects else "files"
+        return [LogFile(f) for name in folder.names("manifests") for f in folder.read(f"manifests/{name}")[kind]] or [LogFile("")]
 
     def read(self, partition: LogFile) -> Iterator[pa.RecordBatch]:
         if partition.file:
             rows = Folder(self.path).table(partition.file)
-            yield from rows.filter(pc.is_valid(rows.column("value"))).to_batches()
+            yield from (rows if self.objects else rows.filter(pc.is_valid(rows.column("value")))).to_batches()
 
 
 class FactLog(DataSource):
-    """Options: path; to write: query (a name of its own for each checkpoint), queue and group whose messages are acknowledged."""
+    """Options: path; to write: query (a name of its own for each checkpoint), queue and group whose messages are acknowledged; to read: table, facts or objects.
+
+    Columns to write: attempt_id, value (the fact as JSON; null: nothing but an acknowledgement), message_id, and, where there is an object, storage_key and body.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "fact_log"
 
     def schema(self) -> str:
-        return LOG_SCHEMA
+        return OBJECT_SCHEMA if self.options.get("table") == "objects" else LOG_SCHEMA
 
     def reader(self, schema: T.StructType) -> LogReader:
-        return LogReader(self.options["path"])
+        return LogReader(self.options["path"], self.options.get("table") == "objects")
 
     def streamWriter(self, schema: T.StructType, overwrite: bool) -> LogWriter:
         return LogWriter(self.options)

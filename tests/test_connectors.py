@@ -133,3 +133,19 @@ def test_an_empty_queue(spark, place):
     assert spark.read.format("fact_log").load(log).count() == 0
     enqueue(spark, queue, 0, 0)
     assert {r["result"] for r in connectors.queue_events(spark, queue, "w").collect()} == {"empty"}
+
+
+def test_objects_are_published_with_their_facts(spark, place):
+    queue, log, tmp = place
+    enqueue(spark, queue, 0, 6)
+    rows = as_facts(queue_stream(spark, queue)).withColumn("storage_key", F.when(F.col("message_id") % 2 == 0, F.concat(F.lit("pages/"), "attempt_id"))).withColumn("body", F.encode("value", "UTF-8"))
+    run(rows, tmp + "/state", log, queue)
+    objects = spark.read.format("fact_log").option("table", "objects").load(log)
+    assert {r["storage_key"]: bytes(r["body"]).decode() for r in objects.collect()} == {f"pages/a{m}": f"{m}:1:false" for m in (0, 2, 4)}
+    assert spark.read.format("fact_log").load(log).count() == 6
+    writer = connectors.LogWriter({"path": log})
+    import pyarrow as pa
+
+    stray = writer.write(iter([pa.RecordBatch.from_pydict({"attempt_id": ["x"], "value": ["v"], "message_id": [1], "storage_key": ["k"], "body": [b"b"]})]))
+    writer.abort([stray], 3)
+    assert objects.count() == 3 and not connectors.Folder(log).names("objects")[3:]

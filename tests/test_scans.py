@@ -36,6 +36,13 @@ def test_scans_equal_windows_over_whole_keys(spark, span):
     assert same(scans.pacer_schedule(rows, ["host"], 40, span), windows.pacer_schedule(rows, ["host"], 40), ["event_id", "start_ms", "wait_ms"])
 
 
+@pytest.mark.parametrize("span", [100, 10**9])
+def test_escalation_by_spans(spark, span):
+    rows = events(spark, 31).select("event_id", "host", "ts_us", F.concat(F.lit("ip"), (F.col("event_id") % 6).cast("string")).alias("ip"), F.when(F.col("bad"), "captcha_challenge").otherwise("http_429").alias("signal_type"), F.when(F.col("good"), "AS1").otherwise("AS2").alias("asn"))
+    got, want = scans.soft_ban(rows, 300, span), windows.soft_ban(rows, 300)
+    assert same(got, want, ["event_id", "host_ip_count", "hosts_of_ip", "ips_of_host", "ips_of_host_asn", "backoff", "cooldown", "slowdown", "soft_limit"])
+
+
 @pytest.mark.parametrize("width", [30, 500, 5000])
 def test_reset_windows_by_spans(spark, width):
     rows = events(spark, width)
