@@ -40,7 +40,7 @@ def format_preferences(turns: DataFrame) -> DataFrame:
     so ties and repeated rows have a fixed order and each counts. Null roles and texts are empty, a
     null turn comes first; rows with a null pair_id or another side are left out, as is a pair with one side only.
     Equal conversations give empty completions. A conversation's turns meet in one row, as its
-    rendered text does.
+    rendered text does, however long it is. Other columns, whatever their names, are not read; an empty table gives an empty one.
     """
     rows = turns.where("pair_id is not null and side in ('chosen', 'rejected')").select(
         F.col("pair_id"), "side", F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t")

@@ -142,7 +142,7 @@ def plan(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset; pieces needs doc_id, piece and length (1 to capacity).
 
-    A piece that fills a sequence has one of its own, with a negative number, and needs no rank. Every row is placed once, repeated rows too. Ties in length go by (doc_id, piece). An empty
+    A piece that fills a sequence has one of its own, with a negative number, and needs no rank. Every row is placed once, repeated rows too. Ties in length go by (doc_id, piece), a null doc_id first. An empty
     table gives an empty table. Null lengths and lengths out of range raise an error.
     """
     whole = F.col("length").eqNullSafe(capacity)

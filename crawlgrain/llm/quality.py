@@ -200,7 +200,8 @@ def judge(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame:
     """(doc_id, statistics, base_failed, score, kept) for every document.
 
     A null text has no words, so it fails the base rules, as does an empty one. Rows are judged
-    one by one: repeated rows give repeated results; other columns are not read.
+    one by one: repeated rows give repeated results; other columns are not read. Texts of any length are read whole; an empty
+    table gives an empty one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

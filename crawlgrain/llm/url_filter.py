@@ -50,10 +50,8 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
 def _grams(rows: DataFrame) -> DataFrame:
     """One row per character of url and its end: the ORDER characters before it and itself."""
     padded = F.concat(F.lit(START * ORDER), F.coalesce("url", F.lit("")), F.lit(END))
-    places = F.sequence(F.lit(1), F.length("padded") - ORDER)
-    return rows.withColumn("padded", padded).withColumn(
-        "gram", F.explode(F.transform(places, lambda i: F.substring(F.col("padded"), i, F.lit(ORDER + 1))))
-    ).drop("padded", "url")
+    windows = F.regexp_extract_all(padded, F.lit(f"(?s)(?=(.{{{ORDER + 1}}}))."), F.lit(1))
+    return rows.withColumn("gram", F.explode(windows)).drop("url")
 
 
 def _log_ratios(counts: DataFrame) -> DataFrame:
@@ -129,7 +127,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     Rows that a rule decides have its verdict and no score. The others get 'allow' where the
     score reaches the threshold, else 'block'; a null or empty url is scored by its end alone.
     Without rule-decided rows every score is 0 and the verdict is allow. Rows with the same page_id
-    and url share a score; repeated rows stay. Other columns are not read.
+    and url share a score; repeated rows stay. Other columns are not read. A URL of any length is scored whole, one that holds
+    U+0002 or U+0003 as if these were the marks of its start and end. An empty table gives an empty one.
     """
     rows = only(pages, page_id="long", url="string")
     host, path = split_url(F.col("url"))
@@ -142,10 +141,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     weights = fit_ratio(
         rows.select("url", F.coalesce(counted & (F.col("said") == "allow"), F.lit(False)).cast("int").alias("accepted"), F.coalesce(counted & (F.col("said") == "block"), F.lit(False)).cast("int").alias("rejected"))
     )
-    # distinct URLs are scored once
-    sought = rows.where("said is null or held_out").select(F.coalesce("url", F.lit("")).alias("key")).distinct()
-    scored = materialize(score(sought.withColumn("url", F.col("key")), weights), "url-scores")
-    judged = materialize(rows.withColumn("key", F.coalesce("url", F.lit(""))).join(scored, "key", "left").drop("key"), "url-judged")
+    # distinct URLs are scored once; grams go by a digest, since a long URL has as many grams as characters
+    known = rows.withColumn("key", F.sha2(F.coalesce("url", F.lit("")).cast("binary"), 256))
+    sought = known.where("said is null or held_out").select("key", F.coalesce("url", F.lit("")).alias("url")).dropDuplicates(["key"])
+    scored = materialize(score(sought, weights), "url-scores")
+    judged = materialize(known.join(scored, "key", "left").drop("key"), "url-judged")
     least = calibrate(judged.where("said is not null and held_out").select("score", (F.col("said") == "allow").cast("int").alias("accepted")))
     by_score = F.when(F.coalesce("score", F.lit(0.0)) >= least, "allow").otherwise("block")
     return judged.select(

@@ -412,3 +412,24 @@ def test_notices_names_and_tags(spark):
     named = {i for _, ids in license_scan.RULES for i in ids}
     assert set(license_scan.NAMES.values()) | set(license_scan.SPDX.values()) | set(license_scan.NAMED_ONLY) <= named
     assert all("licen" in w for w in ("licensed under", "spdx license identifier"))
+
+
+def test_urls_long_and_with_padding_marks(spark):
+    rows = [(1, "https://a.org/fr/x"), (2, "https://b.net/x"), (3, "https://c.example/" + "long/" * 40_000), (4, "https://d.example/\u0002\u0003\u0002x"), (4, "https://d.example/\u0002\u0003\u0002x"), (5, None)]
+    pages = spark.createDataFrame([(i, u, "x", 0.0, "y") for i, u in rows], "page_id long, url string, host string, score double, gram string")
+    got = url_filter.judge(pages).collect()
+    assert sorted(r["page_id"] for r in got) == [1, 2, 3, 4, 4, 5]
+    by = {r["page_id"]: r for r in got}
+    assert (by[1]["verdict"], by[1]["rule"], by[2]["verdict"], by[2]["rule"]) == ("allow", "org/fr/", "block", "net/")
+    assert all(by[i]["verdict"] in ("allow", "block") and by[i]["rule"] is None for i in (3, 4, 5))
+    assert url_filter.judge(pages.limit(0)).collect() == []
+
+
+def test_long_and_repeated_conversations(spark):
+    turns = [(1, s, t, "user" if t % 2 else "assistant", f"text {t if t < 400 else s}") for s in ("chosen", "rejected") for t in range(402)]
+    turns += [(2, "chosen", 0, "user", "x" * 200_000), (2, "chosen", 0, "user", "x" * 200_000), (2, "rejected", 0, "user", "x" * 200_000)]
+    rows = spark.createDataFrame([(*r, 9, "z") for r in turns], "pair_id long, side string, turn long, role string, text string, n long, prompt string")
+    got = {r["pair_id"]: r for r in chat_format.format_preferences(rows).collect()}
+    assert got[1]["n_prompt_turns"] == 400 and got[1]["chosen"].count("text chosen") == 2 and got[1]["rejected"].count("text rejected") == 2
+    assert got[2]["n_prompt_turns"] == 1 and got[2]["chosen"].count("x" * 200_000) == 1 and got[2]["rejected"] == ""
+    assert chat_format.format_preferences(rows.limit(0)).collect() == []
