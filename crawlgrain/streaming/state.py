@@ -20,6 +20,7 @@ from crawlgrain.operators import policy
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MOST_TTL_S = 86_400
+OUT_ROWS = 10_000
 
 
 @contextmanager
@@ -49,7 +50,8 @@ STATE_OUT = "key string, n long, op string, result string, fields map<string,str
 
 
 class TtlState(StatefulProcessor):
-    """Fields of one key: a map of fields, a value for the time at which they end, a list of the writes that renewed them.
+    """Fields of one key: a map of fields, a value for the time at which they end, a list of the writes that renewed
+    them, as one array a batch, since the store takes a list's element in time that goes with the list's length.
 
     Rows are taken in order of at_ms, then n. A write replaces the fields it names and renews the time to live (1 s to 24 h); a
     read finds what is alive at its at_ms. The store itself forgets a key 24 hours after its last write. Without `enabled`, writes
@@ -63,41 +65,56 @@ class TtlState(StatefulProcessor):
         ttl = MOST_TTL_S * 1000
         self.fields = handle.getMapState("fields", "field string", "value string", ttlDurationMs=ttl)
         self.expires = handle.getValueState("expires", "expires_ms long", ttlDurationMs=ttl)
-        self.renewals = handle.getListState("renewals", "n long, at_ms long", ttlDurationMs=ttl)
+        self.renewals = handle.getListState("renewed", "writes array<struct<n:bigint,at_ms:bigint>>", ttlDurationMs=ttl)
 
-    def _alive(self, at: int) -> bool:
-        return self.expires.exists() and self.expires.get()[0] > at
-
-    def _write(self, at: int, n: int, fields: dict, ttl: float) -> str:
-        if not self.enabled:
-            return "disabled"
+    def _seconds(self, ttl: float) -> int | None:
+        """Time to live of a write, None if it says none."""
         try:
-            seconds = max(1, min(int(ttl), MOST_TTL_S))
+            return max(1, min(int(ttl), MOST_TTL_S))
         except (TypeError, ValueError):
             if self.fail_open:
-                return "failed_open"
+                return None
             raise
-        if not self._alive(at):
-            self.fields.clear()
-            self.renewals.clear()
-        for k, v in (fields or {}).items():
-            self.fields.updateValue((k,), (v,))
-        self.expires.update((at + 1000 * seconds,))
-        self.renewals.appendValue((n, at))
-        return "written"
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        """Each call to the store is a round trip, so what is held is read once, rows are taken in memory, and what they leave is written once."""
         got = pd.concat(list(rows)).sort_values(["at_ms", "n"])
-        out = []
-        for at, n, op, fields, ttl in zip(got["at_ms"], got["n"], got["op"], got["fields"], got["ttl"], strict=True):
-            at, n = int(at), int(n)
-            if op == "write":
-                result, found = self._write(at, n, dict(fields) if fields is not None else {}, ttl), None
+        held = self.expires.get()
+        ends = held[0] if held is not None else None
+        stored, said, renewed, fresh = None, {}, [], False
+        results, found, until = [], [], []
+        for at, n, op, fields, ttl in zip(got["at_ms"].tolist(), got["n"].tolist(), got["op"].tolist(), got["fields"].tolist(), got["ttl"].tolist(), strict=True):
+            at, n, seen = int(at), int(n), None
+            alive = ends is not None and ends > at
+            if op != "write":
+                if alive and stored is None:
+                    stored = {} if fresh else {k[0]: v[0] for k, v in self.fields.iterator()}
+                result, seen = ("hit", {**stored, **said}) if alive else ("miss", None)
+            elif not self.enabled:
+                result = "disabled"
+            elif (seconds := self._seconds(ttl)) is None:
+                result = "failed_open"
             else:
-                found = {k[0]: v[0] for k, v in self.fields.iterator()} if self._alive(at) else None
-                result = "hit" if found is not None else "miss"
-            out.append((key[0], n, op, result, found, self.expires.get()[0] if self._alive(at) else None))
-        yield pd.DataFrame(out, columns=["key", "n", "op", "result", "fields", "expires_ms"]).astype({"expires_ms": "Int64"})
+                if not alive:
+                    stored, said, renewed, fresh = {}, {}, [], True
+                said.update(fields or {})
+                renewed.append((n, at))
+                ends, alive, result = at + 1000 * seconds, True, "written"
+            results.append(result)
+            found.append(seen)
+            until.append(ends if alive else None)
+        if fresh:
+            self.fields.clear()
+            self.renewals.clear()
+        if renewed:
+            for k, v in said.items():
+                self.fields.updateValue((k,), (v,))
+            self.expires.update((ends,))
+            for i in range(0, len(renewed), OUT_ROWS):
+                self.renewals.appendValue((renewed[i : i + OUT_ROWS],))
+        for i in range(0, len(got), OUT_ROWS):
+            part = slice(i, i + OUT_ROWS)
+            yield pd.DataFrame({"key": key[0], "n": got["n"].to_numpy()[part], "op": got["op"].to_numpy()[part], "result": results[part], "fields": found[part], "expires_ms": pd.array(until[part], dtype="Int64")})
 
     def close(self) -> None:
         pass
