@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crawlgrain.functions import commands, content, ids, net, urls
+from crawlgrain.session import written
 
 COMMAND_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in (*commands.FIELDS, "payload")])
 
@@ -53,9 +54,11 @@ def generate_commands(
 
     canonical_url is null where url has no canonical form. politeness_key is the prefix and the host, host_id the prefix and the
     host with underscores; these and deadline_at and max_retries are null unless given.
-    Numbers need one global order: rows are counted per range partition first, so no task sees all rows.
+    Numbers need one global order: rows are counted per range partition first, so no task sees all rows. Ranges are written to
+    the shared folder when this is called, since two readings of a plan may draw their borders in different places.
     """
-    ranged = seeds.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ranged = seeds.select("url", order.alias("_order")).repartitionByRange("_order").sortWithinPartitions("_order")
+    ranged = written(ranged.select("url", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("first"))
     before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))  # one row a partition
     numbered = ranged.join(before, "_part").withColumn("no", F.coalesce("before", F.lit(0)) + F.col("_at") - F.col("first") + 1)

@@ -267,6 +267,22 @@ def test_wrapped_commands_and_generation(spark):
     assert [tuple(r) for r in scans.duplicates(twice).collect()] == [("j", "u", 2)]
 
 
+def test_commands_are_numbered_whatever_the_size_of_their_ranges(spark):
+    """Ranges of url rows are joined to others than ranges of order alone: 1 KB and 8 bytes a row."""
+    n = 20_000
+    seeds = spark.range(n).repartition(4).select("id", F.concat(F.lit("http://h/"), "id", F.lit("?x="), *[F.sha2(F.concat("id", F.lit(f"/{i}")), 256) for i in range(16)]).alias("url"))
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.shuffle.partitions": "32"}
+    before = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        made = scans.generate_commands(seeds, F.col("id"), "j", "p").select("command_id", F.regexp_extract("url", r"h/([0-9]+)", 1).cast("long").alias("id")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["id"], r["command_id"]) for r in made) == [(i, f"p:{i + 1:08d}") for i in range(n)]
+
+
 def test_backoff_goes_back_after_a_success(spark):
     rng = random.Random(4)
     rows = [(n, rng.randrange(3), rng.randrange(0, 400_000_000_000, 1_000_000), rng.random() < 0.3) for n in range(400)]
