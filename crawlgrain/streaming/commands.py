@@ -23,9 +23,10 @@ def command_stream(spark: SparkSession, folder: str, files_per_batch: int = 10)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream."""
+    """A table, one file or a folder of part files, as a stream."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # As a pattern, since a stream's plain path has to be a folder.
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def scratch(spark: SparkSession, label: str) -> str:

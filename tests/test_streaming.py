@@ -93,3 +93,15 @@ def test_dedupe_keeps_one_row_a_key(spark, tmp_path):
     put(tmp_path / "in", "a.json", [{"k": k % 4, "ts": f"2024-01-01T00:00:{k:02d}Z"} for k in range(20)])
     rows = spark.readStream.schema("k long, ts timestamp").json(str(tmp_path / "in"))
     assert sorted(r["k"] for r in stream.drain(stream.dedupe(rows, "k", "ts", "1 hour")).collect()) == [0, 1, 2, 3]
+
+
+def test_a_table_is_a_stream_whether_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.range(40).withColumn("t", F.lit("x"))
+    rows.repartition(4).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    rows.limit(3).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "file" / "pages.parquet")
+    for kind in ("folder", "file"):
+        out = stream.drain(stream.table_stream(spark, str(tmp_path / kind), "pages"))
+        assert sorted(r["id"] for r in out.collect()) == list(range(40))
