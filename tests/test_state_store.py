@@ -147,3 +147,12 @@ def test_store_calls_of_a_batch_do_not_grow_with_its_rows():
     assert [w for part in step.renewals.list for w in part[0]] == [(t, 1000 * t) for t in (*range(25_000), *range(25_001, 25_004))]
     batch(30_000, 1)  # it has expired
     assert step.fields.map == {("a",): ("30000",)} and step.renewals.list == [([(30_000, 30_000_000)],)] and step.expires.value == (30_090_000,)
+
+
+def test_renewals_of_a_batch_are_one_element_of_the_stored_list(spark, tmp_path):
+    for first, n in ((0, 3000), (3000, 200)):
+        put(spark, [("k", 1000 * t, t, "write", {"x": str(t)}, 90) for t in range(first, first + n)], OPS, tmp_path / "in")
+        run(stored.keyed_state(spark.readStream.schema(OPS).parquet(str(tmp_path / "in"))), tmp_path)
+    found = [r[0] for r in stored._stored(spark, str(tmp_path / "state"), "renewed").select("list_element.value.writes").collect()]
+    assert [len(w) for w in found] == [3000, 200] and [(r["n"], r["at_ms"]) for w in found for r in w] == [(t, 1000 * t) for t in range(3200)]
+    assert [tuple(r) for r in stored.stored_state(spark, str(tmp_path / "state"), 3_199_000).select("key", "fields.x", "expires_ms").collect()] == [("k", "3199", 3_289_000)]
