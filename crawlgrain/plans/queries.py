@@ -878,7 +878,7 @@ def state_store(spark: SparkSession, d: str) -> DataFrame:
     """What the state store holds alive after a stream of the writes up to noon, read from its checkpoint."""
     folder = stream.scratch(spark, "state-store")
     writes = _writes(spark, d, stream.table_stream(spark, d, "events")).where(F.col("at_ms") <= NOON_MS).withColumn("op", F.lit("write"))
-    stored.one_batch(stored.keyed_state(writes), folder)
+    stored.one_batch_of_state(stored.keyed_state(writes), folder)
     rows = stored.stored_state(spark, folder + "/state", NOON_MS)
     return rows.select("key", "expires_ms", F.try_element_at("fields", F.lit("kind")).alias("kind"), F.try_element_at("fields", F.lit("status")).alias("status"))
 

@@ -7,12 +7,16 @@ one batch): with availableNow Spark plans batch after batch and never ends.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from crawlgrain.functions import commands
@@ -21,6 +25,7 @@ from crawlgrain.operators import policy
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MOST_TTL_S = 86_400
 OUT_ROWS = 10_000
+PACK_BYTES = 16_000_000
 
 
 @contextmanager
@@ -35,15 +40,23 @@ def state_store(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+def _once(writer: DataStreamWriter, spark: SparkSession, folder: str) -> None:
+    with state_store(spark):
+        writer.option("checkpointLocation", f"{folder}/state").trigger(once=True).start().awaitTermination()
+
+
 def one_batch(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream for one batch with its checkpoint in folder/state and its rows in folder/rows; all rows so far."""
     spark = stream.sparkSession
-    with state_store(spark):
-        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/rows").trigger(once=True).start()
-        query.awaitTermination()
+    _once(stream.writeStream.format("parquet").option("path", f"{folder}/rows"), spark, folder)
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def one_batch_of_state(stream: DataFrame, folder: str) -> None:
+    """The same for callers that read the state in folder/state: the rows are made and not kept."""
+    _once(stream.writeStream.format("noop"), stream.sparkSession, folder)
+
+
 # --- state with a time to live ----------------------------------------------------------------
 
 STATE_OUT = "key string, n long, op string, result string, fields map<string,string>, expires_ms long"
@@ -67,66 +80,125 @@ class TtlState(StatefulProcessor):
         self.expires = handle.getValueState("expires", "expires_ms long", ttlDurationMs=ttl)
         self.renewals = handle.getListState("renewed", "writes array<struct<n:bigint,at_ms:bigint>>", ttlDurationMs=ttl)
 
-    def _seconds(self, ttl: float) -> int | None:
-        """Time to live of a write, None if it says none."""
-        try:
-            return max(1, min(int(ttl), MOST_TTL_S))
-        except (TypeError, ValueError):
-            if self.fail_open:
-                return None
-            raise
+    def _ends(self, at: np.ndarray, ttl: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """When writes end, and whether they say so."""
+        says = np.isfinite(ttl)
+        if not self.fail_open and not says.all():
+            raise ValueError("a write without a number of seconds")
+        return at + 1000 * np.clip(np.trunc(np.where(says, ttl, 1)), 1, MOST_TTL_S).astype("int64"), says
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         """Each call to the store is a round trip, so what is held is read once, rows are taken in memory, and what they leave is written once."""
-        got = pd.concat(list(rows)).sort_values(["at_ms", "n"])
-        held = self.expires.get()
-        ends = held[0] if held is not None else None
-        stored, said, renewed, fresh = None, {}, [], False
-        results, found, until = [], [], []
-        for at, n, op, fields, ttl in zip(got["at_ms"].tolist(), got["n"].tolist(), got["op"].tolist(), got["fields"].tolist(), got["ttl"].tolist(), strict=True):
-            at, n, seen = int(at), int(n), None
-            alive = ends is not None and ends > at
-            if op != "write":
-                if alive and stored is None:
-                    stored = {} if fresh else {k[0]: v[0] for k, v in self.fields.iterator()}
-                result, seen = ("hit", {**stored, **said}) if alive else ("miss", None)
-            elif not self.enabled:
-                result = "disabled"
-            elif (seconds := self._seconds(ttl)) is None:
-                result = "failed_open"
-            else:
-                if not alive:
-                    stored, said, renewed, fresh = {}, {}, [], True
-                said.update(fields or {})
-                renewed.append((n, at))
-                ends, alive, result = at + 1000 * seconds, True, "written"
-            results.append(result)
-            found.append(seen)
-            until.append(ends if alive else None)
-        if fresh:
+        got = pd.concat(list(rows), ignore_index=True)
+        if got[["at_ms", "n"]].isna().any(axis=None):
+            raise ValueError("at_ms and n can't be null")
+        order = np.lexsort((got["n"].to_numpy("int64"), got["at_ms"].to_numpy("int64")))
+        at, n = (got[c].to_numpy("int64")[order] for c in ("at_ms", "n"))
+        op, fields = (got[c].to_numpy(object)[order] for c in ("op", "fields"))
+        held, size = self.expires.get(), len(got)
+        write = (op == "write").astype(bool)
+        taken = write & self.enabled
+        if taken.any():
+            ends, says = np.zeros(size, "int64"), np.zeros(size, bool)
+            ends[taken], says[taken] = self._ends(at[taken], got["ttl"].to_numpy("float64", na_value=np.nan)[order][taken])
+            taken &= says
+        else:
+            ends = np.zeros(size, "int64")
+        # The last write before each row gives the time until which the key is alive there; a write that finds it expired begins a life.
+        last = np.maximum.accumulate(np.where(taken, np.arange(size), -1))
+        before = np.concatenate([[-1], last[:-1]])
+        never = np.iinfo("int64").min
+        till = np.where(before >= 0, ends[before], held[0] if held is not None else never)
+        alive = till > at
+        begins = np.flatnonzero(taken & ~alive)
+        words = np.array(["miss", "hit", "failed_open" if self.enabled else "disabled", "written"], object)
+        result = words[np.where(write, 2 + taken, alive)]
+        until = np.where(taken, ends, till)
+
+        found, stored, said, done = np.full(size, None, object), None, {}, 0
+        for i in [*np.flatnonzero(~write & alive).tolist(), size]:
+            k = np.searchsorted(begins, i)
+            if k and begins[k - 1] >= done:
+                stored, said, done = {}, {}, int(begins[k - 1])
+            for x in fields[done:i][taken[done:i]]:
+                if x:
+                    said.update(x)
+            done = i
+            if i < size:
+                if stored is None:
+                    stored = {k[0]: v[0] for k, v in self.fields.iterator()}
+                found[i] = {**stored, **said}
+
+        if len(begins):
             self.fields.clear()
             self.renewals.clear()
-        if renewed:
+        if taken.any():
             for k, v in said.items():
                 self.fields.updateValue((k,), (v,))
-            self.expires.update((ends,))
-            for i in range(0, len(renewed), OUT_ROWS):
-                self.renewals.appendValue((renewed[i : i + OUT_ROWS],))
-        for i in range(0, len(got), OUT_ROWS):
+            self.expires.update((int(ends[last[-1]]),))
+            kept = np.flatnonzero(taken)
+            kept = kept[kept >= begins[-1]] if len(begins) else kept
+            for i in range(0, len(kept), OUT_ROWS):
+                part = kept[i : i + OUT_ROWS]
+                self.renewals.appendValue((list(zip(n[part].tolist(), at[part].tolist(), strict=True)),))
+        expires = pd.arrays.IntegerArray(until, ~(taken | alive))
+        for i in range(0, size, OUT_ROWS):
             part = slice(i, i + OUT_ROWS)
-            yield pd.DataFrame({"key": key[0], "n": got["n"].to_numpy()[part], "op": got["op"].to_numpy()[part], "result": results[part], "fields": found[part], "expires_ms": pd.array(until[part], dtype="Int64")})
+            yield pd.DataFrame({"key": key[0], "n": n[part], "op": op[part], "result": result[part], "fields": found[part], "expires_ms": expires[part]})
 
     def close(self) -> None:
         pass
 
 
+PACKED = "key string, ops binary"
+OPS = pa.schema([("at_ms", pa.int64()), ("n", pa.int64()), ("op", pa.string()), ("fields", pa.string()), ("ttl", pa.float64())])
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Operations of one key that come together, as one row of Arrow bytes: Spark shuffles, sorts and hands on row by row."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held, size = [*held, batch], size + batch.nbytes
+        if size >= PACK_BYTES:
+            yield _packed(pa.Table.from_batches(held))
+            held, size = [], 0
+    if held:
+        yield _packed(pa.Table.from_batches(held))
+
+
+def _packed(rows: pa.Table) -> pa.RecordBatch:
+    keys = rows["key"].combine_chunks().dictionary_encode()
+    codes = keys.indices.to_numpy()
+    ops = rows.select(OPS.names).cast(OPS).combine_chunks().take(np.argsort(codes, kind="stable")).combine_chunks().to_batches()[0]
+    counts = np.bincount(codes)
+    parts = [ops.slice(end - n, n).serialize().to_pybytes() for n, end in zip(counts.tolist(), np.cumsum(counts).tolist(), strict=True)]
+    return pa.RecordBatch.from_pydict({"key": keys.dictionary, "ops": pa.array(parts, pa.binary())})
+
+
+def _unpacked(rows: pd.DataFrame) -> pd.DataFrame:
+    """The operations of packed rows, fields read from JSON once for each text."""
+    flat = pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(x), OPS) for x in rows["ops"]], OPS)
+    texts = flat["fields"].combine_chunks().dictionary_encode()
+    said = np.array([*map(json.loads, texts.dictionary.to_pylist()), None], object)
+    return flat.drop_columns("fields").to_pandas().assign(fields=said[texts.indices.fill_null(-1).to_numpy()])
+
+
+class PackedState(TtlState):
+    """TtlState over packed rows."""
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        return super().handleInputRows(key, map(_unpacked, rows), timerValues)
+
+
 def keyed_state(operations: DataFrame, enabled: bool = True, fail_open: bool = True) -> DataFrame:
     """(key, n, op, result, fields, expires_ms) of a stream of operations (key, at_ms, n, op, fields, ttl), op write or read.
 
     Rows with a null key belong to no state and are left out. Start it within state_store().
     """
-    rows = operations.where(F.col("key").isNotNull()).select("key", "at_ms", "n", "op", "fields", F.col("ttl").cast("double").alias("ttl"))
-    return rows.groupBy("key").transformWithStateInPandas(TtlState(enabled, fail_open), STATE_OUT, "append", "processingTime")
+    said = F.to_json("fields", {"ignoreNullFields": "false"}).alias("fields")
+    rows = operations.where(F.col("key").isNotNull()).select("key", F.col("at_ms").cast("long").alias("at_ms"), F.col("n").cast("long").alias("n"), "op", said, F.col("ttl").cast("double").alias("ttl"))
+    return rows.mapInArrow(_pack, PACKED).groupBy("key").transformWithStateInPandas(PackedState(enabled, fail_open), STATE_OUT, "append", "processingTime")
 
 
 def _stored(spark: SparkSession, checkpoint: str, variable: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Keyed state and waiting commands in the state store."""
 
+import glob
 import json
 import random
 import time
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +158,36 @@ def test_renewals_of_a_batch_are_one_element_of_the_stored_list(spark, tmp_path)
     found = [r[0] for r in stored._stored(spark, str(tmp_path / "state"), "renewed").select("list_element.value.writes").collect()]
     assert [len(w) for w in found] == [3000, 200] and [(r["n"], r["at_ms"]) for w in found for r in w] == [(t, 1000 * t) for t in range(3200)]
     assert [tuple(r) for r in stored.stored_state(spark, str(tmp_path / "state"), 3_199_000).select("key", "fields.x", "expires_ms").collect()] == [("k", "3199", 3_289_000)]
+
+
+def test_operations_of_a_key_reach_the_state_as_few_rows():
+    rows = [("abc"[t % 3], 1000 * t, 2**53 + t, None if t % 5 == 0 else "write", None if t % 7 == 0 else json.dumps({"x": str(t % 4), "": None}), None if t % 11 == 0 else t / 2) for t in range(20_000)]
+    schema = pa.schema([("key", pa.string()), *stored.OPS])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + 5000]], schema) for i in range(0, 20_000, 5000)]
+    out = pd.concat([b.to_pandas() for b in stored._pack(iter([*batches, batches[0].slice(0, 0)]))])
+    assert len(out) == 3
+    for key, part in out.groupby("key"):
+        flat = stored._unpacked(part).astype(object)
+        found = list(zip(*(flat[c].where(flat[c].notna(), None) for c in ("at_ms", "n", "op", "fields", "ttl")), strict=True))
+        assert found == [(at, n, op, json.loads(f) if f else None, ttl) for k, at, n, op, f, ttl in rows if k == key]
+
+
+def test_fields_and_nulls_come_back_as_they_were(spark, tmp_path):
+    said = {'a"\n\u00e9\U0001f600': "\\x", "": "", "b" * 60_000: "long name", "none": None}
+    rows = [("k", 0, 2**53 + 1, "write", said, 90), ("k", 1000, 2**53 + 2, "read", None, None), ("k", 2000, 2**53 + 3, None, {"z": "1"}, 5), ("k", 3000, 2**53 + 4, "write", {"z": "1"}, None), ("k", 90_000, 1, "read", None, None)]
+    put(spark, rows, OPS, tmp_path / "in")
+    got = run(stored.keyed_state(spark.readStream.schema(OPS).parquet(str(tmp_path / "in"))), tmp_path).orderBy("n").collect()
+    assert [tuple(r) for r in got] == [
+        ("k", 1, "read", "miss", None, None), ("k", 2**53 + 1, "write", "written", None, 90_000), ("k", 2**53 + 2, "read", "hit", said, 90_000),
+        ("k", 2**53 + 3, None, "hit", said, 90_000), ("k", 2**53 + 4, "write", "failed_open", None, 90_000),
+    ]
+
+
+def test_state_store_keeps_its_state_and_no_rows(spark, sf):
+    from crawlgrain.plans.queries import QUERIES
+    from crawlgrain.session import shared_dir
+
+    found = lambda: set(glob.glob(shared_dir(spark).removeprefix("file://") + "/crawlgrain/state-store-*/*"))
+    before = found()
+    assert QUERIES["state_store"](spark, sf).count() > 0
+    assert [f.rsplit("/", 1)[1] for f in found() - before] == ["state"]
